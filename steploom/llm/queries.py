@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from steploom.llm import runs
+from steploom.llm import credentials, pii, runs
 
 QUERIES = {
     "p1_found": runs.p1_found,
     "p1_events": runs.p1_events,
+    "p4_found": pii.p4_found,
+    "p4_redacted": pii.p4_redacted,
+    "p5_found": credentials.p5_found,
+    "p5_redacted": credentials.p5_redacted,
 }
 ORACLES = {
     "p1_found": runs.P1_FOUND_SQL,
