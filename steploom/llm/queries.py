@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from steploom.llm import credentials, pii, runs
+from steploom.llm import answers, credentials, pii, runs
 
 QUERIES = {
     "p1_found": runs.p1_found,
     "p1_events": runs.p1_events,
+    "p2_found": answers.p2_found,
+    "p2_rates": answers.p2_rates,
     "p4_found": pii.p4_found,
     "p4_redacted": pii.p4_redacted,
     "p5_found": credentials.p5_found,
