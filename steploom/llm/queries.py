@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from steploom.llm import answers, credentials, pii, runs
+from steploom.llm import answers, credentials, languages, pii, runs
 
 QUERIES = {
     "p1_found": runs.p1_found,
@@ -13,6 +13,9 @@ QUERIES = {
     "p4_redacted": pii.p4_redacted,
     "p5_found": credentials.p5_found,
     "p5_redacted": credentials.p5_redacted,
+    "p8_found": languages.p8_found,
+    "p8_languages": languages.p8_languages,
+    "p8_segments": languages.p8_segments,
 }
 ORACLES = {
     "p1_found": runs.P1_FOUND_SQL,
