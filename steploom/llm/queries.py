@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from steploom.llm import answers, credentials, languages, leakage, pii, runs
+from steploom.llm import answers, credentials, languages, leakage, packing, pii, runs
 
 QUERIES = {
     "p1_found": runs.p1_found,
@@ -13,6 +13,8 @@ QUERIES = {
     "p4_redacted": pii.p4_redacted,
     "p5_found": credentials.p5_found,
     "p5_redacted": credentials.p5_redacted,
+    "p6_containers": packing.p6_containers,
+    "p6_fill": packing.p6_fill,
     "p7_found": leakage.p7_found,
     "p7_items": leakage.p7_items,
     "p8_found": languages.p8_found,
