@@ -76,15 +76,15 @@ def first_filled(*columns: Column) -> Column:
 
 
 def json_score(c: Column, name: str) -> Column:
-    """signals.{name}.score of a JSON string as a double; null if absent or no number."""
-    return F.get_json_object(c, f"$.signals.{name}.score").try_cast("double")
+    """{name}.score of a JSON string, at the top or under "signals", as a double; null if it is no number."""
+    at = [F.get_json_object(c, f"$.{p}{name}.score").try_cast("double") for p in ("", "signals.")]
+    return F.coalesce(*at)
 
 
-def file_list(listed: Column, *fallback: Column) -> Column:
-    """Distinct file names of a JSON array or of text split at ; , |; else the fallbacks; else empty."""
+def file_list(listed: Column, path: Column) -> Column:
+    """Distinct file names of a JSON array, or of text split at ; , |, with `path` added; never null."""
     text = F.trim(F.coalesce(listed, F.lit("")))
-    parsed = F.when(text.startswith("["), F.try_parse_json(text).cast("array<string>"))
-    split = F.split(text, r"[;,|]")
-    names = F.filter(F.transform(F.coalesce(parsed, split), F.trim), lambda x: x.isNotNull() & (x != "") & (x != "[]"))
-    other = F.filter(F.array(*fallback), lambda x: F.coalesce(F.trim(x) != "", F.lit(False))) if fallback else F.array().cast("array<string>")
-    return F.array_distinct(F.when(F.size(names) > 0, names).otherwise(other))
+    parsed = F.when(text.startswith("["), F.from_json(text, "array<string>"))
+    names = F.transform(F.coalesce(parsed, F.split(text, r"[;,|]")), F.trim)
+    both = F.concat(names, F.array(F.trim(F.coalesce(path, F.lit("")))))
+    return F.array_distinct(F.filter(both, lambda x: x.isNotNull() & (x != "")))

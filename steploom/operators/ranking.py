@@ -18,16 +18,15 @@ def block_of(order: Column, width: int = BLOCK) -> Column:
     return F.floor(order / F.lit(width)).cast("long")
 
 
-def running_total(
+def running_totals(
     df: DataFrame,
     keys: list[str],
     order: str,
-    weight: str | None,
-    out: str,
+    weights: dict[str, str | None],
     block: str = "_block",
     width: int = BLOCK,
 ) -> DataFrame:
-    """Adds `out`: the total of `weight` (1 where None) up to and including this row.
+    """Adds, for each (out: weight), the total of `weight` (1 where None) up to and including this row.
 
     The order is the integer column `order` inside `keys`. The caller makes (keys, order) unique, so
     a block holds at most `width` rows of a group. Null keys form a group as in GROUP BY. Rows with
@@ -36,26 +35,28 @@ def running_total(
     """
     own = block not in df.columns
     base = df.withColumn(block, block_of(F.col(order), width)) if own else df
-    value = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+    value = {o: F.lit(1).cast("long") if w is None else F.col(w).cast("long") for o, w in weights.items()}
     inside = Window.partitionBy(*keys, block).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    local = base.withColumn("_inside", F.sum(value).over(inside))
+    earlier = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    local = base.select("*", *[F.sum(v).over(inside).alias(f"_in_{o}") for o, v in value.items()])
     before = (
         base.groupBy(*keys, block)
-        .agg(F.sum(value).alias("_total"))
-        .withColumn(
-            "_before",
-            F.coalesce(
-                F.sum("_total").over(
-                    Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0).cast("long"),
-            ),
+        .agg(*[F.sum(v).alias(f"_all_{o}") for o, v in value.items()])
+        .select(
+            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+            F.col(block).alias("_kb"),
+            *[F.coalesce(F.sum(f"_all_{o}").over(earlier), F.lit(0).cast("long")).alias(f"_pre_{o}") for o in value],
         )
-        .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(block).alias("_kb"), "_before")
     )
     same = F.col(block) == F.col("_kb")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    joined = local.join(before, same, "left").withColumn(out, F.col("_inside") + F.col("_before"))
-    gone = ["_inside", "_before", "_kb", *[f"_k{i}" for i in range(len(keys))]]
-    return joined.drop(*gone, *([block] if own else []))
+    kept = df.columns if own else base.columns
+    return local.join(before, same, "left").select(*kept, *[(F.col(f"_in_{o}") + F.col(f"_pre_{o}")).alias(o) for o in value])
+
+
+def running_total(
+    df: DataFrame, keys: list[str], order: str, weight: str | None, out: str, block: str = "_block", width: int = BLOCK
+) -> DataFrame:
+    """`running_totals` of one weight; of no weight: the row number."""
+    return running_totals(df, keys, order, {out: weight}, block, width)
