@@ -1,14 +1,20 @@
 """Evaluation passages inside training text (problem 7).
 
-A positional inverted index of the training texts holds, for every term that occurs in a test item, its
-documents and word positions. Each stretch of BLOCK words of an item asks for its SEEDS rarest terms;
-the lists found are shifted by the term's place in the item and intersected, so terms that stand at the
-same distance from each other in item and document fall together. Documents where enough of them do are
-read once more and the passage is measured word by word: an exact phrase, or one with single words
+The training text is indexed by segments of documents, spread over all tasks: a segment is a positional
+inverted index that holds, for each term asked for, the documents and word positions where it stands.
+Each stretch of BLOCK words of a test item asks for its SEEDS rarest terms (by the number of documents
+that hold them, counted over all documents); the lists found are shifted by the term's place in the item
+and intersected, so terms that stand at the same distance in item and document fall together. Where
+TOGETHER of them do, the passage is measured word by word: an exact phrase, or one with single words
 changed, left out or put in (proximity match).
 
+A passage of LEAST words with at most one error in ERRORS words holds a whole stretch, and of its SEEDS
+terms at most two are lost, so the intersection finds it. (A passage of 24 to 28 words with three errors
+that all hit seeds of its only whole stretch is the one case it can miss.)
+
 Words are compared in lower case without punctuation, markup, line prefixes, soft breaks and hyphens at
 line ends. The first line of an item does not count if it opens at least INSTRUCTION_SHARED items.
+Items are searched in slices of at most SLICE_WORDS words, so what each executor holds is bounded.
 
 Defined results: null and empty texts and rows without id hold nothing; equal documents are each
 reported; items shorter than LEAST words cannot be reported; extra columns are ignored.
@@ -16,105 +22,139 @@ reported; items shorter than LEAST words cannot be reported; extra columns are i
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from steploom.sources.tables import BROADCAST_LIMIT_ROWS, read_table
+from steploom.sources.tables import read_table
 
 LEAST = 20
 #: One word in so many may differ.
 ERRORS = 8
 #: Any 20 words in a row hold a whole stretch of this many.
 BLOCK = 10
-SEEDS = 5
+SEEDS = 4
 #: Terms of a stretch that must stand at matching distances.
 TOGETHER = 2
 #: Words put in or left out that a stretch may have.
-DRIFT = 4
+DRIFT = 2
 INSTRUCTION_SHARED = 3
+#: Words of test items searched for in one pass over the training text.
+SLICE_WORDS = 200_000
+#: Documents of a segment.
+SEGMENT = 512
 
 # What markup and line layout add between and inside words.
-TAGS = r"<[^<>]{1,120}>|&(?:[a-z]{2,8}|#\d{1,5});"
-SOFT = "[­​‌‍﻿'’`*_]"
-BROKEN_WORD = r"(?<=\p{L})-[ \t]*\r?\n[ \t]*(?:(?://+|[*>#|;%]+|--)[ \t]*)?(?=\p{L})"
+_TAG = re.compile(r"<[^<>]{1,120}>|&(?:[a-z]{2,8}|#\d{1,5});")
+_BROKEN = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[ \t]*(?:(?://+|[*>#|;%]+|--)[ \t]*)?(?=[^\W\d_])")
+_SOFT = re.compile("[\u00ad\u200b\u200c\u200d\ufeff'\u2019`*_]")
+_WORD = re.compile(r"[^\W_]+")
 
 
-def word_list(text: Column) -> Column:
+def words_of(text: str) -> list[str]:
     """The words of a text in order, without markup and layout."""
-    t = F.regexp_replace(F.lower(text), TAGS, " ")
-    t = F.regexp_replace(F.regexp_replace(t, BROKEN_WORD, ""), SOFT, "")
-    return F.filter(F.split(t, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    t = text.lower()
+    if "<" in t or "&" in t:
+        t = _TAG.sub(" ", t)
+    if "-" in t:
+        t = _BROKEN.sub("", t)
+    return _WORD.findall(_SOFT.sub("", t))
 
 
-def item_words(items: DataFrame) -> DataFrame:
-    """(item_id, words) of each item, without a first line that many items share."""
+def item_bodies(items: DataFrame) -> DataFrame:
+    """(item_id, text) of each item, without a first line that many items share."""
     lines = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(
-        "item_id", "text", F.regexp_extract("text", r"^\s*([^\n]*)\n", 1).alias("_first")
+        "item_id", "text", F.regexp_replace(F.lower(F.regexp_extract("text", r"^\s*([^\n]*)\n", 1)), r"[^\p{L}\p{N}]+", " ").alias("_first")
     )
-    plain = F.array_join(word_list(F.col("_first")), " ")
     shared = (
-        lines.withColumn("_plain", plain)
-        .where("_plain <> ''")
-        .groupBy("_plain")
+        lines.where(F.trim("_first") != "")
+        .groupBy("_first")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= INSTRUCTION_SHARED)
-        .select(F.col("_plain").alias("_shared"))
-    )
-    body = F.when(F.col("_shared").isNotNull(), F.regexp_replace("text", r"^\s*[^\n]*\n", "")).otherwise(F.col("text"))
-    return (
-        lines.withColumn("_plain", plain)
-        .join(shared, F.col("_plain") == F.col("_shared"), "left")
-        .select("item_id", word_list(body).alias("words"))
+        .select("_first", F.lit(True).alias("_shared"))
     )
+    body = F.when(F.col("_shared"), F.regexp_replace("text", r"^\s*[^\n]*\n", "")).otherwise(F.col("text"))
+    return lines.join(shared, "_first", "left").select("item_id", body.alias("text"))
 
 
-def postings(documents: DataFrame, terms: DataFrame) -> DataFrame:
-    """The positional index: (term, doc_id, pos) of every occurrence of a term of `terms`."""
-    return (
-        documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-        .select("doc_id", F.posexplode(word_list(F.col("text"))).alias("pos", "term"))
-        .join(terms.select("term").distinct(), "term", "left_semi")
-    )
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
 
 
-def seeds(words: DataFrame, frequency: DataFrame) -> DataFrame:
-    """(term, item_id, at): the rarest terms of each stretch of each item, by documents that hold them.
+def frequencies(documents: DataFrame, terms: set[str]) -> dict[str, int]:
+    """In how many of all documents each term stands. Only `terms`, a bounded set, reach the driver."""
+    shared = documents.sparkSession.sparkContext.broadcast(terms)
 
-    A term that no document holds is left out: it can find nothing.
-    """
-    placed = words.select("item_id", F.posexplode("words").alias("at", "term"))
-    ranked = placed.join(frequency, "term").withColumn(
-        "n",
-        F.row_number().over(
-            Window.partitionBy("item_id", F.floor(F.col("at") / BLOCK)).orderBy("docs", "at")
-        ),
-    )
-    return ranked.where(F.col("n") <= SEEDS).select("term", "item_id", "at")
-
-
-def candidates(index: DataFrame, asked: DataFrame) -> DataFrame:
-    """(doc_id, items): where TOGETHER seeds of a stretch stand at matching distances."""
-    width = 2 * DRIFT
-    shift = F.col("pos") - F.col("at")
-    hits = index.join(asked, "term").select(
-        "doc_id",
-        "item_id",
-        "at",
-        F.floor(F.col("at") / BLOCK).alias("stretch"),
-        F.explode(F.array(F.floor(shift / width) * 2, F.floor((shift + DRIFT) / width) * 2 + 1)).alias("band"),
-    )
-    together = (
-        hits.groupBy("doc_id", "item_id", "stretch", "band")
-        .agg(F.min("at").alias("a"), F.max("at").alias("b"))
-        .where(F.col("a") < F.col("b"))
-        .select("doc_id", "item_id")
-        .distinct()
-    )
-    # No more entries in a list than there are items.
-    return together.groupBy("doc_id").agg(F.collect_list("item_id").alias("items"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, docs = shared.value, Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                docs.update(wanted.intersection(words_of(text)))
+        keys = list(docs)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([docs[k] for k in keys], pa.int64())], ["term", "docs"])
+
+    rows = _texts(documents).select("text").mapInArrow(count, "term string, docs bigint").groupBy("term").agg(F.sum("docs").alias("docs"))
+    return {r.term: r.docs for r in rows.collect()}
+
+
+class Question:
+    """The seeds of a slice of items, by term: which item asks for the term, and at which place."""
+
+    def __init__(self, items: dict[int, list[str]], docs: dict[str, int]) -> None:
+        self.ids = list(items)
+        self.words = [items[i] for i in self.ids]
+        asked: list[tuple[str, int, int]] = []
+        for n, words in enumerate(self.words):
+            for start in range(0, len(words), BLOCK):
+                places = [p for p in range(start, min(start + BLOCK, len(words))) if docs.get(words[p])]
+                asked += [(words[p], n, p) for p in sorted(places, key=lambda p: (docs[words[p]], p))[:SEEDS]]
+        asked.sort()
+        self.terms = {t: k for k, t in enumerate(dict.fromkeys(a[0] for a in asked))}
+        self.item = np.array([a[1] for a in asked], dtype=np.int64)
+        self.at = np.array([a[2] for a in asked], dtype=np.int64)
+        term = np.array([self.terms[a[0]] for a in asked], dtype=np.int64)
+        self.start = np.searchsorted(term, np.arange(len(self.terms) + 1))
+
+
+class Segment:
+    """A positional inverted index of some documents: for each term number its documents and positions."""
+
+    def __init__(self, documents: list[list[str]], terms: dict[str, int]) -> None:
+        sizes = [len(d) for d in documents]
+        number = np.fromiter((terms.get(w, -1) for d in documents for w in d), dtype=np.int64, count=sum(sizes))
+        doc = np.repeat(np.arange(len(documents)), sizes)
+        pos = np.arange(len(number)) - np.repeat(np.cumsum([0, *sizes[:-1]]) if sizes else np.zeros(0, int), sizes)
+        keep = np.flatnonzero(number >= 0)
+        keep = keep[np.argsort(number[keep], kind="stable")]
+        self.term, self.doc, self.pos = number[keep], doc[keep], pos[keep]
+
+    def intersect(self, q: Question) -> list[tuple[int, int]]:
+        """(document, item) pairs in which TOGETHER seeds of a stretch stand at matching distances."""
+        if not len(self.term):
+            return []
+        many = q.start[self.term + 1] - q.start[self.term]
+        hit = np.repeat(np.arange(len(self.term)), many)
+        seed = np.arange(len(hit)) - np.repeat(np.cumsum(many) - many, many) + q.start[self.term][hit]
+        item, at = q.item[seed], q.at[seed]
+        shift = self.pos[hit] - at
+        shift -= shift.min()
+        width = 2 * DRIFT
+        bands = int(shift.max()) // width + 2
+        stretches = int(q.at.max()) // BLOCK + 1
+        place = (self.doc[hit] * len(q.ids) + item) * stretches + at // BLOCK
+        found: set[tuple[int, int]] = set()
+        for lead in (0, DRIFT):  # two overlapping rulers, so that no pair is cut apart
+            key = (place * bands + (shift + lead) // width) * BLOCK + at % BLOCK
+            group = np.unique(key) // BLOCK
+            first, count = np.unique(group, return_counts=True)
+            pairs = np.unique(first[count >= TOGETHER] // bands // stretches)
+            found.update(zip((pairs // len(q.ids)).tolist(), (pairs % len(q.ids)).tolist()))
+        return sorted(found)
 
 
 class Passage:
@@ -194,55 +234,46 @@ def allowed(size: int, errors: int) -> bool:
 
 def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, item_id, words, errors): each document and item with at least `least` words in a row."""
-    words = item_words(items).cache()
-    # The test side goes to every executor, so its size is checked; a larger one is joined by shuffle.
-    n_words = words.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
-    near = F.broadcast if n_words <= BROADCAST_LIMIT_ROWS else (lambda x: x)
-    terms = words.select(F.explode("words").alias("term")).distinct()
-    frequency = (
-        documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-        .select(F.explode(F.array_distinct(word_list(F.col("text")))).alias("term"))
-        .join(near(terms), "term", "left_semi")
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("docs"))
-    )
-    asked = seeds(words, frequency)
-    found = candidates(postings(documents, near(asked.select("term").distinct())), near(asked))
-    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
-    both = texts.join(found, "doc_id").select("doc_id", word_list(F.col("text")).alias("words"), "items")
-    if n_words <= BROADCAST_LIMIT_ROWS:
-        passages = {r.item_id: list(r.words) for r in words.collect()}
-        shared = documents.sparkSession.sparkContext.broadcast(passages)
-        return both.mapInArrow(_measure(lambda: shared.value, least), _SCHEMA)
-    pairs = both.select("doc_id", F.col("words").alias("doc_words"), F.explode("items").alias("item_id")).join(words, "item_id")
-    return pairs.select("doc_id", "doc_words", F.array("item_id").alias("items"), "words").mapInArrow(_measure(None, least), _SCHEMA)
+    bodies = item_bodies(items)
+    size = bodies.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()[0]
+    slices = max(1, -(-size // SLICE_WORDS))
+    texts, out = _texts(documents), None
+    for n in range(slices):
+        part = bodies.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == n)
+        passages = {r.item_id: words_of(r.text) for r in part.collect()}  # one slice, bounded
+        passages = {i: w for i, w in passages.items() if len(w) >= least}
+        docs = frequencies(documents, {w for ws in passages.values() for w in ws})
+        found = texts.mapInArrow(_search(documents, Question(passages, docs), least), _SCHEMA)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 _SCHEMA = "doc_id bigint, item_id bigint, words int, errors int"
 
 
-def _measure(lookup, least: int):
+def _search(documents: DataFrame, question: Question, least: int):
+    shared = documents.sparkSession.sparkContext.broadcast(question)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = shared.value
         passages: dict[int, Passage] = {}
-        given = lookup() if lookup else None
         for batch in batches:
-            cols = batch.to_pydict()
-            doc_words = cols["words"] if given is not None else cols["doc_words"]
+            ids, texts = (c.to_pylist() for c in batch.columns)
             out: list[tuple] = []
-            for n, doc in enumerate(doc_words):
-                where: dict[tuple[str, str, str], list[int]] = {}
-                for j in range(len(doc) - 2):
-                    where.setdefault((doc[j], doc[j + 1], doc[j + 2]), []).append(j)
-                for item in cols["items"][n]:
-                    if given is None:
-                        passage = Passage(cols["words"][n])
-                    else:
-                        if item not in passages:
-                            passages[item] = Passage(given[item])
-                        passage = passages[item]
-                    size, errors = passage.longest(doc, where)
+            for start in range(0, len(ids), SEGMENT):
+                docs = [words_of(t) for t in texts[start : start + SEGMENT]]
+                last, where = -1, {}
+                for d, n in Segment(docs, q.terms).intersect(q):
+                    doc = docs[d]
+                    if d != last:
+                        last, where = d, {}
+                        for j in range(len(doc) - 2):
+                            where.setdefault((doc[j], doc[j + 1], doc[j + 2]), []).append(j)
+                    if n not in passages:
+                        passages[n] = Passage(q.words[n])
+                    size, errors = passages[n].longest(doc, where)
                     if size >= least:
-                        out.append((cols["doc_id"][n], item, size, errors))
+                        out.append((ids[start + d], q.ids[n], size, errors))
             columns = list(zip(*out)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
