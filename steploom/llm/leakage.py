@@ -191,12 +191,19 @@ class Passage:
             else:
                 return out
 
-    def longest(self, doc: list[str], where: dict[tuple[str, str, str], list[int]]) -> tuple[int, int]:
-        """(words, errors) of the longest passage of the item in the document within the error bound."""
+    def longest(self, doc: list[str], where: dict[tuple[str, str, str], list[int]], least: int = 0) -> tuple[int, int]:
+        """(words, errors) of the longest passage of the item in the document within the error bound.
+
+        (0, 0) if too few word triples are common for `least` words: each error breaks three of them,
+        and half of the rest may be repetitions.
+        """
         best, done = (0, 0), set()
-        for triple, places in self.triples.items():
-            for j in where.get(triple, ()):
-                for i in places:
+        common = self.triples.keys() & where.keys()
+        if len(common) < (least - 2 - 3 * (least // ERRORS)) // 2:
+            return best
+        for triple in sorted(common, key=lambda t: self.triples[t][0]):
+            for j in where[triple]:
+                for i in self.triples[triple]:
                     if (i, j) in done:
                         continue
                     back = self._follow(doc, i, j, -1)
@@ -271,7 +278,7 @@ def _search(documents: DataFrame, question: Question, least: int):
                             where.setdefault((doc[j], doc[j + 1], doc[j + 2]), []).append(j)
                     if n not in passages:
                         passages[n] = Passage(q.words[n])
-                    size, errors = passages[n].longest(doc, where)
+                    size, errors = passages[n].longest(doc, where, least)
                     if size >= least:
                         out.append((ids[start + d], q.ids[n], size, errors))
             columns = list(zip(*out)) or [(), (), (), ()]
