@@ -85,6 +85,6 @@ def file_list(listed: Column, path: Column) -> Column:
     """Distinct file names of a JSON array, or of text split at ; , |, with `path` added; never null."""
     text = F.trim(F.coalesce(listed, F.lit("")))
     parsed = F.when(text.startswith("["), F.from_json(text, "array<string>"))
-    names = F.transform(F.coalesce(parsed, F.split(text, r"[;,|]")), F.trim)
+    names = F.transform(F.coalesce(parsed, F.split(text, r"[;,|]")), lambda x: F.trim(x))
     both = F.concat(names, F.array(F.trim(F.coalesce(path, F.lit("")))))
     return F.array_distinct(F.filter(both, lambda x: x.isNotNull() & (x != "")))

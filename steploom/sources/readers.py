@@ -81,7 +81,8 @@ def markdown_packets(spark: SparkSession, path: str) -> DataFrame:
     """One row per '## Step N' block of Markdown packets: file, step_index, action, observation."""
     text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", "\r", "").alias("value"))
     blocks = text.select("file", F.explode(F.slice(F.split("value", r"(?m)^#{1,4} +Step +(?=\d)"), 2, 1_000_000)).alias("b"))
-    field = lambda name: F.trim(F.regexp_extract("b", rf"(?ms)^\**{name}\**:\s*(.*?)(?=^\**(?:Action|Observation|Thought|Error)\**:|\z)", 1))
+    part = lambda name: F.regexp_extract("b", rf"(?ms)^\**{name}\**:\s*(.*?)(?=^\**(?:Action|Observation|Thought|Error)\**:|\z)", 1)
+    field = lambda name: F.regexp_replace(part(name), r"^\s+|\s+$", "")
     return blocks.select(
         "file", lenient_int(F.regexp_extract("b", r"^(\d+)", 1)).alias("step_index"), field("Action").alias("action"), field("Observation").alias("observation")
     )
