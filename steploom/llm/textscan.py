@@ -84,7 +84,11 @@ def redacted(
     finder: Callable[[], Callable[[str], list[Span]]],
     masker: Callable[[], Callable[[str, str], str]],
 ) -> DataFrame:
-    """`df` with every text of `fields` redacted, and n_redacted, the number of masked spans."""
+    """`df` with every text of `fields` redacted, and n_redacted, the number of masked spans.
+
+    Further columns pass unchanged; a column n_redacted that `df` has already is replaced.
+    """
+    df = df.drop("n_redacted")
     names = df.columns
     schema = df.select(*names, F.lit(0).alias("n_redacted")).schema
 
