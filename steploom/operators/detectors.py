@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from steploom.operators import sequence as seq
 from steploom.operators.sequence import KEYS, PREPARED_SQL, prepared
-from steploom.sources.tables import read_table
+from steploom.sources.tables import checkpointed, read_table
 
 # The reference's configurations.
 STEP_CAPS = (25, 50, 75, 100, 150, 200)
@@ -139,8 +139,15 @@ def with_triggers(feature: DataFrame) -> DataFrame:
     return feature.select(*KEYS, "step_index", "position", "in_pi", "in_uc", "in_hn", "in_uncertain", fired.alias("fired"))
 
 
+_USED = [
+    *KEYS, "step_index", "position", "in_pi", "in_uc", "in_hn", "in_uncertain", "action_key", "tool_key", "obs_text", "obs_key", "action_obs_key",
+    "error_key", "kind_key", "files", "p_score", "n_score",
+]
+
+
 def triggered(spark, folder: str) -> DataFrame:
-    return with_triggers(features(prepared(spark, folder)))
+    """The steps with the settings that fire. The prepared steps are read by several branches, so they are written once."""
+    return with_triggers(features(checkpointed(prepared(spark, folder).select(*_USED))))
 
 
 def config_table(spark) -> DataFrame:
@@ -222,8 +229,6 @@ def metrics(spark, folder: str) -> DataFrame:
     A ratio with denominator 0 is null. Spans that hold no step count in the denominators. Latency is
     the distance in positions from a UC span's first present step to the first trigger inside.
     """
-    from steploom.sources.tables import checkpointed
-
     t = checkpointed(triggered(spark, folder))
     n = len(CONFIGS)
     hit = lambda i: F.array_contains("fired", i)
@@ -267,8 +272,6 @@ def near_f1_pairs(spark, folder: str) -> DataFrame:
 
     The configurations are a fixed list, so the pairs of a pool are bounded.
     """
-    from steploom.sources.tables import checkpointed
-
     order = config_table(spark).select("cfg", "detector", "config")
     m = checkpointed(metrics(spark, folder).join(F.broadcast(order), ["detector", "config"]).where("f1 IS NOT NULL"))
     cols = ["cfg", "detector", "config", "f1", "piir", "hn_fpr"]
