@@ -31,6 +31,14 @@ SCRUB = (
     (r"https?://[^\s)]+", "<URL>"),
     (r"\s+", " "),
 )
+#: Paths and trajectory ids, behind SCRUB's signs and before its blanks: a URL is one sign before its path could be taken for a project's.
+SCRUB_PATHS = (
+    (r"\\\\wsl\.localhost\\[^\s,;:]+", "<LOCAL_PATH>"),
+    (r"(?<!:)/[A-Za-z0-9_.-]+/([A-Za-z0-9_./-]+)", "<PROJECT_PATH>/\\1"),
+    (r"(?<!:)/[A-Za-z0-9_.-]+(?=[\s),;]|$)", "<PROJECT_PATH>"),
+    (r"(?:<PROJECT_PATH>)+", "<PROJECT_PATH>"),
+    (r"[A-Za-z0-9_.-]+__[A-Za-z0-9_.-]+-\d+__train-\d+-of-\d+__row_\d+__[A-Za-z0-9]+", "<TRAJECTORY_ID>"),
+)
 
 
 def normal(c: Column) -> Column:
@@ -71,9 +79,9 @@ def command_text(action: Column, tool: Column, given: Column) -> Column:
 
 
 def scrubbed(c: Column, limit: int | None = None) -> Column:
-    """Tokens, quoted secrets, e-mails, local paths and URLs as signs, single blanks, cut at `limit`."""
+    """Tokens, quoted secrets, e-mails, URLs, paths and trajectory ids as signs, single blanks, cut at `limit`."""
     t = F.coalesce(c, F.lit(""))
-    for pattern, sign in SCRUB:
+    for pattern, sign in (*SCRUB[:-1], *SCRUB_PATHS, SCRUB[-1]):
         t = F.regexp_replace(t, pattern, sign.replace("\\1", "$1"))
     t = F.trim(t)
     if limit is None:

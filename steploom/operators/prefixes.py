@@ -150,9 +150,9 @@ SELECT file, count(*) AS steps, count(DISTINCT (dataset, trajectory_id)) AS traj
 
 
 def scrubbed_prefixes(spark, folder: str) -> DataFrame:
-    """The summaries of prefixes without tokens, quoted secrets, e-mails, paths and URLs, cut at 400."""
+    """The whole summaries of prefixes without tokens, quoted secrets, e-mails, URLs, paths and trajectory ids."""
     p = read_table(spark, folder, "prefix_replan_sample", "released_prefix_id", "recent_actions_summary", "recent_observations_summary")
-    return p.select("released_prefix_id", tx.scrubbed(F.col("recent_actions_summary"), 400).alias("actions"), tx.scrubbed(F.col("recent_observations_summary"), 400).alias("observations")).distinct()
+    return p.select("released_prefix_id", tx.scrubbed(F.col("recent_actions_summary")).alias("actions"), tx.scrubbed(F.col("recent_observations_summary")).alias("observations")).distinct()
 
 
 def _scrub_sql(x: str) -> str:
