@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from steploom.functions import text as tx
 from steploom.operators import sequence as seq
 from steploom.operators.detectors import CONFIGS, FEATURES_SQL, triggered
-from steploom.operators.ranking import running_total
+from steploom.operators.ranking import running_total, running_totals
 from steploom.operators.sequence import KEYS, ONCE_SQL, PREPARED_SQL, norm_sql
 from steploom.sources.tables import checkpointed, read_table
 
@@ -89,16 +89,31 @@ NEXT_ACTIONS_SQL = _FIRST_CTE + """ SELECT s.dataset, s.trajectory_id, trigger_s
 JOIN ft ON ft.dataset = s.dataset AND ft.trajectory_id = s.trajectory_id AND s.step_index = ft.trigger_step + 1"""
 
 
+def _targets() -> Column:
+    """A step's files in the order they are named, or its action where it names none."""
+    action = F.when(F.trim("action_key") != "", F.substring("action_key", 1, 120)).otherwise("<empty-action>")
+    return F.when(F.size("files") > 0, F.col("files")).otherwise(F.array(action))
+
+
 def repetition_counts(spark, folder: str) -> DataFrame:
-    """Per trajectory: steps, and steps whose file or tool was among those of the five steps before."""
-    s = seq.prepared(spark, folder).select(*KEYS, "position", "tool_key", F.coalesce(F.try_element_at(F.filter("files", lambda f: f != ""), F.lit(-1)), F.lit("")).alias("target"))
-    h = seq.with_halo(s)
+    """Per trajectory: steps, targets among the five targets before, and steps whose tool was among those of the five steps before.
+
+    Every target of a step counts, so the rate of files can exceed 1.
+    """
+    # Neither flags nor spans are needed, so only keys are made, and both totals run in one pass.
+    s = seq.keyed(seq.steps_once(read_table(spark, folder, "enriched_steps", *[c for c in seq.COLUMNS if c != "row_number"])))
+    s = s.select(*KEYS, "step_index", "tool_key", _targets().alias("targets")).withColumn("size", F.size("targets"))
+    s = checkpointed(running_totals(s, KEYS, "step_index", {"position": None, "upto": "size"}).drop("step_index"))
+    each = s.select(*KEYS, "size", "upto", F.posexplode("targets").alias("k", "target")).select(*KEYS, "target", (F.col("upto") - F.col("size") + F.col("k") + 1).alias("position"))
     before = seq.over_block().rowsBetween(-5, -1)
-    seen = lambda c: F.coalesce(F.array_contains(F.collect_list(c).over(before), F.col(c)), F.lit(False)) & (F.col(c) != "")
-    m = h.select(*KEYS, "own", seen("target").alias("file_again"), seen("tool_key").alias("tool_again")).where("own")
-    total = F.count(F.lit(1))
-    files, tools = F.sum(F.col("file_again").cast("int")), F.sum(F.col("tool_again").cast("int"))
-    return m.groupBy(*KEYS).agg(total.alias("steps"), files.alias("repeated_files"), tools.alias("repeated_tools"), (files / total).alias("repeated_file_rate"), (tools / total).alias("repeated_tool_rate"))
+    seen = lambda c: (F.coalesce(F.array_contains(F.collect_list(c).over(before), F.col(c)), F.lit(False)) & (F.col(c) != "")).cast("int")
+    again = lambda df, c: seq.with_halo(df).select(*KEYS, "own", seen(c).alias("again")).where("own").groupBy(*KEYS)
+    files = again(each, "target").agg(F.sum("again").alias("repeated_files"))
+    tools = again(s.select(*KEYS, "position", "tool_key"), "tool_key").agg(F.count(F.lit(1)).alias("steps"), F.sum("again").alias("repeated_tools"))
+    rate = lambda c: (F.col(c) / F.col("steps"))
+    return tools.join(files, KEYS).select(
+        *KEYS, "steps", "repeated_files", "repeated_tools", rate("repeated_files").alias("repeated_file_rate"), rate("repeated_tools").alias("repeated_tool_rate")
+    )
 
 
 REPETITION_COUNTS_SQL = PREPARED_SQL + """, t AS (SELECT dataset, trajectory_id, position, tool_key, coalesce(nullif(trim(coalesce(file_path, '')), ''), '') AS fp, files FROM steps),

@@ -1,6 +1,9 @@
 """Queries whose registered SQL does less than the whole job, against counts made here."""
 
+from collections import defaultdict
+
 from steploom.operators import prefixes
+from steploom.operators import sequence as seq
 
 
 def test_scrubbed_prefixes_are_whole(spark, tmp_path):
@@ -12,3 +15,21 @@ def test_scrubbed_prefixes_are_whole(spark, tmp_path):
     assert got["a"].actions == long + " end"
     assert got["b"].actions == "at <LOCAL_PATH>, <PROJECT_PATH>/proj/src<PROJECT_PATH> and <PROJECT_PATH>; <URL>"
     assert got["b"].observations == "run <TRAJECTORY_ID>"
+
+
+def test_repetition_counts_take_every_target(spark, data):
+    runs = defaultdict(list)
+    for r in seq.prepared(spark, data).select("dataset", "trajectory_id", "position", "files", "action_key", "tool_key").orderBy("position").collect():
+        runs[r.dataset, r.trajectory_id].append(r)
+    want = {}
+    for key, steps in runs.items():
+        targets, tools, files, again = [], [], 0, 0
+        for r in steps:
+            for t in r.files or [r.action_key[:120] if r.action_key.strip(" ") else "<empty-action>"]:
+                files += t in targets[-5:]
+                targets.append(t)
+            again += r.tool_key != "" and r.tool_key in tools[-5:]
+            tools.append(r.tool_key)
+        want[key] = (len(steps), files, again, files / len(steps), again / len(steps))
+    got = {(r.dataset, r.trajectory_id): tuple(r)[2:] for r in prefixes.repetition_counts(spark, data).collect()}
+    assert got == want
