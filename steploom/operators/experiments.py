@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,9 @@ from steploom.sources.tables import checkpointed, read_table
 
 NEUTRAL, WARN = "NEUTRAL_CONTINUE", "WARN_REPLAN"
 BASE_ARM = "NO_GUARD"
+#: Replicates of the registered SQL, and those of the reference's response and arm effects.
 REPLICATES = 200
+RESPONSE_REPLICATES, ARM_REPLICATES = 5000, 1000
 #: Cumulated Poisson(1) probabilities: the weight of a pair in a replicate is the number passed.
 POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
 RATES = ["repeat_pattern", "new_evidence_action", "should_continue_bin", "progress_seeking_score"]
@@ -150,37 +154,54 @@ SELECT metric, only_neutral, only_warn, chi2, round(CASE WHEN only_neutral + onl
 
 def bootstrap_weight(unit: Column, replicate: Column) -> Column:
     """A Poisson(1) weight from a hash of unit and replicate: the same in every engine and partitioning."""
-    u = F.conv(F.substring(F.md5(F.concat(unit, F.lit("|"), replicate.cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return _passed(F.md5(F.concat(unit, F.lit("|"), replicate.cast("string"))))
+
+
+def _passed(digest: Column) -> Column:
+    # The first 32 bits over 2 ** 32 pass p where the hex digits do not sort before p's.
     out = F.lit(0)
     for p in POISSON:
-        out = out + (u >= p).cast("int")
+        out = out + (digest >= f"{math.ceil(p * 4294967296):08x}").cast("int")
     return out
 
 
 _WEIGHT_SQL = " + ".join(f"(u >= {p})::INT" for p in POISSON)
 
 
-def bootstrap(pairs: DataFrame, unit: str, value: str, by: list[str], replicates: int = REPLICATES) -> DataFrame:
-    """Mean of `value` with a 95 % percentile interval over weighted replicates of the units, per `by`.
+def bootstraps(pairs: DataFrame, unit: str, values: list[str], by: list[str], replicates: int) -> DataFrame:
+    """Mean of each of `values` with a 95 % percentile interval over weighted replicates of the units, per `by` and `metric`.
 
-    Each replicate is a weighted sum, added up before the shuffle; units are never drawn on the driver.
+    A unit is weighed once a replicate for all values; a null counts in neither sum. Each replicate is a
+    weighted sum, added up before the shuffle; units are never drawn on the driver.
     """
-    each = pairs.select(*by, F.col(unit).alias("unit"), F.col(value).cast("double").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    w = bootstrap_weight(F.col("unit"), F.col("rep"))
-    reps = each.withColumn("w", w).groupBy(*by, "rep").agg(F.sum(F.col("w") * F.col("v")).alias("s"), F.sum("w").alias("n"))
-    ends = reps.where("n > 0").withColumn("m", F.col("s") / F.col("n")).groupBy(*by).agg(
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = pairs.select(*by, F.col(unit).alias("unit"), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(values)])
+    # Few rows become many, so they are spread first.
+    each = base.repartition(n, "unit").select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    each = each.withColumn("h", F.md5(F.concat("unit", F.lit("|"), F.col("rep").cast("string")))).withColumn("w", _passed(F.col("h")))
+    v = [F.col(f"v{i}") for i in range(len(values))]
+    reps = each.groupBy(*by, "rep").agg(*[x for i, c in enumerate(v) for x in (F.sum(F.col("w") * c).alias(f"s{i}"), F.sum(F.when(c.isNotNull(), F.col("w"))).alias(f"n{i}"))])
+    cells = [F.struct(F.lit(c).alias("metric"), F.when(F.col(f"n{i}") > 0, F.col(f"s{i}") / F.col(f"n{i}")).alias("m")) for i, c in enumerate(values)]
+    ends = reps.select(*by, F.explode(F.array(*cells)).alias("x")).select(*by, "x.*").where("m IS NOT NULL").groupBy(*by, "metric").agg(
         F.round(F.percentile("m", 0.025), 9).alias("low"), F.round(F.percentile("m", 0.975), 9).alias("high")
     )
-    point = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("units"), F.round(F.avg(F.col(value).cast("double")), 9).alias("mean"))
-    return point.join(ends, by)
+    cells = [F.struct(F.lit(c).alias("metric"), v[i].alias("v")) for i, c in enumerate(values)]
+    point = base.select(*by, F.explode(F.array(*cells)).alias("x")).select(*by, "x.*").where("v IS NOT NULL").groupBy(*by, "metric").agg(
+        F.count(F.lit(1)).alias("units"), F.round(F.avg("v"), 9).alias("mean")
+    )
+    return point.join(ends, [*by, "metric"])
+
+
+def bootstrap(pairs: DataFrame, unit: str, value: str, by: list[str], replicates: int = REPLICATES) -> DataFrame:
+    """`bootstraps` of one value."""
+    return bootstraps(pairs, unit, [value], by, replicates).drop("metric")
 
 
 def response_effects(spark, folder: str) -> DataFrame:
     """Difference warned minus neutral of each score over paired prefixes, with bootstrap intervals."""
     p = arm_pairs(scored_responses(spark, folder))
-    cells = [F.struct(F.lit(c).alias("metric"), (F.col(f"w.{c}") - F.col(f"n.{c}")).alias("d")) for c in RATES]
-    d = checkpointed(p.select("released_prefix_id", F.explode(F.array(*cells)).alias("x")).select("released_prefix_id", "x.*"))
-    return bootstrap(d, "released_prefix_id", "d", ["metric"])
+    d = checkpointed(p.select("released_prefix_id", *[(F.col(f"w.{c}") - F.col(f"n.{c}")).alias(c) for c in RATES]))
+    return bootstraps(d, "released_prefix_id", RATES, [], RESPONSE_REPLICATES)
 
 
 def _boot_sql(source: str, by: str) -> str:
@@ -256,9 +277,8 @@ def arm_effects(spark, folder: str) -> DataFrame:
     r = checkpointed(_runs(spark, folder).select("released_task_id", "arm", *_RUN_METRICS))
     base = r.where(F.col("arm") == BASE_ARM).select("released_task_id", *[F.col(c).cast("double").alias(f"b_{c}") for c in _RUN_METRICS])
     other = r.where(F.col("arm") != BASE_ARM).join(base, "released_task_id")
-    cells = [F.struct(F.lit(c).alias("metric"), (F.col(c).cast("double") - F.col(f"b_{c}")).alias("d")) for c in _RUN_METRICS]
-    d = other.select("released_task_id", "arm", F.explode(F.array(*cells)).alias("x")).select("released_task_id", "arm", "x.*").where("d IS NOT NULL")
-    return bootstrap(checkpointed(d), "released_task_id", "d", ["arm", "metric"])
+    d = other.select("released_task_id", "arm", *[(F.col(c).cast("double") - F.col(f"b_{c}")).alias(c) for c in _RUN_METRICS])
+    return bootstraps(checkpointed(d), "released_task_id", _RUN_METRICS, ["arm"], ARM_REPLICATES)
 
 
 ARM_EFFECTS_SQL = LATEST_RUNS_CTE + ", d0 AS (" + " UNION ALL ".join(

@@ -1,8 +1,11 @@
 """Queries whose registered SQL does less than the whole job, against counts made here."""
 
+import hashlib
 from collections import defaultdict
 
-from steploom.operators import prefixes
+import numpy as np
+
+from steploom.operators import experiments, prefixes
 from steploom.operators import sequence as seq
 
 
@@ -33,3 +36,32 @@ def test_repetition_counts_take_every_target(spark, data):
         want[key] = (len(steps), files, again, files / len(steps), again / len(steps))
     got = {(r.dataset, r.trajectory_id): tuple(r)[2:] for r in prefixes.repetition_counts(spark, data).collect()}
     assert got == want
+
+
+def _interval(values, replicates):
+    """The interval by Python's own hashes, one replicate after the other."""
+    means = []
+    for rep in range(replicates):
+        w = [sum(int(hashlib.md5(f"{u}|{rep}".encode()).hexdigest()[:8], 16) / 2**32 >= p for p in experiments.POISSON) for u in values]
+        if sum(w):
+            means.append(np.dot(w, list(values.values())) / sum(w))
+    return tuple(np.quantile(means, [0.025, 0.975]))
+
+
+def _close(row, values, replicates):
+    assert row.units == len(values) and np.allclose((row.low, row.high), _interval(values, replicates), atol=2e-9)
+
+
+def test_response_effects_take_5000_replicates(spark, data):
+    pairs = experiments.arm_pairs(experiments.scored_responses(spark, data)).collect()
+    for r in experiments.response_effects(spark, data).collect():
+        _close(r, {p.released_prefix_id: p.w[r.metric] - p.n[r.metric] for p in pairs}, 5000)
+
+
+def test_arm_effects_take_1000_replicates(spark, data):
+    runs = {(r.released_task_id, r.arm): r for r in experiments._runs(spark, data).collect()}
+    got = experiments.arm_effects(spark, data).collect()
+    assert len(got) == 8
+    for r in got:
+        both = {t: (x[r.metric], runs[t, "NO_GUARD"][r.metric]) for (t, arm), x in runs.items() if arm == r.arm and (t, "NO_GUARD") in runs}
+        _close(r, {t: float(a) - float(b) for t, (a, b) in both.items() if a is not None and b is not None}, 1000)
