@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from steploom.functions import text as tx
 from steploom.operators import sequence as seq
-from steploom.operators.detectors import CONFIGS, FEATURES_SQL, triggered
+from steploom.operators.detectors import FEATURES_SQL, config_table, triggered
 from steploom.operators.ranking import running_total, running_totals
 from steploom.operators.sequence import KEYS, ONCE_SQL, PREPARED_SQL, norm_sql
 from steploom.sources.tables import checkpointed, read_table
 
 #: Quotas of the strata, of 100.
 QUOTAS = {"productive_risk": 40, "uc": 40, "matched_control": 20}
+#: Steps of a pattern, indexes of the recent steps, and the fields a pattern is sought in.
 RECENT = 6
+RECENT_INDEXES = 10
+PATTERN_FIELDS = ["tool_name", "file_path", "error_signature", "normalized_action_text", "command_text"]
 
 
 def stratified_sample(spark, folder: str) -> DataFrame:
@@ -42,10 +45,31 @@ r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY h, released_pre
 SELECT stratum, selected_order, released_prefix_id FROM r JOIN (VALUES {', '.join(f"('{s}', {q})" for s, q in QUOTAS.items())}) q(stratum, quota) USING (stratum) WHERE selected_order <= quota"""
 
 
-def _first_revisit(spark, folder: str) -> DataFrame:
-    cfg = next(i for i, c in enumerate(CONFIGS) if c.config == "window=5;repeats=3")
-    t = triggered(spark, folder)
-    return t.where(F.array_contains("fired", cfg)).groupBy(*KEYS).agg(F.min(F.struct("position", "step_index")).alias("f")).select(*KEYS, F.col("f.position").alias("at"), F.col("f.step_index").alias("trigger_step"))
+def _first_triggers(spark, folder: str) -> DataFrame:
+    """The first trigger of every configuration in every trajectory: cfg, position `at` and `trigger_step`."""
+    t = triggered(spark, folder).select(*KEYS, "step_index", "position", F.explode("fired").alias("cfg"))
+    return t.groupBy(*KEYS, "cfg").agg(F.min(F.struct("position", "step_index")).alias("f")).select(*KEYS, "cfg", F.col("f.position").alias("at"), F.col("f.step_index").alias("trigger_step"))
+
+
+def _prefixes(spark, folder: str) -> DataFrame:
+    """The places of first triggers once each, with the configurations that first fire there; at most a row per configuration."""
+    return checkpointed(_first_triggers(spark, folder).groupBy(*KEYS, "at", "trigger_step").agg(F.sort_array(F.collect_list("cfg")).alias("cfgs")))
+
+
+def _recent(prefixes: DataFrame, steps: DataFrame) -> DataFrame:
+    """The steps within the last RECENT_INDEXES indexes up to each place, joined by the single index: no trajectory meets itself."""
+    at = prefixes.select(*KEYS, "at", "trigger_step", F.explode(F.sequence(F.col("trigger_step") - RECENT_INDEXES + 1, F.col("trigger_step"))).alias("step_index"))
+    return at.join(steps, [*KEYS, "step_index"])
+
+
+def _per_config(df: DataFrame, columns: list[str]) -> DataFrame:
+    """A row per configuration of `cfgs`, with its names."""
+    names = config_table(df.sparkSession).select("cfg", "detector", "config")
+    return df.withColumn("cfg", F.explode("cfgs")).join(F.broadcast(names), "cfg").select(*KEYS, "detector", "config", "trigger_step", *columns)
+
+
+def _steps(spark, folder: str) -> DataFrame:
+    return seq.steps_once(read_table(spark, folder, "enriched_steps", *[c for c in seq.COLUMNS if c != "row_number"]))
 
 
 _FIRST_CTE = FEATURES_SQL + """, ft AS (SELECT dataset, trajectory_id, min(position) AS at, min(step_index) AS trigger_step FROM trig
@@ -53,11 +77,11 @@ _FIRST_CTE = FEATURES_SQL + """, ft AS (SELECT dataset, trajectory_id, min(posit
 
 
 def recent_steps(spark, folder: str) -> DataFrame:
-    """The steps within the last six indexes up to the first file-revisit trigger of each trajectory."""
-    first = _first_revisit(spark, folder)
-    s = seq.prepared(spark, folder).select(*KEYS, "step_index", "tool_key", "action_key")
-    # A trajectory has one prefix, so the join multiplies nothing.
-    return s.join(first, KEYS).where(F.col("step_index").between(F.col("trigger_step") - RECENT + 1, F.col("trigger_step"))).select(*KEYS, "trigger_step", "step_index", "tool_key", "action_key")
+    """The steps within the last ten indexes up to the first trigger of each configuration in each trajectory."""
+    p = _prefixes(spark, folder)
+    s = seq.keyed(_steps(spark, folder)).select(*KEYS, "step_index", "tool_key", "action_key")
+    r = _recent(p, s).join(p.select(*KEYS, "trigger_step", "cfgs"), [*KEYS, "trigger_step"])
+    return _per_config(r, ["step_index", "tool_key", "action_key"])
 
 
 RECENT_STEPS_SQL = _FIRST_CTE + f""" SELECT s.dataset, s.trajectory_id, trigger_step, step_index, tool_key, action_key FROM steps s
@@ -65,12 +89,20 @@ JOIN ft ON ft.dataset = s.dataset AND ft.trajectory_id = s.trajectory_id WHERE s
 
 
 def repeated_patterns(spark, folder: str) -> DataFrame:
-    """The most frequent tool of the last six steps before the trigger, if it occurs at least twice."""
-    s = seq.prepared(spark, folder).select(*KEYS, "position", "tool_key")
-    last = s.join(_first_revisit(spark, folder), KEYS).where((F.col("position") > F.col("at") - RECENT) & (F.col("position") <= F.col("at")) & (F.col("tool_key") != ""))
-    n = last.groupBy(*KEYS, "tool_key").agg(F.count(F.lit(1)).alias("times"))
-    best = n.groupBy(*KEYS).agg(F.max(F.struct("times", "tool_key")).alias("b"))
-    return best.where("b.times >= 2").select(*KEYS, F.col("b.tool_key").alias("tool_key"), F.col("b.times").alias("times"))
+    """Per first trigger and field: the most frequent value of the last six of the recent steps, if it occurs at least twice.
+
+    Values are scrubbed; of equally frequent ones the greatest counts.
+    """
+    p = _prefixes(spark, folder)
+    r = _recent(p, _steps(spark, folder).select(*KEYS, "step_index", *PATTERN_FIELDS))
+    # A place has at most RECENT_INDEXES rows.
+    r = r.withColumn("back", F.row_number().over(Window.partitionBy(*KEYS, "trigger_step").orderBy(F.desc("step_index")))).where(F.col("back") <= RECENT)
+    cells = [F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in PATTERN_FIELDS]
+    v = r.select(*KEYS, "trigger_step", F.explode(F.array(*cells)).alias("x")).select(*KEYS, "trigger_step", "x.field", tx.scrubbed(F.col("x.value")).alias("value"))
+    n = v.where(F.col("value") != "").groupBy(*KEYS, "trigger_step", "field", "value").agg(F.count(F.lit(1)).alias("times"))
+    best = n.groupBy(*KEYS, "trigger_step", "field").agg(F.max(F.struct("times", "value")).alias("b")).where("b.times >= 2")
+    best = best.select(*KEYS, "trigger_step", "field", "b.value", "b.times")
+    return _per_config(best.join(p.select(*KEYS, "trigger_step", "cfgs"), [*KEYS, "trigger_step"]), ["field", "value", "times"])
 
 
 REPEATED_PATTERNS_SQL = _FIRST_CTE + f""", n AS (SELECT s.dataset, s.trajectory_id, tool_key, count(*) AS times FROM steps s JOIN ft ON ft.dataset = s.dataset AND ft.trajectory_id = s.trajectory_id
@@ -79,10 +111,10 @@ SELECT * FROM n WHERE times >= 2 QUALIFY row_number() OVER (PARTITION BY dataset
 
 
 def next_actions(spark, folder: str) -> DataFrame:
-    """The action at the very next index after the trigger; a lost step gives no row."""
-    first = _first_revisit(spark, folder).select(*KEYS, "trigger_step", (F.col("trigger_step") + 1).alias("step_index"))
-    s = seq.prepared(spark, folder).select(*KEYS, "step_index", F.col("action_key").alias("next_action"))
-    return first.join(s, [*KEYS, "step_index"]).select(*KEYS, "trigger_step", "next_action")
+    """The action at the very next index after the first trigger of each configuration; a lost step gives no row."""
+    first = _prefixes(spark, folder).withColumn("step_index", F.col("trigger_step") + 1)
+    s = seq.keyed(_steps(spark, folder)).select(*KEYS, "step_index", F.col("action_key").alias("next_action"))
+    return _per_config(first.join(s, [*KEYS, "step_index"]), ["next_action"])
 
 
 NEXT_ACTIONS_SQL = _FIRST_CTE + """ SELECT s.dataset, s.trajectory_id, trigger_step, action_key AS next_action FROM steps s
@@ -101,8 +133,7 @@ def repetition_counts(spark, folder: str) -> DataFrame:
     Every target of a step counts, so the rate of files can exceed 1.
     """
     # Neither flags nor spans are needed, so only keys are made, and both totals run in one pass.
-    s = seq.keyed(seq.steps_once(read_table(spark, folder, "enriched_steps", *[c for c in seq.COLUMNS if c != "row_number"])))
-    s = s.select(*KEYS, "step_index", "tool_key", _targets().alias("targets")).withColumn("size", F.size("targets"))
+    s = seq.keyed(_steps(spark, folder)).select(*KEYS, "step_index", "tool_key", _targets().alias("targets")).withColumn("size", F.size("targets"))
     s = checkpointed(running_totals(s, KEYS, "step_index", {"position": None, "upto": "size"}).drop("step_index"))
     each = s.select(*KEYS, "size", "upto", F.posexplode("targets").alias("k", "target")).select(*KEYS, "target", (F.col("upto") - F.col("size") + F.col("k") + 1).alias("position"))
     before = seq.over_block().rowsBetween(-5, -1)

@@ -1,12 +1,15 @@
 """Queries whose registered SQL does less than the whole job, against counts made here."""
 
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from steploom.functions.text import scrubbed
 from steploom.operators import experiments, prefixes
 from steploom.operators import sequence as seq
+from steploom.operators.detectors import first_triggers
 
 
 def test_scrubbed_prefixes_are_whole(spark, tmp_path):
@@ -65,3 +68,25 @@ def test_arm_effects_take_1000_replicates(spark, data):
     for r in got:
         both = {t: (x[r.metric], runs[t, "NO_GUARD"][r.metric]) for (t, arm), x in runs.items() if arm == r.arm and (t, "NO_GUARD") in runs}
         _close(r, {t: float(a) - float(b) for t, (a, b) in both.items() if a is not None and b is not None}, 1000)
+
+
+def test_prefixes_of_every_configuration(spark, data):
+    fields = ["tool_name", "file_path", "error_signature", "normalized_action_text", "command_text"]
+    rows = seq.prepared(spark, data).select("dataset", "trajectory_id", "step_index", "tool_key", "action_key", *[scrubbed(F.col(c)).alias(c) for c in fields]).collect()
+    runs = defaultdict(dict)
+    for r in rows:
+        runs[r.dataset, r.trajectory_id][r.step_index] = r
+    recent, patterns, following = [], [], []
+    for t in first_triggers(spark, data).collect():
+        run, key = runs[t.dataset, t.trajectory_id], (t.dataset, t.trajectory_id, t.detector, t.config, t.step_index)
+        last = [run[i] for i in range(t.step_index - 9, t.step_index + 1) if i in run]
+        recent += [(*key, r.step_index, r.tool_key, r.action_key) for r in last]
+        for f in fields:
+            n = Counter(r[f] for r in last[-6:] if r[f])
+            if n and max(n.values()) >= 2:
+                times, value = max((c, v) for v, c in n.items())
+                patterns.append((*key, f, value, times))
+        if t.step_index + 1 in run:
+            following.append((*key, run[t.step_index + 1].action_key))
+    for query, want in ((prefixes.recent_steps, recent), (prefixes.repeated_patterns, patterns), (prefixes.next_actions, following)):
+        assert want and sorted(map(tuple, query(spark, data).collect())) == sorted(want)
