@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Spark may keep one side of a join in memory on every executor only below this size.
+#: A side of a join is kept in memory on every executor only up to this many rows.
 BROADCAST_LIMIT_ROWS = 200_000
 
 
@@ -14,13 +17,19 @@ def read_table(spark: SparkSession, folder: str, name: str, *columns: str) -> Da
     return table.select(*columns) if columns else table
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` cut from its lineage by a reliable checkpoint.
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_ROWS) -> DataFrame:
+    """`df` marked for broadcast if it has at most `limit` rows; beyond that as it is, for a shuffled join.
 
-    The folder is the session's spark.checkpoint.dir. Where that is unset, as in local tests, a
-    folder beside the warehouse is used, which is local only when the whole session is.
+    The rows are counted, so `df` should be cheap to read: a table, or cut by `checkpointed`.
+    """
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def _shared_folder(session: SparkSession) -> str:
+    """The checkpoint folder of this application, made from spark.checkpoint.dir.
+
+    Where that is unset, as in local tests, a temporary folder is used; on a cluster it is an error.
     """
-    session = df.sparkSession
     context = session.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = session.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
@@ -31,4 +40,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
             folder = tempfile.mkdtemp(prefix="steploom-checkpoint-")
         context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` cut from its lineage by a reliable checkpoint in the session's spark.checkpoint.dir."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written once as a Parquet table beside the checkpoints, and read back from there.
+
+    Unlike a checkpoint it can be read in part: by column, and by the statistics of its row groups.
+    """
+    path = f"{_shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
