@@ -1,59 +1,63 @@
 """Evaluation passages inside training text (problem 7).
 
-The training text is indexed by segments of documents, spread over all tasks: a segment is a positional
-inverted index that holds, for each term asked for, the documents and word positions where it stands.
-Each stretch of BLOCK words of a test item asks for its SEEDS rarest terms (by the number of documents
-that hold them, counted over all documents); the lists found are shifted by the term's place in the item
-and intersected, so terms that stand at the same distance in item and document fall together. Where
-TOGETHER of them do, the passage is measured word by word: an exact phrase, or one with single words
-changed, left out or put in (proximity match).
-
-A passage of LEAST words with at most one error in ERRORS words holds a whole stretch, and of its SEEDS
-terms at most two are lost, so the intersection finds it. (A passage of 24 to 28 words with three errors
-that all hit seeds of its only whole stretch is the one case it can miss.)
+The training text is tokenised once into a stored positional inverted index: a Parquet table with one
+row for each term and segment of documents, holding the term's number of documents and its positions as
+packed differences. Any number of test items is then searched without reading the text again:
+
+* Each item asks for pivots: its rarest terms, by their postings in the whole training text, as many as
+  put WANTED of them into any LEAST words in a row.
+* Their lists are fetched by a join on the term, shifted by the pivot's place in the item and intersected
+  by segment. Every passage of at least LEAST words with at most one error in ERRORS words holds LEAST
+  words in a row with at most LOST errors, in which all but LOST pivots stand at matching distances: no
+  passage is missed.
+* The pairs that remain are measured word by word on the candidate documents alone: an exact phrase, or
+  one with single words changed, left out or put in (proximity match).
 
 Words are compared in lower case without punctuation, markup, line prefixes, soft breaks and hyphens at
 line ends. The first line of an item does not count if it opens at least INSTRUCTION_SHARED items.
-Items are searched in slices of at most SLICE_WORDS words, so what each executor holds is bounded.
 
 Defined results: null and empty texts and rows without id hold nothing; equal documents are each
-reported; items shorter than LEAST words cannot be reported; extra columns are ignored.
+reported; items shorter than LEAST words cannot be reported; of items with one id each text counts;
+extra columns are ignored. A passage begins and ends with a word that item and document share.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from steploom.sources.tables import read_table
+from steploom.sources.tables import broadcast_if_small, checkpointed, read_table, written
 
 LEAST = 20
 #: One word in so many may differ.
 ERRORS = 8
-#: Any 20 words in a row hold a whole stretch of this many.
-BLOCK = 10
-SEEDS = 4
-#: Terms of a stretch that must stand at matching distances.
-TOGETHER = 2
-#: Words put in or left out that a stretch may have.
-DRIFT = 2
+#: Errors that the best LEAST words in a row of a passage have at most: all 4 errors of 32 to 39 words can
+#: lie in their common middle; a longer passage holds two stretches that share no word.
+LOST = 4
+#: Pivots in any LEAST words in a row of an item.
+WANTED = 8
 INSTRUCTION_SHARED = 3
-#: Words of test items searched for in one pass over the training text.
-SLICE_WORDS = 200_000
-#: Documents of a segment.
-SEGMENT = 512
+#: Words of a segment; a longer document is a segment of its own.
+SEGMENT_WORDS = 1 << 20
+#: Words a worker keeps the hash of; beyond it, it forgets them all.
+MEMO = 1 << 20
+#: Postings times askers of one group in the intersection of a segment, on average.
+GROUP_HITS = 4_000_000
 
 # What markup and line layout add between and inside words.
 _TAG = re.compile(r"<[^<>]{1,120}>|&(?:[a-z]{2,8}|#\d{1,5});")
 _BROKEN = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[ \t]*(?:(?://+|[*>#|;%]+|--)[ \t]*)?(?=[^\W\d_])")
-_SOFT = re.compile("[\u00ad\u200b\u200c\u200d\ufeff'\u2019`*_]")
+_SOFT = "­​‌‍﻿'’`*_"
+_SOFTS = re.compile(f"[{_SOFT}]")
 _WORD = re.compile(r"[^\W_]+")
+_ASCII = {c: None if chr(c) in _SOFT else c if chr(c).isalnum() else " " for c in range(128)}
 
 
 def words_of(text: str) -> list[str]:
@@ -61,9 +65,124 @@ def words_of(text: str) -> list[str]:
     t = text.lower()
     if "<" in t or "&" in t:
         t = _TAG.sub(" ", t)
-    if "-" in t:
+    if "-" in t and "\n" in t:
         t = _BROKEN.sub("", t)
-    return _WORD.findall(_SOFT.sub("", t))
+    if t.isascii():
+        return t.translate(_ASCII).split()
+    return _WORD.findall(_SOFTS.sub("", t))
+
+
+class Terms(dict):
+    """The 64-bit number of each word, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > MEMO:
+            self.clear()
+        n = self[word] = xxhash.xxh64_intdigest(word) - (1 << 63)
+        return n
+
+
+# ---------------------------------------------------------------- packed positions
+
+
+def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Non-negative integers as bytes of seven bits each, lowest first; and the bytes of each value."""
+    v = values.astype(np.int64)
+    size = np.ones(len(v), dtype=np.int64)
+    for bits in (7, 14, 21, 28, 35):
+        size += v >= 1 << bits
+    at = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), dtype=np.uint8)
+    for k in range(int(size.max()) if len(size) else 0):
+        has = size > k
+        out[at[has] + k] = (v[has] >> (7 * k) & 127) | np.where(size[has] > k + 1, 128, 0)
+    return out, size
+
+
+def unpack(data: np.ndarray) -> np.ndarray:
+    if not len(data):
+        return np.zeros(0, dtype=np.int64)
+    last = data < 128
+    start = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
+    k = np.arange(len(data)) - np.repeat(start, np.diff(np.append(start, len(data))))
+    return np.add.reduceat((data & 127).astype(np.int64) << (7 * k), start)
+
+
+def _bytes_of(column: pa.ChunkedArray) -> np.ndarray:
+    """All bytes of a binary column in a row."""
+    parts = []
+    for a in column.cast(pa.large_binary()).chunks:
+        _, offsets, data = a.buffers()
+        if len(a) and data is not None:
+            at = np.frombuffer(offsets, dtype=np.int64)[a.offset : a.offset + len(a) + 1]
+            parts.append(np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]])
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+
+
+# ---------------------------------------------------------------- the index
+
+INDEX = "segment bigint, term bigint, docs int, postings int, positions binary"
+_INDEX_NAMES = ["segment", "term", "docs", "postings", "positions"]
+
+
+def _segment(number: int, ids: list[int], sizes: list[int], terms: list[int]) -> pa.RecordBatch:
+    """The rows of one segment, by term. The row without a term holds the documents: ids, then starts."""
+    term = np.array(terms, dtype=np.int64)
+    starts = np.cumsum([0, *sizes[:-1]]).astype(np.int64)
+    order = np.argsort(term, kind="stable")
+    sorted_ = term[order]
+    first = np.flatnonzero(np.diff(sorted_, prepend=sorted_[0] - 1)) if len(term) else np.zeros(0, np.int64)
+    count = np.diff(np.append(first, len(term)))
+    doc = (np.searchsorted(starts, order, side="right") - 1) if len(term) else order
+    step = np.diff(order, prepend=0)
+    step[first] = order[first]
+    fresh = np.diff(doc, prepend=-1) != 0
+    fresh[first] = True
+    data, size = pack(step)
+    row = np.add.reduceat(size, first) if len(term) else np.zeros(0, np.int64)
+    table = np.concatenate([np.array(ids, dtype=np.int64), starts]).tobytes()
+    offsets = np.concatenate([[0, len(table)], len(table) + np.cumsum(row)]).astype(np.int32)
+    positions = pa.Array.from_buffers(pa.binary(), len(first) + 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(table + data.tobytes())])
+    docs = np.add.reduceat(fresh.astype(np.int32), first) if len(term) else np.zeros(0, np.int32)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.full(len(first) + 1, number)),
+            pa.array([None, *sorted_[first].tolist()], pa.int64()),
+            pa.array(np.concatenate([[len(ids)], docs]).astype(np.int32)),
+            pa.array(np.concatenate([[len(term)], count]).astype(np.int32)),
+            positions,
+        ],
+        _INDEX_NAMES,
+    )
+
+
+def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    numbers, part, n = Terms(), TaskContext.get().partitionId(), 0
+    ids: list[int] = []
+    sizes: list[int] = []
+    terms: list[int] = []
+    for batch in batches:
+        for doc_id, text in zip(*[c.to_pylist() for c in batch.columns]):
+            own = [numbers[w] for w in words_of(text)]
+            if not own:
+                continue
+            if terms and len(terms) + len(own) > SEGMENT_WORDS:
+                yield _segment(part << 32 | n, ids, sizes, terms)
+                ids, sizes, terms, n = [], [], [], n + 1
+            ids.append(doc_id)
+            sizes.append(len(own))
+            terms += own
+    if ids:
+        yield _segment(part << 32 | n, ids, sizes, terms)
+
+
+def built_index(documents: DataFrame) -> DataFrame:
+    """The positional index of all documents, written once; read it for as many searches as wanted."""
+    texts = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
+    return written(texts.mapInArrow(_indexed, INDEX), "postings")
+
+
+# ---------------------------------------------------------------- the questions
 
 
 def item_bodies(items: DataFrame) -> DataFrame:
@@ -79,215 +198,252 @@ def item_bodies(items: DataFrame) -> DataFrame:
         .select("_first", F.lit(True).alias("_shared"))
     )
     body = F.when(F.col("_shared"), F.regexp_replace("text", r"^\s*[^\n]*\n", "")).otherwise(F.col("text"))
-    return lines.join(shared, "_first", "left").select("item_id", body.alias("text"))
-
-
-def _texts(documents: DataFrame) -> DataFrame:
-    return documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-
-
-def frequencies(documents: DataFrame, terms: set[str]) -> dict[str, int]:
-    """In how many of all documents each term stands. Only `terms`, a bounded set, reach the driver."""
-    shared = documents.sparkSession.sparkContext.broadcast(terms)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, docs = shared.value, Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                docs.update(wanted.intersection(words_of(text)))
-        keys = list(docs)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([docs[k] for k in keys], pa.int64())], ["term", "docs"])
-
-    rows = _texts(documents).select("text").mapInArrow(count, "term string, docs bigint").groupBy("term").agg(F.sum("docs").alias("docs"))
-    return {r.term: r.docs for r in rows.collect()}
-
-
-class Question:
-    """The seeds of a slice of items, by term: which item asks for the term, and at which place."""
-
-    def __init__(self, items: dict[int, list[str]], docs: dict[str, int]) -> None:
-        self.ids = list(items)
-        self.words = [items[i] for i in self.ids]
-        asked: list[tuple[str, int, int]] = []
-        for n, words in enumerate(self.words):
-            for start in range(0, len(words), BLOCK):
-                places = [p for p in range(start, min(start + BLOCK, len(words))) if docs.get(words[p])]
-                asked += [(words[p], n, p) for p in sorted(places, key=lambda p: (docs[words[p]], p))[:SEEDS]]
-        asked.sort()
-        self.terms = {t: k for k, t in enumerate(dict.fromkeys(a[0] for a in asked))}
-        self.item = np.array([a[1] for a in asked], dtype=np.int64)
-        self.at = np.array([a[2] for a in asked], dtype=np.int64)
-        term = np.array([self.terms[a[0]] for a in asked], dtype=np.int64)
-        self.start = np.searchsorted(term, np.arange(len(self.terms) + 1))
-
-
-class Segment:
-    """A positional inverted index of some documents: for each term number its documents and positions."""
-
-    def __init__(self, documents: list[list[str]], terms: dict[str, int]) -> None:
-        sizes = [len(d) for d in documents]
-        number = np.fromiter((terms.get(w, -1) for d in documents for w in d), dtype=np.int64, count=sum(sizes))
-        doc = np.repeat(np.arange(len(documents)), sizes)
-        pos = np.arange(len(number)) - np.repeat(np.cumsum([0, *sizes[:-1]]) if sizes else np.zeros(0, int), sizes)
-        keep = np.flatnonzero(number >= 0)
-        keep = keep[np.argsort(number[keep], kind="stable")]
-        self.term, self.doc, self.pos = number[keep], doc[keep], pos[keep]
-
-    def intersect(self, q: Question) -> list[tuple[int, int]]:
-        """(document, item) pairs in which TOGETHER seeds of a stretch stand at matching distances."""
-        if not len(self.term):
-            return []
-        many = q.start[self.term + 1] - q.start[self.term]
-        hit = np.repeat(np.arange(len(self.term)), many)
-        seed = np.arange(len(hit)) - np.repeat(np.cumsum(many) - many, many) + q.start[self.term][hit]
-        item, at = q.item[seed], q.at[seed]
-        shift = self.pos[hit] - at
-        shift -= shift.min()
-        width = 2 * DRIFT
-        bands = int(shift.max()) // width + 2
-        stretches = int(q.at.max()) // BLOCK + 1
-        place = (self.doc[hit] * len(q.ids) + item) * stretches + at // BLOCK
-        found: set[tuple[int, int]] = set()
-        for lead in (0, DRIFT):  # two overlapping rulers, so that no pair is cut apart
-            key = (place * bands + (shift + lead) // width) * BLOCK + at % BLOCK
-            group = np.unique(key) // BLOCK
-            first, count = np.unique(group, return_counts=True)
-            pairs = np.unique(first[count >= TOGETHER] // bands // stretches)
-            found.update(zip((pairs // len(q.ids)).tolist(), (pairs % len(q.ids)).tolist()))
-        return sorted(found)
-
-
-class Passage:
-    """A test item as words and as places of its word triples."""
-
-    def __init__(self, words: list[str]) -> None:
-        self.words = words
-        self.triples: dict[tuple[str, str, str], list[int]] = {}
-        for i in range(len(words) - 2):
-            self.triples.setdefault(tuple(words[i : i + 3]), []).append(i)
-
-    #: (words of the item, words of the document) to step over after a mismatch, nearest first.
-    STEPS = sorted(((a, b) for a in range(1, 5) for b in range(1, 5) if (a, b) != (1, 1)), key=lambda s: (max(s), abs(s[0] - s[1])))
-
-    def _follow(self, doc: list[str], i: int, j: int, by: int) -> list[tuple[int, int]]:
-        """Matches after (i, j) in direction `by`, as (place in the item, errors since the last one)."""
-        words, out = self.words, []
-        n, m = len(words), len(doc)
-        while True:
-            a, b = i + by, j + by
-            if 0 <= a < n and 0 <= b < m and words[a] == doc[b]:
-                out.append((a, 0))
-                i, j = a, b
-                continue
-            for da, db in self.STEPS:
-                a, b = i + by * da, j + by * db
-                if not (0 <= a < n and 0 <= b < m) or words[a] != doc[b]:
-                    continue
-                c, d = a + by, b + by
-                if (0 <= c < n and 0 <= d < m and words[c] == doc[d]) or not 0 <= c < n or not 0 <= d < m:
-                    out.append((a, max(da, db) - 1))
-                    i, j = a, b
-                    break
+    bodies = lines.join(shared, "_first", "left").select("item_id", body.alias("text")).distinct()
+    return bodies.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text")
+
+
+def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of the items long enough, as terms with their places."""
+    numbers = Terms()
+    for batch in batches:
+        out: list[tuple[int, int, int]] = []
+        for item, text in zip(*[c.to_pylist() for c in batch.columns]):
+            words = words_of(text)
+            if len(words) >= LEAST:
+                out += [(item, at, numbers[w]) for at, w in enumerate(words)]
+        columns = list(zip(*out)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64()))], ["item", "at", "term"])
+
+
+def pivots(counts: np.ndarray) -> np.ndarray:
+    """Places of the rarest words, so that any LEAST words in a row hold WANTED of them."""
+    held = np.zeros(max(1, len(counts) - LEAST + 1), dtype=np.int64)
+    chosen = []
+    for p in np.argsort(counts, kind="stable").tolist():
+        rows = held[max(0, p - LEAST + 1) : p + 1]
+        if rows.size and rows.min() < WANTED:
+            rows += 1
+            chosen.append(p)
+    return np.array(chosen, dtype=np.int64)
+
+
+def _pivots(table: pa.Table) -> pa.Table:
+    """The pivots of one item."""
+    table = table.sort_by("at")
+    return table.take(pa.array(pivots(table.column("n").to_numpy())))
+
+
+def questions(index: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(item, at, term, n): the pivots of every item, with their postings in the whole training text."""
+    words = checkpointed(bodies.select("item", "text").mapInArrow(_worded, "item bigint, at int, term bigint"))
+    known = index.join(words.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("postings").alias("n"))
+    counted = words.join(known, "term", "left").select("item", "at", "term", F.coalesce("n", F.lit(0)).alias("n"))
+    return counted.groupBy("item").applyInArrow(_pivots, "item bigint, at int, term bigint, n bigint").where("n > 0")
+
+
+# ---------------------------------------------------------------- the intersection
+
+PAIRS = "doc_id bigint, item bigint, shifts array<int>"
+#: Width of a ruler: two rulers half a width apart hold any two places that are at most LOST apart.
+WIDTH = 2 * LOST
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """The pairs of a segment whose pivots stand at matching distances, with those distances."""
+    is_docs = np.array(table.column("at").is_null())
+    ids = starts = np.zeros(0, np.int64)
+    for value in table.column("positions").filter(pa.array(is_docs)).to_pylist():
+        ids, starts = np.split(np.frombuffer(value, dtype=np.int64), 2)
+    asked = table.filter(pa.array(~is_docs))
+    empty = pa.table({"doc_id": pa.array([], pa.int64()), "item": pa.array([], pa.int64()), "shifts": pa.array([], pa.list_(pa.int32()))})
+    if not len(ids) or not asked.num_rows:
+        return empty
+    count = asked.column("postings").to_numpy()
+    first = np.cumsum(count) - count
+    pos = np.cumsum(unpack(_bytes_of(asked.column("positions"))))
+    pos -= np.repeat(np.where(first > 0, pos[first - 1], 0), count)
+    items, item = np.unique(asked.column("item").to_numpy(), return_inverse=True)
+    at = np.repeat(asked.column("at").to_numpy().astype(np.int64), count)
+    doc = np.searchsorted(starts, np.arange(int(pos.max()) + 1), side="right")[pos] - 1
+    place = doc * len(items) + np.repeat(item, count)
+    shift = pos - starts[doc] - at
+    low, long = int(shift.min()), int(at.max()) + 1
+    bands = (int(shift.max()) - low) // WIDTH + 2
+    need = WANTED - LOST
+    found = []
+    for lead in (0, LOST):
+        key = np.unique((place * bands + (shift - low + lead) // WIDTH) * long + at)
+        group, where = key // long, key % long
+        near = (group[need - 1 :] == group[: len(group) - need + 1]) & (where[need - 1 :] - where[: len(where) - need + 1] < LEAST)
+        good = np.unique(group[: len(group) - need + 1][near])
+        found.append(np.stack([good // bands, (good % bands * WIDTH - lead + low) // WIDTH * WIDTH], axis=1))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    if not len(pairs):
+        return empty
+    each, start = np.unique(pairs[:, 0], return_index=True)
+    shifts = pa.ListArray.from_arrays(pa.array(np.append(start, len(pairs)).astype(np.int32)), pa.array(pairs[:, 1].astype(np.int32)))
+    return pa.table({"doc_id": pa.array(ids[each // len(items)]), "item": pa.array(items[each % len(items)]), "shifts": shifts})
+
+
+def candidates(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """(doc_id, item, shifts): the pairs whose pivots stand at matching distances."""
+    asked = checkpointed(asked)
+    size = asked.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / (index.where("term IS NULL").agg(F.sum("postings")).first()[0] or 1)
+    groups = max(1, round(size * SEGMENT_WORDS / GROUP_HITS))
+    group = F.pmod(F.xxhash64("item"), F.lit(groups)).cast("int")
+    hits = index.join(asked.withColumn("part", group), "term").select("segment", "part", "positions", "postings", "item", "at")
+    docs = index.where("term IS NULL").select(
+        "segment", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), "positions", "postings",
+        F.lit(None).cast("bigint").alias("item"), F.lit(None).cast("int").alias("at"),
+    )
+    return hits.unionByName(docs).groupBy("segment", "part").applyInArrow(_met, PAIRS)
+
+
+# ---------------------------------------------------------------- the measure
+
+#: Longest distance between two common words in a row. Of a passage with a longer gap one side alone has LEAST words.
+STEP = 6
+#: Distances at which the words of a candidate may stand, from the place of its ruler.
+SPREAD = range(-LOST, 2 * WIDTH + LOST - 1)
+
+
+def promising(docs: list[np.ndarray], items: list[np.ndarray], shifts: list[int]) -> np.ndarray:
+    """Whether some LEAST words in a row of the item have LEAST - LOST words near the place `shift` of the document."""
+    guard = max(map(len, items)) + 64
+    sizes = np.array([len(d) for d in docs])
+    begin = np.cumsum(sizes + guard) - sizes
+    text = np.full(int((sizes + guard).sum()) + guard, -1, dtype=np.int64)
+    for b, d in zip(begin, docs):
+        text[b : b + len(d)] = d
+    long = np.array([len(i) for i in items])
+    start = np.cumsum(long) - long
+    item = np.concatenate(items)
+    # Places before and behind a document lie in the guards.
+    base = begin + np.clip(np.array(shifts), -(guard - 32), sizes)
+    at = np.arange(len(item)) + np.repeat(base - start, long)
+    hit = np.zeros(len(item), dtype=bool)
+    for d in SPREAD:
+        hit |= text[np.clip(at + d, 0, len(text) - 1)] == item
+    total = np.concatenate([[0], np.cumsum(hit)])
+    in_a_row = total[LEAST:] - total[:-LEAST]
+    good = np.zeros(len(item) + 1, dtype=np.int64)
+    good[: len(in_a_row)] = in_a_row >= LEAST - LOST
+    good[: len(item)][np.arange(len(item)) > np.repeat(start + long - LEAST, long)] = 0  # across two items
+    return np.add.reduceat(good[:-1], start) > 0
+
+
+def passage(item: list, doc: list, shift: int) -> tuple[int, int]:
+    """(words, errors) of the longest passage of the item near the place `shift` of the document.
+
+    Common words near the expected distance are chained so that common words less errors is greatest;
+    between two of them the longer side counts its words as errors. The longest stretch of a chain with
+    at most one error in ERRORS words is the passage.
+    """
+    reach = STEP + len(item) // ERRORS
+    low, high = shift + SPREAD[0] - reach, shift + SPREAD[-1] + reach
+    where: dict = {}
+    for j in range(max(0, low), min(len(doc), high + len(item))):
+        where.setdefault(doc[j], []).append(j)
+    score: dict[tuple[int, int], int] = {}
+    back: dict[tuple[int, int], tuple[int, int] | None] = {}
+    recent: list[list[int]] = []
+    for i, word in enumerate(item):
+        here = [j for j in where.get(word, ()) if low <= j - i <= high]
+        for j in here:
+            # A chain goes on whatever it has lost, but never counts for less than one that begins here.
+            top, link = -STEP, None
+            if (i - 1, j - 1) in score:
+                top, link = score[i - 1, j - 1] + 1, (i - 1, j - 1)
             else:
-                return out
-
-    def longest(self, doc: list[str], where: dict[tuple[str, str, str], list[int]], least: int = 0) -> tuple[int, int]:
-        """(words, errors) of the longest passage of the item in the document within the error bound.
-
-        (0, 0) if too few word triples are common for `least` words: each error breaks three of them,
-        and half of the rest may be repetitions.
-        """
-        best, done = (0, 0), set()
-        common = self.triples.keys() & where.keys()
-        if len(common) < (least - 2 - 3 * (least // ERRORS)) // 2:
-            return best
-        for triple in sorted(common, key=lambda t: self.triples[t][0]):
-            for j in where[triple]:
-                for i in self.triples[triple]:
-                    if (i, j) in done:
-                        continue
-                    back = self._follow(doc, i, j, -1)
-                    ahead = self._follow(doc, i, j, 1)
-                    p, q = i, j
-                    for a, e in ahead:  # no second start from a triple inside this passage
-                        done.add((a, q + a - p))
-                    chain = [(a, e) for a, e in reversed(back)] + [(i, 0)] + ahead
-                    # Errors stand before the match they were counted at; of the way back, behind it.
-                    places_ = [a for a, _ in chain]
-                    gaps = [e for _, e in reversed(back)] + [e for _, e in ahead]
-                    best = max(best, _window(places_, gaps), key=lambda x: (x[0], -x[1]))
-        return best
-
-
-def _window(places: list[int], gaps: list[int]) -> tuple[int, int]:
-    """(length, errors) of the longest stretch between two matches with at most one error in ERRORS words."""
+                for d in range(1, min(STEP, i) + 1):
+                    for q in recent[i - d]:
+                        if 0 < j - q <= STEP and (s := score[i - d, q] + 2 - max(d, j - q)) > top:
+                            top, link = s, (i - d, q)
+            score[i, j], back[i, j] = max(1, top), link
+        recent.append(here)
+    best, used = (0, 0), set()
+    for point in sorted(score, key=lambda p: -score[p]):
+        if point in used:
+            continue
+        chain = []
+        while point is not None:
+            chain.append(point)
+            point = back[point]
+        used.update(chain)
+        if len(chain) > best[0] * (1 - 2 / ERRORS):
+            best = max(best, _stretch(chain[::-1]), key=lambda x: (x[0], -x[1]))
+    return best
+
+
+def _stretch(chain: list[tuple[int, int]]) -> tuple[int, int]:
+    """(words, errors) of the longest part of a chain with at most one error in ERRORS words."""
+    places, errors = [chain[0][0]], [0]
+    for (i, j), (a, b) in zip(chain, chain[1:]):
+        places.append(a)
+        errors.append(errors[-1] + max(a - i, b - j) - 1)
     best = (0, 0)
     for s in range(len(places)):
-        if len(places) and places[-1] - places[s] + 1 <= best[0]:
-            break
-        errors = 0
-        for t in range(s, len(places)):
-            if t > s:
-                errors += gaps[t - 1]
-            size = places[t] - places[s] + 1
-            if size > best[0] and allowed(size, errors):
-                best = (size, errors)
+        for t in range(len(places) - 1, s - 1, -1):
+            size, wrong = places[t] - places[s] + 1, errors[t] - errors[s]
+            if size <= best[0]:
+                break
+            if wrong * ERRORS <= size:
+                best = (size, wrong)
+                break
     return best
 
 
-def allowed(size: int, errors: int) -> bool:
-    return errors * ERRORS <= size
-
-
-def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, item_id, words, errors): each document and item with at least `least` words in a row."""
-    bodies = item_bodies(items)
-    size = bodies.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()[0]
-    slices = max(1, -(-size // SLICE_WORDS))
-    texts, out = _texts(documents), None
-    for n in range(slices):
-        part = bodies.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == n)
-        passages = {r.item_id: words_of(r.text) for r in part.collect()}  # one slice, bounded
-        passages = {i: w for i, w in passages.items() if len(w) >= least}
-        docs = frequencies(documents, {w for ws in passages.values() for w in ws})
-        found = texts.mapInArrow(_search(documents, Question(passages, docs), least), _SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-_SCHEMA = "doc_id bigint, item_id bigint, words int, errors int"
-
-
-def _search(documents: DataFrame, question: Question, least: int):
-    shared = documents.sparkSession.sparkContext.broadcast(question)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = shared.value
-        passages: dict[int, Passage] = {}
-        for batch in batches:
-            ids, texts = (c.to_pylist() for c in batch.columns)
-            out: list[tuple] = []
-            for start in range(0, len(ids), SEGMENT):
-                docs = [words_of(t) for t in texts[start : start + SEGMENT]]
-                last, where = -1, {}
-                for d, n in Segment(docs, q.terms).intersect(q):
-                    doc = docs[d]
-                    if d != last:
-                        last, where = d, {}
-                        for j in range(len(doc) - 2):
-                            where.setdefault((doc[j], doc[j + 1], doc[j + 2]), []).append(j)
-                    if n not in passages:
-                        passages[n] = Passage(q.words[n])
-                    size, errors = passages[n].longest(doc, where, least)
-                    if size >= least:
-                        out.append((ids[start + d], q.ids[n], size, errors))
-            columns = list(zip(*out)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
-                ["doc_id", "item_id", "words", "errors"],
-            )
-
-    return run
+#: Words of documents and items that are held against one another at once.
+TOGETHER = 2_000_000
+
+
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    numbers, items = Terms(), {}
+    text, doc = None, np.zeros(0, np.int64)
+    kept: list[tuple] = []
+    size = 0
+
+    def results() -> pa.RecordBatch:
+        out = []
+        if kept:
+            good = promising([k[2] for k in kept], [k[3] for k in kept], [k[4] for k in kept])
+            for k in (k for k, g in zip(kept, good) if g):
+                words, errors = passage(k[3].tolist(), k[2].tolist(), k[4])
+                if words >= LEAST:
+                    out.append((k[0], k[1], words, errors))
+        columns = list(zip(*out)) or [(), (), (), ()]
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "item_id", "words", "errors"])
+
+    for batch in batches:
+        for doc_id, own, item_id, body, shifts in zip(*[c.to_pylist() for c in batch.columns]):
+            if own != text:  # the candidates of a document follow one another
+                text, doc = own, np.array([numbers[w] for w in words_of(own)], dtype=np.int64)
+            if body not in items:
+                if len(items) > 2_000:
+                    items.clear()
+                items[body] = np.array([numbers[w] for w in words_of(body)], dtype=np.int64)
+            for shift in shifts:
+                kept.append((doc_id, item_id, doc, items[body], shift))
+                size += len(doc) + len(items[body])
+            if size > TOGETHER:
+                yield results()
+                kept, size = [], 0
+    yield results()
+
+
+def leaks(documents: DataFrame, items: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """(doc_id, item_id, words, errors): documents and items with at least LEAST words in a row, a row for each place.
+
+    `index` is a built_index of the same documents, where there is one already.
+    """
+    index = built_index(documents) if index is None else index
+    bodies = checkpointed(item_bodies(items))
+    pairs = checkpointed(candidates(index, questions(index, bodies)))
+    # The pairs are few against the documents: in memory if they are, else both sides are shuffled.
+    texts = documents.select("doc_id", "text").join(broadcast_if_small(pairs), "doc_id")
+    full = texts.join(bodies.withColumnRenamed("text", "body"), "item").select("doc_id", "text", "item_id", "body", "shifts")
+    return full.mapInArrow(_measured, "doc_id bigint, item_id bigint, words int, errors int")
 
 
 def _tables(spark, folder: str) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,6 @@ import numpy as np
 from steploom.llm import languages as L
 from steploom.llm import leakage as K
 from steploom.llm import packing as P
-from steploom.llm.queries import QUERIES
 
 
 def test_best_fit_and_bound():
@@ -50,11 +49,27 @@ def _text(r, n):
 
 
 def brute(doc, item):
-    """Longest item stretch with at most one error in eight, by local alignment over all starts."""
-    where = {}
-    for j in range(len(doc) - 2):
-        where.setdefault(tuple(doc[j : j + 3]), []).append(j)
-    return K.Passage(item).longest(doc, where)[0] >= K.LEAST
+    """Whether 20 or more words of the item in a row stand in the document, by edit distance over every start: a
+    stretch begins and ends with a word in common and needs at most one edit in eight of its words."""
+    m = len(doc)
+    for s in range(len(item) - 19):
+        # Edits that turn item[s:i + 1] into words of the document that end with j.
+        row = np.array([0 if w == item[s] else 999 for w in doc])
+        for j in range(1, m):
+            row[j] = min(row[j], row[j - 1] + 1)
+        for i in range(s + 1, len(item)):
+            same = np.array([w == item[i] for w in doc])
+            next_ = row + 1
+            next_[1:] = np.minimum(next_[1:], row[:-1] + ~same[1:])
+            for j in range(1, m):
+                next_[j] = min(next_[j], next_[j - 1] + 1)
+            met = np.full(m, 999)
+            met[1:] = np.where(same[1:], row[:-1], 999)
+            size = i - s + 1
+            if size >= 20 and (met * 8 <= size).any():
+                return True
+            row = next_
+    return False
 
 
 def test_words_ignore_layout():
@@ -63,35 +78,71 @@ def test_words_ignore_layout():
         assert K.words_of(t) == want, t
 
 
+def _changed(r, words, places):
+    """The words with edits at the places, of which one in three puts a word in, leaves one out or changes one."""
+    out = list(words)
+    for p in sorted(places, reverse=True):
+        kind = r.randrange(3)
+        out[p : p + (kind < 2)] = [] if kind == 0 else [f"new{r.randint(0, 999)}"]
+    return out
+
+
 def test_search_against_brute_force(spark):
     r = random.Random(9)
     head = "Read the case below and answer"
-    items = [(i, head + "\n" + " ".join(_text(r, 70))) for i in range(12)]
+    clauses = [_text(r, 9) for _ in range(6)]  # stretches that items and documents share by chance
+    bodies = [[*_text(r, 14), *r.choice(clauses), *_text(r, 14), *r.choice(clauses), *_text(r, 10)] for _ in range(12)]
+    items = [(i, head + "\n" + " ".join(w)) for i, w in enumerate(bodies)]
     docs = []
-    for d in range(80):
-        words = _text(r, 60)
-        if d % 2:
-            w = items[d % 12][1].split("\n")[1].split()
-            a = r.randint(0, 30)
-            part = w[a : a + r.choice([12, 18, 19, 20, 21, 30, 40])]
-            if d % 4 == 1 and len(part) > 24:
-                part[5] = "zzz"
-                part.insert(17, "also")
-            words[20:20] = part
+    for d in range(150):
+        words = [*_text(r, 15), *r.choice(clauses), *_text(r, 10)]
+        if d % 3:
+            n = r.choice([18, 19, 20, 21, 24, 28, 32, 36, 40, 48])
+            a = r.randint(0, len(bodies[0]) - n)
+            part = bodies[d % 12][a : a + n]
+            k = r.randint(0, n // 8 + 1)
+            at = r.randint(1, n - 1 - k)
+            # Edits in a row, every second word, or anywhere.
+            places = [range(at, at + k), range(1, 2 * k, 2), sorted(r.sample(range(1, n - 1), k))][d % 3 if k < n // 3 else 0]
+            words[20:20] = _changed(r, part, [p for p in places if p < n])
         docs.append((d, " ".join(words)))
-    docs += [(100, head + " please"), (101, None), (None, items[0][1]), (102, ""), (103, items[1][1]), (104, items[1][1])]
+    docs += [(200, head + " please"), (201, None), (None, items[0][1]), (202, ""), (203, items[1][1]), (204, items[1][1]), (205, "w " * 30_000 + items[2][1])]
     D = spark.createDataFrame(docs, "doc_id long, text string")
-    E = spark.createDataFrame([*items, (50, None), (None, "x")], "item_id long, text string")
+    E = spark.createDataFrame([*items, (50, None), (None, "x"), (60, "too short")], "item_id long, text string")
     got = {(x.doc_id, x.item_id) for x in K.leaks(D, E).collect()}
-    want = {(d, i) for d, t in docs if d is not None and t for i, x in items if brute(K.words_of(t), K.words_of(x.split("\n")[1]))}
-    assert got == want and {(103, 1), (104, 1)} <= got and len(got) > 15
+    want = {(d, i) for d, t in docs if d is not None and d < 205 and t for i, w in enumerate(bodies) if brute(K.words_of(t), w)}
+    assert got == want | {(205, 2)} and {(203, 1), (204, 1)} <= got and len(got) > 40
     assert K.leaks(D.limit(0), E).count() == 0 and K.leaks(D, E.limit(0)).count() == 0
 
 
-def test_slices_give_the_same(spark, data, monkeypatch):
-    whole = {tuple(x) for x in QUERIES["p7_found"](spark, data).collect()}
-    monkeypatch.setattr(K, "SLICE_WORDS", 8_000)
-    assert {tuple(x) for x in QUERIES["p7_found"](spark, data).collect()} == whole and whole
+def test_index_is_reused_and_whole(spark, monkeypatch):
+    r = random.Random(3)
+    docs = [(i, " ".join(_text(r, r.randint(0, 60)))) for i in range(60)]
+    D = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(K, "SEGMENT_WORDS", 100)
+    index = K.built_index(D)
+    terms = K.Terms()
+    want = {}
+    for d, t in docs:
+        for p, w in enumerate(K.words_of(t)):
+            want.setdefault(terms[w], set()).add((d, p))
+    rows = index.collect()
+    starts = {x.segment: np.split(np.frombuffer(x.positions, dtype=np.int64), 2) for x in rows if x.term is None}
+    got = {}
+    for x in (x for x in rows if x.term is not None):
+        ids, at = starts[x.segment]
+        pos = np.cumsum(K.unpack(np.frombuffer(x.positions, dtype=np.uint8)))
+        doc = np.searchsorted(at, pos, side="right") - 1
+        assert len(pos) == x.postings and len(set(doc)) == x.docs
+        got.setdefault(x.term, set()).update(zip(ids[doc].tolist(), (pos - at[doc]).tolist()))
+    assert got == want
+    E = spark.createDataFrame([(7, docs[5][1] + " " + docs[6][1])], "item_id long, text string")
+    assert {tuple(x) for x in K.leaks(D, E, index).collect()} == {tuple(x) for x in K.leaks(D, E).collect()}
+
+
+def test_packed_numbers():
+    v = np.array([0, 1, 127, 128, 16_383, 16_384, 2_097_151, 2_097_152, 1 << 28, (1 << 35) + 5])
+    assert (K.unpack(K.pack(v)[0]) == v).all() and len(K.unpack(np.zeros(0, np.uint8))) == 0
 
 
 SENTENCES = {
