@@ -5,13 +5,17 @@ copied_prompt, other_language, truncated.
 
 * copied_prompt: the answer's tokens are aligned with those of its prompt, first by containment of
   five-word shingles, and between the two thresholds by their longest common subsequence.
-* refusal: the answer is aligned against refusal templates with free slots.
+* refusal: each sentence is aligned with refusal templates, first by containment of the template's word
+  pairs, then by the longest common subsequence with a stretch of the sentence not much longer.
+* other_language: nearest centroid of the language model fitted on the labelled documents; a text that
+  all centroids are far from and that has no English function words is in another language too.
 * truncated: a cut mark, an open bracket, quote or code span, or an ending after which all other
   answers go on. The last is read from counts of word sequences over all answers of the table.
 
 Defined results: null and blank answers and stand-ins for none are empty; rows with a null prompt_id
 are left out; of rows with the same prompt_id the last received counts; an answer without prompt is
-never copied; answers of any length are read whole.
+never copied; answers of any length are read whole; without labelled documents only function words
+tell the language.
 """
 
 from __future__ import annotations
@@ -24,7 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from steploom.sources.tables import checkpointed, read_table
+from steploom.llm.languages import Model, fit_on
+from steploom.operators.joins import spread_join
+from steploom.sources.tables import BROADCAST_LIMIT_ROWS, checkpointed, read_table
 
 FIELDS = ["evidence_summary", "next_action_description", "why_this_action"]
 PROMPT_TEXTS = ["recent_context_text", "recent_actions_summary", "repeated_pattern_summary"]
@@ -33,60 +39,115 @@ CONTAINED = 0.8
 #: From this containment on the longest common subsequence decides.
 PERHAPS = 0.25
 COMMON = 0.85
-#: A hot ending is spread over so many parts of the join with the counts.
-SALT = 16
+#: Share of a refusal template's word pairs from which it is aligned, and share of its words in common.
+PAIRS = 0.3
+ALIGNED = 0.8
+#: Words that a refusal may put between those of its template.
+FREE = 3
 
-# Stand-ins for no answer, refusal templates, cut marks, function words.
+# Stand-ins for no answer, refusal templates, words of one role in them, cut marks, function words.
 STAND_INS = set(
     "none null nil na nan noanswer empty notavailable notapplicable undefined unknown noresponse nocontent tbd todo "
     "blank missing nodata nothing placeholder noanswergiven notprovided noreply noinformation pending".split()
 )
-_CANNOT = r"(?:can ?not|can'?t|could not|couldn'?t|am unable to|'?m unable to|am not able to|'?m not able to|unable to|not able to|won'?t|will not|must decline to|have to decline to|decline to|refuse to|would (?:rather|prefer) not(?: to)?|'?d (?:rather|prefer) not(?: to)?)"
-_SERVE = r"(?:help|assist|answer|comment|provide|continue|propose|recommend|discuss|do this|do that|give|decide|respond|engage|offer|judge|suggest|complete this|fulfil|fulfill|say|advise|support this|share|participate)"
-REFUSALS = re.compile(
-    "|".join(
-        [
-            rf"\b(?:i|we)(?:'m| am| are|'re)? {_CANNOT} (?:\w+ ){{0,2}}?{_SERVE}\b",
-            rf"\b(?:sorry|afraid|apologi[sz]e|unfortunately|regret)\b.{{0,60}}\b(?:can ?not|can'?t|unable|not able|won'?t|decline|have to pass)\b",
-            rf"\b(?:can ?not|can'?t|unable to|not able to) (?:assist|help|answer) (?:with |you )?(?:this|that|here|one|with)\b",
-            r"\b(?:instructions|guidelines|policy|policies|rules|principles) (?:do|does|will) not (?:permit|allow|let)\b",
-            r"\b(?:against|violates?|contrary to|prevented by|restricted by) (?:my|our|the) (?:\w+ )?(?:guidelines|policy|policies|rules|instructions)\b",
-            r"\b(?:been )?(?:asked|told|instructed) not to\b",
-            r"\boutside (?:of )?(?:what|the scope of what|my|our) .{0,24}(?:permitted|allowed|able|scope|discuss|remit)\b",
-            r"\b(?:falls|lies|is) outside (?:of )?(?:what|my|our|the scope)\b",
-            r"\bas an? (?:ai|assistant|language model|ai model|ai assistant|large language model)\b.{0,60}\b(?:not|can'?t|cannot|unable)\b",
-            r"\bonly (?:a language model|an ai|an assistant|a model)\b",
-            r"\b(?:would|is|seems?) (?:not|n'?t) (?:be )?(?:appropriate|right|proper|suitable|ethical) (?:for me|of me|to)\b",
-            r"\bwouldn'?t be (?:appropriate|right|proper) (?:for me|to)\b",
-            r"\bno means of (?:judging|knowing|answering|deciding)\b",
-            r"\b(?:i|we) (?:must|have to|need to|will|respectfully|would have to) (?:respectfully )?(?:decline|pass on|refuse|abstain)\b",
-            r"\b(?:i|we)(?: would|'d) (?:prefer|rather) not\b(?! (?:touch|change|edit|rerun|repeat))",
-            r"\bnot (?:permitted|allowed|authori[sz]ed) to (?:\w+ ){0,1}?" + _SERVE,
-        ]
-    )
-)
+REFUSALS = """
+i cannot help with this
+this is something i cannot help with
+this is not something i can help with
+i cannot do this request
+sorry but i cannot help
+i will not answer this
+i will not continue with this request
+i cannot answer
+i am not able to answer this
+i am not able to answer on
+i am not able to give an answer
+i cannot give an answer
+i must decline to answer
+i decline to answer
+i must decline this request
+i refuse to answer
+i would prefer not to answer
+i would prefer to leave this unanswered
+i must pass on this
+i am not comfortable answer this
+it would not be appropriate for me to answer
+it is not appropriate to answer this
+this request falls outside of what i am permitted to answer
+this is outside of what i am permitted to do
+this is outside my scope
+answer this goes against my rules
+give this goes against my rules
+give steps goes against my rules
+this is against my rules
+my rules do not permit me to answer
+my rules do not permit this
+i am not permitted to answer
+i have been told not to answer
+i have been told not to give an answer
+as an assistant i cannot answer
+as an assistant i am not able to
+i am only an assistant
+i have no means of answer
+i am not in a position to answer
+i have nothing to answer on this
+no comment
+no answer from me
+""".strip().split("\n")
+ROLES = {
+    "i": "i we id ill",
+    "cannot": "cant cannot couldnt",
+    "answer": "answer answering help assist helping assisting comment commenting advise advising respond reply discuss elaborate recommend "
+    "recommending suggest suggesting propose proposing judge judging decide deciding say saying engage share support opine evaluate guess assess participate proceed",
+    "answer_": "advice recommendation recommendations suggestion suggestions opinion answers guidance response proposal verdict assessment judgement",
+    "give": "give giving provide providing offer offering make making",
+    "this": "this that it here these those one such",
+    "request": "request question task prompt matter topic query inquiry subject",
+    "permitted": "permitted permit allowed allow authorised authorized authorise let able_",
+    "rules": "rules guidelines guideline policy policies instructions principles directives",
+    "assistant": "assistant ai model bot",
+    "told": "told asked instructed directed",
+    "prefer": "prefer rather",
+    "must": "must have_to",
+    "outside": "outside beyond",
+    "goes": "goes is",
+    "appropriate": "appropriate right proper suitable ethical",
+}
+#: What a refusal is about: a template's words of these roles may not be missing.
+CORE = {"answer", "request", "permitted", "rules", "appropriate", "assistant", "unanswered", "outside", "decline", "refuse", "pass", "continue", "comfortable"}
+SPELLED_OUT = {
+    "can't": "cannot", "can not": "cannot", "cant": "cannot", "couldn't": "could not", "won't": "will not", "wont": "will not", "wouldn't": "would not",
+    "don't": "do not", "doesn't": "does not", "isn't": "is not", "i'm": "i am", "we're": "we are", "i'd": "i would", "we'd": "we would", "i'll": "i will",
+    "we'll": "we will", "i've": "i have", "it's": "it is", "that's": "that is", "unable to": "not able to", "could not": "cannot", "would rather": "would prefer",
+    "have to": "must", "need to": "must", "has to": "must", "respectfully": "", "large language model": "assistant", "language model": "assistant", "ai model": "assistant",
+    "ai assistant": "assistant",
+}
 CUT_MARK = re.compile(
     r"(?:\.\.\.|…|[\[<({]\s*(?:truncated|cut|cut off|output cut|snip|snipped|continued|more|max[_ ]?tokens|length limit)\s*[\]>)}]|<\|[^|>]*\|?>?)\s*$",
     re.I,
 )
 ENDS = ".!?。！？"
+MARKS = ENDS + ",;:()"
+#: Contexts a worker counts before it hands them on.
+MOST_COUNTED = 500_000
 CLOSERS = "\"'`)]}»”’*_|>"
-FUNCTION_WORDS = {
-    "en": "the and of to is that this it for with as be are not by from or has have which but they an at we so if then was were only both there their these than one would could should does did its other all no nothing everyone every same still already earlier before after look into how what why",
-    "de": "der die das und ist nicht ein eine einen dem den des wird werden mit von zu auf für sich auch aus bei nach noch immer wenn aber es wie dass im zum zur am keine wurde sie wir ich beide weil denn sind hat vor",
-    "fr": "le la les des et est une un du que qui dans pour pas ne se au aux par sur avec plus ce cette il elle nous vous sont été avoir mais ou où car soit sans deux même d l n qu j",
-    "es": "el la los las de que y en un una es por con para se del al lo como más pero sus su este esta ha no ni sin cada qué porque dos también mismo ya sería",
-    "pt": "o os as de que e em um uma é por com para se do da no na dos das mas ao mais não ninguém esta este como pois porque ainda duas seria foi sem cada nenhuma",
-    "it": "il lo la gli le di che e un una è per con si del della non nel nella dal più ma come questo questa sono ancora perché al alla due sarebbe senza ogni nessun nessuno",
-    "nl": "de het een en van is niet dat op te voor met zijn er aan om ook als bij door naar nog maar uit wordt geen deze dit die over we ik beide omdat zou twee keer elke nooit",
-}
-_WORD_SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
-
-_TOKEN = re.compile(r"[^\W_]+(?:_[^\W_]+)*")
-_CODE = re.compile(r"`[^`]*`|\"[^\"\n]{0,200}\"|\S*[\w-]/[\w/.-]*\w|\b\w+_\w+\b|\b\w+\.(?:py|go|ts|js|yaml|toml|json)\b|\b\d[\w.]*\b")
+ENGLISH = frozenset(
+    "the and of to is that this it for with as be are not by from or has have which but they an at we so if then was were only both there their these "
+    "than one would could should does did its other all no nothing in on a i after before still into how what why see".split()
+)
+SHARED = frozenset("a i no in so on an as at is was but".split())
+#: English words that are words of no other language in the fixed list above.
+ENGLISH_ALONE = frozenset("the and of that this it with are from has have which they then were there their these than would could should does not because".split())
+
+_TOKEN = re.compile(r"[^\W_]+")
+_ASCII = {c: c if chr(c).isalnum() else " " for c in range(128)}
+_QUOTED = re.compile(r"`[^`]*`|\"[^\"\n]{0,200}\"")
+_FILE = re.compile(r"\w+\.(?:py|go|ts|js|yaml|toml|json)\b")
 _LETTER = re.compile(r"[^\W\d_]")
-_OTHER_SCRIPT = re.compile(r"[Ѐ-ӿ぀-ヿ㐀-鿿가-힯؀-ۿͰ-Ͽ]")
+_WORD = re.compile(r"[^\W\d_]+")
 _PIECE = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[.!?,;:()…。]")
+_SENTENCE_END = re.compile(r"(?<=[.!?;:])\s+|[\n。！？]+")
+CODE = "qqcode"
 _EMPTY = re.compile(r"[\W_]+")
 
 
@@ -95,12 +156,53 @@ def is_empty(text: str | None) -> bool:
     return not core or core in STAND_INS
 
 
+_ROLE = {w: role.rstrip("_") for role, words in ROLES.items() for w in words.split()}
+_SPELLING = re.compile(r"\b(?:" + "|".join(sorted(map(re.escape, SPELLED_OUT), key=len, reverse=True)) + r")\b")
+
+
+def roles(text: str) -> list[list[str]]:
+    """The sentences of a text as words by their role in a refusal."""
+    t = re.sub(r"[ \t]+", " ", text.lower().replace("’", "'"))
+    for _ in range(2):
+        t = _SPELLING.sub(lambda m: SPELLED_OUT[m.group()], t)
+    return [[_ROLE.get(w, w) for w in _TOKEN.findall(s)] for s in _SENTENCE_END.split(t)]
+
+
+_TEMPLATES = [roles(t)[0] for t in REFUSALS]
+_TEMPLATES_WITH: dict[tuple[str, str], list[int]] = {}
+for _n, _words in enumerate(_TEMPLATES):
+    for _pair in {*zip(_words, _words[1:])}:
+        _TEMPLATES_WITH.setdefault(_pair, []).append(_n)
+#: Every template has one of these, so a sentence without any is none.
+_REFUSING = re.compile(r"can'?t|cannot|can not|n't|\bnot\b|\bwont\b|unable|declin|refus|\bpass\b|outside|beyond|against|\bno\b|unanswered|nothing|\bonly\b", re.I)
+
+
 def is_refusal(text: str) -> bool:
-    return bool(REFUSALS.search(re.sub(r"\s+", " ", text.lower().replace("’", "'"))))
+    if not _REFUSING.search(text):
+        return False
+    for words in roles(text):
+        hits = Counter(n for pair in {*zip(words, words[1:])} for n in _TEMPLATES_WITH.get(pair, ()))
+        for n, shared in hits.items():
+            template = _TEMPLATES[n]
+            if shared >= PAIRS * (len(template) - 1) and _aligned(template, words):
+                return True
+    return False
+
+
+def _aligned(template: list[str], words: list[str]) -> bool:
+    """Whether a stretch of the sentence has ALIGNED of the template's words in order; a short template stands alone and whole."""
+    if len(template) < 4:
+        return words[: len(template)] == template and len(words) <= len(template) + FREE
+    least = max(4, -(-ALIGNED * len(template) // 1))
+    width = len(template) + FREE
+    core = CORE.intersection(template)
+    first = {i for i, w in enumerate(words) if w in template[:2]}
+    return any(core.issubset(words[i : i + width]) and common_length(template, words[i : i + width]) >= least for i in first)
 
 
 def tokens(text: str) -> list[str]:
-    return _TOKEN.findall(text.lower())
+    low = text.lower()
+    return low.translate(_ASCII).split() if low.isascii() else _TOKEN.findall(low)
 
 
 def common_length(a: list[str], b: list[str]) -> int:
@@ -116,6 +218,10 @@ def common_length(a: list[str], b: list[str]) -> int:
     return len(a) - bin(row).count("1")
 
 
+def _shingles(words: list[str], k: int) -> list[tuple[str, ...]]:
+    return list(zip(*[words[i:] for i in range(k)]))
+
+
 class Prompt:
     """The token sequence of a prompt with its shingles by length."""
 
@@ -125,7 +231,7 @@ class Prompt:
 
     def of(self, k: int) -> set[tuple[str, ...]]:
         if k not in self.shingles:
-            self.shingles[k] = {tuple(self.tokens[i : i + k]) for i in range(len(self.tokens) - k + 1)}
+            self.shingles[k] = set(_shingles(self.tokens, k))
         return self.shingles[k]
 
     def copied(self, text: str) -> bool:
@@ -135,7 +241,7 @@ class Prompt:
         # A lead-in such as "Context:" and words cut at either end are no part of the copy.
         k = min(SHINGLE, len(own))
         have = self.of(k)
-        mine = [tuple(own[i : i + k]) for i in range(len(own) - k + 1)]
+        mine = _shingles(own, k)
         share = sum(s in have for s in mine) / len(mine)
         if share >= CONTAINED:
             return True
@@ -148,22 +254,46 @@ class Prompt:
         return common_length(own, self.tokens) >= COMMON * len(own)
 
 
-def is_other_language(text: str) -> bool:
-    plain = _CODE.sub(" ", text)
-    letters = len(_LETTER.findall(plain))
-    if not letters:
+def plain(text: str) -> str:
+    """The words of a text without code, paths, names in code and numbers."""
+    if "`" in text or '"' in text:
+        text = _QUOTED.sub(" ", text)
+    return " ".join(w for w in text.split() if not ("/" in w or "_" in w or any(c.isdigit() for c in w) or _FILE.search(w)))
+
+
+def is_english(words: list[str]) -> bool:
+    """A quick test: many words that English alone has. What passes needs no model."""
+    return sum(w in ENGLISH_ALONE for w in words) >= max(1, 0.1 * len(words))
+
+
+def is_other_language(text: str, model: Model) -> bool:
+    if is_english(tokens(text)):
         return False
-    if len(_OTHER_SCRIPT.findall(plain)) >= 0.3 * letters:
-        return True
-    words = re.findall(r"[^\W\d_]+", plain.lower())
-    score = {k: sum(w in s for w in words) for k, s in _WORD_SETS.items()}
-    best = max(score[k] for k in score if k != "en")
-    return best > score["en"] and best >= 2
+    own = plain(text)
+    words = _WORD.findall(own.lower())
+    if not words or is_english(words):
+        return False
+    foreign = not any(w in ENGLISH and w not in SHARED for w in words) and (len(words) >= 4 or not own.isascii())
+    [(code, _, accepted)] = model.classify([" ".join(words)])
+    return code != "en" and (accepted or foreign)
 
 
 def pieces(text: str) -> list[str]:
     """Words and marks, with code, paths, names and numbers as one sign."""
-    return _PIECE.findall(_CODE.sub(" § ", text.lower()).replace("§", "qqcode"))
+    low = text.lower()
+    if "`" in low or '"' in low:
+        low = _QUOTED.sub(f" {CODE} ", low)
+    out: list[str] = []
+    for w in low.split():
+        if w.isalpha():
+            out.append(w)
+        elif "/" in w or "_" in w or any(c.isdigit() for c in w) or _FILE.search(w):
+            out.append(CODE)
+            if w[-1] in ".!?,;:)…":
+                out.append(w[-1])
+        else:
+            out += _PIECE.findall(w)
+    return out
 
 
 def ending(text: str) -> str | None:
@@ -177,14 +307,14 @@ def ending(text: str) -> str | None:
     return "cut" if last in ",;:-–—/&=(" else "open"
 
 
-def classify(text: str | None, prompt: Prompt) -> str:
+def classify(text: str | None, prompt: Prompt, model: Model) -> str:
     if is_empty(text):
         return "empty"
     if is_refusal(text):
         return "refusal"
     if prompt.copied(text):
         return "copied_prompt"
-    if is_other_language(text):
+    if is_other_language(text, model):
         return "other_language"
     return {"cut": "truncated", "whole": "", "open": "open"}[ending(text)]
 
@@ -204,42 +334,56 @@ def _contexts(words: list[str], i: int) -> list[str]:
     return [" ".join(lead[s:]) for s in range(len(lead))]
 
 
-def _classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cols = batch.to_pydict()
-        out: list[tuple] = []
-        for i, prompt_id in enumerate(cols["prompt_id"]):
-            prompt = Prompt([t for t in cols["_prompt"][i] or [] if t])
-            for field in FIELDS:
-                text = cols[field][i]
-                kind = classify(text, prompt)
-                out.append((prompt_id, field, kind, text if kind in ("", "open") else None))
-        columns = list(zip(*out)) or [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.string()) for c in columns], ["prompt_id", "field_name", "defect_type", "text"]
-        )
+def _classifier(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, prompt = None, Prompt([])
+        for batch in batches:
+            cols = batch.to_pydict()
+            out: list[tuple] = []
+            for i, prompt_id in enumerate(cols["prompt_id"]):
+                texts = [t for t in cols["_prompt"][i] or [] if t]
+                if texts != last:  # the responses to a prompt follow one another
+                    last, prompt = texts, Prompt(texts)
+                for field in FIELDS:
+                    text = cols[field][i]
+                    kind = classify(text, prompt, model)
+                    out.append((prompt_id, field, kind, text if kind in ("", "open") else None))
+            columns = list(zip(*out)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["prompt_id", "field_name", "defect_type", "text"])
 
+    return run
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(context, times it ended a sentence, times seen), summed over a batch."""
-    for batch in batches:
+
+def _counter(last_words: set[str] | None):
+    """(context, times it ended a sentence, times seen) of the contexts that end in one of `last_words`, or of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends: Counter[str] = Counter()
         seen: Counter[str] = Counter()
-        for text in batch.column(0).to_pylist():
-            words = pieces(text)
-            for i in range(len(words) - 1):
-                if words[i] in ENDS or words[i] in ",;:()":
-                    continue
-                stop = words[i + 1] in ENDS
-                for c in _contexts(words, i):
-                    seen[c] += 1
-                    if stop:
-                        ends[c] += 1
-        keys = list(seen)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.string()), pa.array([ends[k] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())],
-            ["context", "ends", "seen"],
-        )
+
+        def counted() -> pa.RecordBatch:
+            keys = list(seen)
+            arrays = [pa.array(keys, pa.string()), pa.array([ends[k] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())]
+            return pa.RecordBatch.from_arrays(arrays, ["context", "ends", "seen"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = pieces(text)
+                for i in range(len(words) - 1):
+                    if words[i] in MARKS or last_words is not None and words[i] not in last_words:
+                        continue
+                    stop = words[i + 1] in ENDS
+                    for c in _contexts(words, i):
+                        seen[c] += 1
+                        if stop:
+                            ends[c] += 1
+            if len(seen) > MOST_COUNTED:
+                yield counted()
+                ends.clear()
+                seen.clear()
+        yield counted()
+
+    return run
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +404,7 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def defects(responses: DataFrame, prompts: DataFrame) -> DataFrame:
+def defects(responses: DataFrame, prompts: DataFrame, model: Model) -> DataFrame:
     """One row per prompt and defective field: prompt_id, field_name, defect_type."""
     latest = (
         responses.where(F.col("prompt_id").isNotNull())
@@ -268,6 +412,7 @@ def defects(responses: DataFrame, prompts: DataFrame) -> DataFrame:
         .agg(F.max(F.struct("received_at", "released_prefix_id", *FIELDS)).alias("r"))
         .select("prompt_id", "r.released_prefix_id", *[f"r.{f}" for f in FIELDS])
     )
+    latest = checkpointed(latest)
     # All texts of a prompt id: equal ones once, as a prefix is re-sent under two pool names.
     texts = (
         prompts.where(F.col("released_prefix_id").isNotNull())
@@ -277,28 +422,31 @@ def defects(responses: DataFrame, prompts: DataFrame) -> DataFrame:
         .groupBy("released_prefix_id")
         .agg(F.sort_array(F.collect_list("t")).alias("_prompt"))
     )
-    linked = latest.where(F.col("released_prefix_id").isNotNull()).join(texts, "released_prefix_id", "left")
-    alone = latest.where(F.col("released_prefix_id").isNull()).withColumn("_prompt", F.lit(None).cast("array<string>"))
-    each = linked.unionByName(alone).select("prompt_id", *FIELDS, "_prompt")
-    first = checkpointed(each.mapInArrow(_classified, "prompt_id string, field_name string, defect_type string, text string"))
+    # A prompt that many responses answer is cut into parts. Null prefixes match nothing.
+    each = spread_join(latest, texts, ["released_prefix_id"], "prompt_id", "left").select("prompt_id", *FIELDS, "_prompt")
+    first = checkpointed(each.mapInArrow(_classifier(model), "prompt_id string, field_name string, defect_type string, text string"))
 
+    asked = (
+        first.where("defect_type = 'open'")
+        .select("prompt_id", "field_name", "text")
+        .mapInArrow(_asked, "prompt_id string, field_name string, context string, n int")
+    )
+    asked = checkpointed(asked)
+    # Only contexts that are asked for need counts. Their last words are few; beyond the bound all are counted.
+    last = asked.where("n = 1").select("context").distinct().limit(BROADCAST_LIMIT_ROWS + 1).collect()
+    words = {r.context for r in last} if len(last) <= BROADCAST_LIMIT_ROWS else None
     counts = (
         first.where("text IS NOT NULL")
         .select("text")
-        .mapInArrow(_counted, "context string, ends bigint, seen bigint")
+        .mapInArrow(_counter(words), "context string, ends bigint, seen bigint")
         .groupBy("context")
         .agg(F.sum("ends").alias("ends"), F.sum("seen").alias("seen"))
     )
-    asked = (
-        first.where("defect_type = 'open'")
-        .select("prompt_id", "field_name", "text")
-        .mapInArrow(_asked, "prompt_id string, field_name string, context string, n int")
-        .withColumn("_salt", F.pmod(F.xxhash64("prompt_id"), F.lit(SALT)))
-    )
-    spread = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    # Distinct contexts are counted once, so a frequent ending is a single row until it is joined.
+    known = asked.select("context").distinct().join(counts, "context")
     # The longest context that occurs elsewhere decides; an ending seen nowhere else is a cut word.
     cut = (
-        asked.join(spread, ["context", "_salt"], "left")
+        spread_join(asked, known, ["context"], "prompt_id", "left")
         .groupBy("prompt_id", "field_name")
         .agg(F.max(F.when(F.col("seen") >= 1, F.struct("n", (F.col("ends") / F.col("seen")).alias("share")))).alias("best"))
         .where(F.coalesce(F.col("best.share"), F.lit(0.0)) < 0.5)
@@ -312,6 +460,7 @@ def p2_found(spark, folder: str) -> DataFrame:
     return defects(
         read_table(spark, folder, "api_replan_parsed_responses", "prompt_id", "released_prefix_id", "received_at", *FIELDS),
         read_table(spark, folder, "prefix_replan_sample", "released_prefix_id", *PROMPT_TEXTS),
+        fit_on(read_table(spark, folder, "documents", "doc_id", "lang", "text")),
     )
 
 

@@ -1,18 +1,39 @@
 from steploom.llm import answers as A
+from steploom.llm import languages as L
 from steploom.llm.queries import QUERIES
 
+NONE = L.fit([])
+
 
 def test_empty_refusal_language():
     for t in (None, "", " \n", "N/A", "{}", "...", "None.", "​", "(empty)", "no answer", '""'):
         assert A.is_empty(t)
     assert not A.is_empty("No caller was found.")
-    for t in ("i cant answer this one, sorry", "I must decline to propose an edit here.", "My instructions do not permit me to comment on this code.", "This request falls outside of what I am permitted to discuss.", "About x.py: I would prefer not to answer."):
+    for t in (
+        "i cant answer this one, sorry", "I must decline to propose an edit here.", "My instructions do not permit me to comment on this code.",
+        "This request falls outside of what I am permitted to discuss.", "About x.py: I would prefer not to answer.", "No comment.", "We're unable to help with that request.",
+        "I'd prefer to leave that one unanswered.", "As a large language model, I can't really offer any advice.", "Giving advice here is against our policies.",
+    ):
         assert A.is_refusal(t), t
-    for t in ("I cannot reproduce the failure with a cold cache.", "The service refused our connection in step 3.", "I would rather stop here than try the same edit.", "I could not find any caller."):
+    for t in (
+        "I cannot reproduce the failure with a cold cache.", "The service refused our connection in step 3.", "I would rather stop here than try the same edit.",
+        "I could not find any caller.", "We cannot continue the run because the disk is full.", "I am unable to complete this step until the lock is released.",
+        "Sorry, the cache cannot be cleared while the server runs.", "The user was told not to edit the file, so read it first.", "I would rather not touch the file.",
+        "The rules file does not allow a second entry.", "No comment in the header explains the lock, so read the writer.", "",
+    ):
         assert not A.is_refusal(t), t
-    for t in ("Der Agent hat dieselbe Datei 3 Mal geöffnet.", "Похоже, вызов раньше.", "もう一度実行しました。", "Nada en el registro explica por qué aparecen más entradas."):
-        assert A.is_other_language(t), t
-    assert not A.is_other_language("Search src/a.py for callers of die_der_das and check them.")
+    for t in (
+        "Der Agent hat dieselbe Datei 3 Mal geöffnet.", "Похоже, вызов раньше.", "もう一度実行しました。", "Nada en el registro explica por qué aparecen más entradas.",
+        "Agent ponownie otworzył ten sam plik, ale nic nie zmienił.", "Ajan aynı dosyayı tekrar açtı ama hiçbir şeyi değiştirmedi.", "Agenten öppnade samma fil igen utan att ändra något.",
+    ):
+        assert A.is_other_language(t, NONE), t
+    for t in ("Search src/a.py for callers of die_der_das and check them.", "Revert last edit", "rerun selected tests", "`der die das` src/a.py", ""):
+        assert not A.is_other_language(t, NONE), t
+
+
+def test_templates_are_refusals():
+    for t in A.REFUSALS:
+        assert A.is_refusal(t), t
 
 
 def test_copies():
@@ -55,10 +76,10 @@ def test_truncation_is_learnt_and_edge_rows(spark):
         ("c", "x", None, "repeated text from the prompt itself is here", whole, whole), ("c", "x", None, "repeated text from the prompt itself is here", whole, whole),
     ]
     prompts = spark.createDataFrame([("x", "some repeated text from the prompt itself is here", None, None), ("x", None, None, None), (None, "q", None, None)], P)
-    got = {tuple(r) for r in A.defects(spark.createDataFrame(rows, R), prompts).collect()}
+    got = {tuple(r) for r in A.defects(spark.createDataFrame(rows, R), prompts, NONE).collect()}
     e, n, w = A.FIELDS
     assert got == {("a", n, "truncated"), ("a", w, "truncated"), ("b", e, "truncated"), ("b", n, "truncated"), ("b", w, "empty"), ("c", e, "copied_prompt")}
-    assert A.defects(spark.createDataFrame([], R), spark.createDataFrame([], P)).count() == 0
+    assert A.defects(spark.createDataFrame([], R), spark.createDataFrame([], P), NONE).count() == 0
 
 
 def test_one_defect_per_field(spark, data):
