@@ -1,12 +1,14 @@
 """Credentials in code, commands and configuration (problem 5).
 
-One deterministic automaton holds the fixed parts of all token formats, key armor, connection strings
-and assignments. It reads a text once, in overlapping chunks; wherever it stops, the grammar that
-belongs to the fixed part says which characters are the secret value. Absolute spans are deduplicated
-and the values replaced; quotes, keywords and separators stay, so the code around keeps its form.
-
-Defined results: null and empty texts hold nothing. Placeholders (<...>, ***, xxx, REDACTED, changeme),
-variables and lookups ($X, ${X}, $(...), %X%, {{...}}, os.environ[...], calls), type names, None/null,
+One deterministic automaton holds the fixed beginning of every grammar: token formats, key armor,
+connection strings, headers, options, assignments. It reads a text once, in overlapping chunks; at each
+place where it stops, the grammars with that beginning are matched from there to their own end, however
+long the value is. Absolute spans are deduplicated and the values replaced; quotes, keywords and
+separators stay, so the code around keeps its form.
+
+Defined results: null and empty texts hold nothing. Placeholders, variables and lookups are told by their
+grammar (<...>, ***, xxx, [REDACTED], changeme; $NAME, ${...}, $(...), %NAME%, {{...}}, {name}; calls and
+attributes outside quotes), so a value that only begins like one is a secret. Type names, None/null,
 public keys, certificates, checksums and ids are no secrets. A string literal split by + is masked in
 each part. Key armor that is cut off before its end is masked to the last line of key text.
 """
@@ -49,39 +51,37 @@ TOKEN_FORMATS = {
 }
 PASSWORD_WORDS = ("password", "passwd", "passphrase", "passwort", "pwd", "_pw", "-pw", "_pass", "sshpass")
 TOKEN_WORDS = (
-    "token", "api_key", "apikey", "api-key", "api key", "access_key", "access-key", "accesskey",
-    "secret", "auth_key", "authkey", "signing_key", "signing key", "private_key", "key, ", "with key", "old key",
-    "new key", "signature", "sig=", "credential",
+    "token", "api_key", "apikey", "api-key", "api key", "access_key", "access-key", "accesskey", "secret", "auth_key", "auth-key", "authkey",
+    "signing_key", "signing key", "signing-key", "old key", "new key", "live key", "prod key", "current key", "signature", "sig=", "sig:", "sig\"", "credential",
 )
 PLACEHOLDER = re.compile(
-    r"(?i)^(?:<.*|[$%{(\[].*|&.*|.*\$\{.*|\*+|x{3,}|\.{3,}|-+|none|null|nil|undefined|true|false|str|string|text|bytes|int|any|"
-    r"optional.*|required|changeme|change_me|change-me|placeholder|example|dummy|redacted|masked|hidden|secret|"
-    r"password|passwd|pwd|token|your[-_ ].*|my[-_ ]?(?:password|token|secret)|todo|tbd|n/a|empty|stdin|file|"
-    r"(?:os\.|process\.|config|settings|env|self|request|ctx|args|options|vault|next|get)[\w.]*[\[(.].*|"
-    r"os\.environ.*|process\.env.*|[\w.]+\(.*)$"
+    r"(?i)<[^<>]*>|\$[A-Z_][A-Z0-9_]*|\$\(.*|.*\$\{.*|%[A-Z_]\w*%|%[sdr]|%\(\w+\)s|\{\{.*|\{[\w.:]*\}|\[[\w .-]*\]|\(\w*\)|&\w{2,8};"
+    r"|\*+|x{3,}|\.{3,}|-+|none|null|nil|undefined|true|false|str|string|text|bytes|int|any|optional.*|required|change[-_]?me|placeholder|example|dummy|redacted|"
+    r"masked|hidden|secret|password|passwd|pwd|token|your[-_ ].*|my[-_ ]?(?:password|token|secret)|todo|tbd|n/a|empty|stdin|file"
 )
+#: A call, an attribute or an item of something: only outside quotes.
+LOOKUP = re.compile(r"(?i)(?:os\.|process\.|config|settings|env|self|request|ctx|args|options|vault|next|get)[\w.]*[\[(.].*|\$[A-Z_({].*|[{(\[].*")
 _LITERAL = r"""(?:"(?P<q2>(?:[^"\\\n]|\\.)*)"|'(?P<q1>(?:[^'\\\n]|\\.)*)'|`(?P<q0>[^`\n]*)`)"""
 _BARE = r"""(?P<bare>[^\s"'`;&,<>()\\\]}|]+)"""
-_NAME_END = r"""[\w-]{0,40}\\?["']?\]?\s{0,3}(?::=|=>|->|=|:|,(?=\s{0,2}["'`]))\s{0,3}\\?"""
+_NAME_END = r"""[\w-]*\\?["']?\]?\s{0,3}(?::=|=>|->|=|:|,(?=\s{0,2}["'`]))\s{0,3}\\?"""
 
 RE_PASSWORD = re.compile(rf"(?:pass(?:word|wd|phrase|wort)?|pwd|[_-]pw|sshpass){_NAME_END}(?:{_LITERAL}|{_BARE})", re.I)
-RE_PASSWORD_OPTION = re.compile(
-    rf"(?:--password|--passwd|--pass|sshpass\s+-p|login\s+\S+\s+password)\s{{1,3}}(?:{_LITERAL}|{_BARE})", re.I
-)
-RE_PASSWORD_ENV = re.compile(rf"\b(?:ENV|ARG|setenv|set)\s+\w*(?:PASSWORD|PASSWD|PW|PASS|PWD)\s+(?:{_LITERAL}|{_BARE})")
+RE_PASSWORD_OPTION = re.compile(rf"(?:--pass(?:word|wd)?|sshpass\s+-p|login\s+\S+\s+password)\s{{1,3}}(?:{_LITERAL}|{_BARE})", re.I)
+RE_PASSWORD_ENV = re.compile(rf"(?<!\w)(?:ENV|ARG|setenv|set)\s+\w*(?:PASSWORD|PASSWD|PW|PASS|PWD)\s+(?:{_LITERAL}|{_BARE})")
 RE_PASSWORD_PROSE = re.compile(r"(?:password|passwd|passphrase)\b[^\n:=\"'(]{0,40}?\b(?:is|was|now)\s+[\"'`]?(?P<bare>[^\s\"'`,;]+)", re.I)
 RE_PASSWORD_XML = re.compile(r"(?:password|passwd|pwd)\w*\\?[\"']\s+value\s*=\s*\\?[\"'](?P<bare>[^\"'\\]+)", re.I)
-RE_MYSQL = re.compile(r"\b(?:mysql|mysqldump|mysqladmin|mariadb)\b[^\n|;]{0,120}?\s-p(?P<bare>[^\s\"']+)")
-RE_BASIC_USER = re.compile(r"""\s(?:-u|--user)[ =]{1,2}["']?[A-Za-z0-9_.@-]+:(?P<bare>[^\s"']+)""")
+RE_MYSQL = re.compile(r"\b(?:mysql|mysqldump|mysqladmin|mariadb)\b[^\n|;]*?\s-p(?P<bare>[^\s\"']+)", re.I)
+RE_BASIC_USER = re.compile(r"""(?<!\S)(?:-u|--user)[ =]{1,2}["']?[A-Za-z0-9_.@-]+:(?P<bare>[^\s"']+)""", re.I)
 RE_TOKEN = re.compile(
     rf"(?:token|api[_ -]?key|access[_-]?key|secret|auth[_-]?key|signing[_ -]?key|(?:old|new|live|prod|current)\s+key|signature|sig|credential)"
     rf"{_NAME_END}(?:{_LITERAL}|{_BARE})", re.I
 )
-RE_TOKEN_OPTION = re.compile(rf"--[\w-]*(?:token|key|secret)[ =]{{1,3}}(?:{_LITERAL}|{_BARE})", re.I)
+RE_TOKEN_OPTION = re.compile(rf"(?<!-)--[\w-]*(?:token|key|secret)[ =]{{1,3}}(?:{_LITERAL}|{_BARE})", re.I)
 RE_TOKEN_PROSE = re.compile(
-    r"(?:(?:old|new|live|prod|current)\s+key[^\n:=]{0,30}[:=]|(?:sign\w*|auth\w*|call\w*)\s+with\s+(?:the\s+)?key|token\s+(?:is|was))\s+[\"'`]?(?P<bare>[^\s\"'`,;]+)",
-    re.I,
+    r"(?:(?:old|new|live|prod|current)\s+key[^\n:=]{0,30}[:=]|with\s+(?:the\s+)?key|token\s+(?:is|was))\s+[\"'`]?(?P<bare>[^\s\"'`,;]+)", re.I
 )
+#: What is done with a key when the next word is the key.
+_WITH = re.compile(r"\b(?:sign|auth|call)\w*\s+$", re.I)
 RE_BEARER = re.compile(r"bearer\s+(?P<bare>[^\s\"'`,;<>]+)", re.I)
 RE_BASIC = re.compile(r"basic\s+(?P<bare>[A-Za-z0-9+/]{8,}={0,2})(?![\w+/])", re.I)
 RE_HOOK = re.compile(r"/hooks/(?:[A-Z0-9]+/)?(?P<bare>[A-Za-z0-9]{16,})")
@@ -92,6 +92,9 @@ RE_ARMOR_BODY = re.compile(
 )
 RE_ARMOR_LINE = re.compile(r"(?:(?:\s|\\[nr])*[A-Za-z0-9+/]{24,}={0,2})+")
 RE_MORE_LITERAL = re.compile(rf"\s*(?:\+|\.)?\s*{_LITERAL}")
+_TOKEN_TEXT = re.compile(r"[A-Za-z0-9_\-+/=.~%:$!@#^*]+")
+_VERSION = re.compile(r"[A-Za-z]+[A-Z]?[a-z]*[-_. ]?v?\d+$")
+_TURNS = re.compile(r"(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]")
 _TOKEN_START = re.compile(r"[A-Za-z0-9_]")
 _HEX_ID = re.compile(r"^[0-9a-f-]+$")
 _TOKEN_RES = {k: re.compile(v) for k, v in TOKEN_FORMATS.items()}
@@ -99,10 +102,17 @@ _ANY_TOKEN = re.compile("|".join(f"(?:{v})" for v in TOKEN_FORMATS.values()))
 
 
 def looks_like_token(v: str) -> bool:
-    """Long, without blanks, and mixed as generated text is."""
-    return len(v) >= 16 and bool(re.fullmatch(r"[A-Za-z0-9_\-+/=.~%:]+", v)) and any(c.isdigit() for c in v) and any(
-        c.isalpha() for c in v
-    )
+    """Without blanks, and long and mixed as generated text is.
+
+    16 characters with letters and digits; or 12 with small and capital letters and digits; or 24 without
+    digits, if small and capital letters take turns as in no compound word.
+    """
+    if not _TOKEN_TEXT.fullmatch(v):
+        return False
+    digit, alpha = any(c.isdigit() for c in v), any(c.isalpha() for c in v)
+    if digit and alpha and (len(v) >= 16 or len(v) >= 12 and v.lower() != v != v.upper() and not _VERSION.match(v)):
+        return True
+    return len(v) >= 24 and alpha and len(_TURNS.findall(v)) * 4 >= len(v)
 
 
 def looks_like_password(v: str) -> bool:
@@ -131,7 +141,7 @@ def _spans_of(text: str, m: re.Match, kind: str, good: Callable[[str], bool]) ->
         return []
     parts = [at]
     value = text[at[0] : at[1]]
-    if PLACEHOLDER.match(value) or not value:
+    if not value or PLACEHOLDER.fullmatch(value) or not _in_literal(m) and LOOKUP.match(value):
         return []
     if _in_literal(m):
         end = m.end()
@@ -154,35 +164,44 @@ def _token_format(text: str, at: int, word: str) -> list[Span]:
     return [(m.start(), m.end(), "api_token")] if m and any(c.isdigit() or c.isupper() for c in m.group()) else []
 
 
-def _near(regex: re.Pattern, text: str, at: int, back: int, kind: str, good: Callable[[str], bool]) -> list[Span]:
-    """Matches of `regex` that hold the position `at`."""
-    start = max(0, at - back)
-    m = regex.search(text, start, min(len(text), at + 4096))
-    while m and m.start() <= at:
-        if m.end() > at:
-            return _spans_of(text, m, kind, good)
-        m = regex.search(text, m.start() + 1, min(len(text), at + 4096))
-    return []
+Rule = Callable[[str, int], list[Span]]
+
+
+def _rule(regex: re.Pattern, kind: str, good: Callable[[str], bool]) -> Rule:
+    """The grammar `regex` from the place where the automaton stopped, to its own end."""
+
+    def run(text: str, at: int) -> list[Span]:
+        m = regex.match(text, at)
+        return _spans_of(text, m, kind, good) if m else []
+
+    return run
+
+
+def _first(*rules: Rule) -> Rule:
+    def run(text: str, at: int) -> list[Span]:
+        return next((spans for rule in rules if (spans := rule(text, at))), [])
+
+    return run
 
 
 def _usable(v: str) -> bool:
-    return len(v) >= 4 and not PLACEHOLDER.match(v)
+    return len(v) >= 4 and not PLACEHOLDER.fullmatch(v) and not LOOKUP.fullmatch(v)
 
 
-def _password_rules(text: str, at: int) -> list[Span]:
-    if text.startswith("-stdin", at + 8):
-        return []
-    spans = _near(RE_PASSWORD_OPTION, text, at, 80, "password", _usable)
-    spans = spans or _near(RE_PASSWORD_XML, text, at, 0, "password", _usable)
-    spans = spans or _near(RE_PASSWORD, text, at, 0, "password", looks_like_password)
-    spans = spans or _near(RE_PASSWORD_ENV, text, at, 60, "password", looks_like_password)
-    return spans or _near(RE_PASSWORD_PROSE, text, at, 0, "password", looks_like_password)
+_PASSWORD = _first(
+    _rule(RE_PASSWORD_OPTION, "password", _usable), _rule(RE_PASSWORD_XML, "password", _usable),
+    _rule(RE_PASSWORD, "password", looks_like_password), _rule(RE_PASSWORD_PROSE, "password", looks_like_password),
+)
+_TOKEN = _first(_rule(RE_TOKEN, "api_token", looks_like_token), _rule(RE_TOKEN_PROSE, "api_token", looks_like_token))
+_KEY = _rule(RE_TOKEN_PROSE, "api_token", looks_like_token)
+
+
+def _password(text: str, at: int) -> list[Span]:
+    return [] if text.startswith("-stdin", at + 8) else _PASSWORD(text, at)
 
 
-def _token_rules(text: str, at: int) -> list[Span]:
-    spans = _near(RE_TOKEN_OPTION, text, at, 40, "api_token", looks_like_token)
-    spans = spans or _near(RE_TOKEN, text, at, 8, "api_token", looks_like_token)
-    return spans or _near(RE_TOKEN_PROSE, text, at, 20, "api_token", looks_like_token)
+def _with_key(text: str, at: int) -> list[Span]:
+    return _KEY(text, at) if _WITH.search(text, max(0, at - 64), at) else []
 
 
 def _userinfo(text: str, at: int) -> list[Span]:
@@ -211,28 +230,28 @@ def _armor(text: str, at: int) -> list[Span]:
     return [(a, b, "private_key")] if b - a >= 16 else []
 
 
-def _header(regex: re.Pattern, kind: str, good: Callable[[str], bool]) -> Callable[[str, int], list[Span]]:
-    return lambda text, at: _near(regex, text, at, 0, kind, good)
-
-
 def automaton() -> ahocorasick.Automaton:
-    auto = ahocorasick.Automaton()
+    rules: dict[str, list[Rule]] = {}
     for word in TOKEN_FORMATS:
-        auto.add_word(word, (word, lambda text, at, w=word: _token_format(text, at, w)))
-    rules = {w: _password_rules for w in PASSWORD_WORDS} | {w: _token_rules for w in TOKEN_WORDS}
-    rules |= {
+        rules[word] = [lambda text, at, w=word: _token_format(text, at, w)]
+    option, env = _rule(RE_PASSWORD_OPTION, "password", _usable), _rule(RE_PASSWORD_ENV, "password", looks_like_password)
+    user, client = _rule(RE_BASIC_USER, "password", _usable), _rule(RE_MYSQL, "password", _usable)
+    more = {
+        **dict.fromkeys(PASSWORD_WORDS, _password), **dict.fromkeys(TOKEN_WORDS, _TOKEN), **dict.fromkeys(("--pass", "login "), option),
+        **dict.fromkeys(("env ", "arg ", "setenv ", "set "), env), **dict.fromkeys(("with key", "with the key"), _with_key),
+        **dict.fromkeys(("-u ", "-u=", "--user"), user), **dict.fromkeys(("mysql", "mariadb"), client),
+        "--": _rule(RE_TOKEN_OPTION, "api_token", looks_like_token),
         "-----begin ": _armor,
         "://": _userinfo,
-        "bearer ": _header(RE_BEARER, "api_token", looks_like_token),
-        "basic ": _header(RE_BASIC, "password", lambda v: len(v) >= 8 and v.lower() != v),
-        "/hooks/": _header(RE_HOOK, "api_token", looks_like_token),
-        " -u ": _header(RE_BASIC_USER, "password", _usable),
-        " --user": _header(RE_BASIC_USER, "password", _usable),
-        "mysql": _header(RE_MYSQL, "password", _usable),
-        "mariadb": _header(RE_MYSQL, "password", _usable),
-    }
-    for word, rule in rules.items():
-        auto.add_word(word, (word, rule))
+        "bearer ": _rule(RE_BEARER, "api_token", looks_like_token),
+        "basic ": _rule(RE_BASIC, "password", lambda v: len(v) >= 8 and v.lower() != v),
+        "/hooks/": _rule(RE_HOOK, "api_token", looks_like_token),
+    }
+    for word, rule in more.items():
+        rules.setdefault(word, []).append(rule)
+    auto = ahocorasick.Automaton()
+    for word, each in rules.items():
+        auto.add_word(word, (len(word), each))
     auto.make_automaton()
     return auto
 
@@ -246,8 +265,9 @@ def finder() -> Callable[[str], list[Span]]:
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         spans: set[Span] = set()
         for start in range(0, len(low), CHUNK):
-            for end, (word, rule) in auto.iter(low[start : start + CHUNK + OVERLAP]):
-                spans.update(rule(text, start + end - len(word) + 1))
+            for end, (size, rules) in auto.iter(low[start : start + CHUNK + OVERLAP]):
+                for rule in rules:
+                    spans.update(rule(text, start + end - size + 1))
         armor = [s for s in spans if s[2] == "private_key"]
         rest = [s for s in spans if s[2] != "private_key" and not any(a <= s[0] < b for a, b, _ in armor)]
         return _one_type(settle([*armor, *rest]), text)

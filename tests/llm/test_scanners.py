@@ -53,6 +53,20 @@ def test_split_literal_key_armor_and_chunks():
         assert secrets(t) == {(TOKEN, "api_token")}
 
 
+def test_values_of_any_length_and_first_character():
+    long = "aB3x" * 1500
+    for t, v, k in [
+        (f"api_token={long} x", long, "api_token"), (f'api_token="{long}"', long, "api_token"), (f"password: '{'Pw!9' * 3000}'", "Pw!9" * 3000, "password"),
+        (f"mysql {'-o ' * 900}-pXf9Nc9DKVrdB7T! d", "Xf9Nc9DKVrdB7T!", "password"), (f"export {'A_' * 60}TOKEN_{'B_' * 60}X={TOKEN}", TOKEN, "api_token"),
+        ('password = "$uper5ecret!"', "$uper5ecret!", "password"), ("passwd='(abc123!X'", "(abc123!X", "password"), ("PASSWORD=%Pass1word", "%Pass1word", "password"),
+        ("password='{cipher}xyz123ABC'", "{cipher}xyz123ABC", "password"), ("secret_key = 'dRkQpXbVtLmZyWcHfNgJsKaE'", "dRkQpXbVtLmZyWcHfNgJsKaE", "api_token"),
+        ("token='aB3dE6gH9jK2'", "aB3dE6gH9jK2", "api_token"),
+    ]:
+        assert (v, k) in secrets(t), (t[:60], secrets(t))
+    for t in ("PWD=%DB_PASS%", "password={{ x }}", "password=$PASS", "DB_PASSWORD='<your password>'", "token=[REDACTED]", "password=%(db_password)s", "password={password}", "-" * 20_000, "token = tokenizer"):
+        assert not find_secret(t), t
+
+
 def test_personal_data():
     for t, v, k in [
         ("Tel.: +49 30 23125 512", "+49 30 23125 512", "phone"), ("mobile (813) 555-0106", "(813) 555-0106", "phone"), ("contact_number=15765550179", "15765550179", "phone"),
