@@ -1,15 +1,20 @@
 """Languages of documents and of the segments of mixed ones (problem 8).
 
 A text is cut into sentences; code blocks, commands, log lines, paths and names in code are taken out.
-A sentence is a vector of hashed character n-grams (one to three, words padded with blanks) weighted by
-TF-IDF and normalised. It takes the language of its nearest centroid by cosine, of several clustered
-centroids per language; if the nearest one is too far, or a second language almost as near, it is
-rejected and counts for no language.
+A sentence is a vector of hashed character trigrams of its words, padded with blanks (of scripts without
+blanks: of single characters and pairs too), weighted by TF-IDF and normalised. It takes the language of
+its nearest centroid by cosine, of several clustered centroids per language; if the nearest one is too
+far, or a second language almost as near, it is rejected and counts for no language. Its confidence
+comes from these two distances.
+
+The n-grams of a word, and its share in the product with each centroid, are kept by word, as text
+repeats words; sentences are all worked out.
 
 The centroids are fitted on a bounded sample of labelled documents: at most SAMPLE_PER_LABEL per
 language, chosen by a hash of doc_id. Labels may be wrong, so sentences that lie nearer to another
 language's mean than to their own are dropped before the clusters are made. Every document and every
-sentence is then classified.
+sentence is then classified. A sentence of fewer than LEAST_LETTERS letters counts by itself if it is
+clearly of its language (CLEAR times the margin); else it belongs to its neighbours.
 
 Defined results: null and blank texts have no language; a text without any accepted sentence takes the
 language of all its words together, or none if that is rejected too; rows with a null doc_id are left
@@ -37,13 +42,16 @@ SAMPLE_PER_LABEL = 150
 SAMPLE_CHARS = 20_000
 CLUSTERS = 4
 BUCKETS = 1 << 14
-CHUNK = 400
-#: Sentences a worker keeps the answer of; beyond it, it forgets them all.
-MEMO = 50_000
-#: A sentence with fewer letters is judged only with the whole text.
+#: Words and n-grams a worker keeps; beyond either, it forgets them all.
+MEMO_WORDS, MEMO_GRAMS = 1 << 17, 1 << 22
 LEAST_LETTERS = 18
-#: The nearest centroid must be nearer than the next language's by this much of a cosine.
-MARGIN = 0.035
+#: Fewer letters than this say nothing.
+FEWEST_LETTERS = 8
+CLEAR = 3.0
+#: The nearest centroid must be nearer than the next language's by this share of its cosine.
+MARGIN = 0.12
+#: A cosine below this share of what one in a hundred sample sentences of the centroid falls below is too far.
+FLOOR = 0.38
 
 # The nine languages with their usual codes and names.
 LANGUAGE_NAMES = {
@@ -80,117 +88,178 @@ _CODE_LINE = re.compile(
     re.M,
 )
 _MARKUP = re.compile(r"<[^<>\n]{1,80}>|&\w{2,6};|\*\*|__|`[^`\n]*`|https?://\S+")
-_NAME_IN_CODE = re.compile(r"(?<![\w./-])(?:[\w.-]*/[\w./-]*\w|\w+_\w+|\w+\.(?:py|go|ts|js|yaml|toml|json|md)\b|\w*\d[\w.]*)")
+_NAME_IN_CODE = re.compile(r"(?:[A-Za-z0-9_.-]*/[A-Za-z0-9_./-]*|[A-Za-z0-9]+_[A-Za-z0-9_]+|[A-Za-z0-9_]+\.(?:py|go|ts|js|yaml|toml|json|md)\b|[A-Za-z_]*\d[A-Za-z0-9_.]*)")
 _SENTENCE = re.compile(r"[^.!?。！？\n\r]+(?:[.!?。！？]+(?!\w)|[.!?](?=\w)[^.!?。！？\n\r]*)*")
-_NO_LETTER = re.compile(r"[^\w'’]+|_", re.U)
+_NO_LETTER = re.compile(r"[^\w'’]+|_|\d+")
+_PUNCTUATION = ".,;:!?()[]\"'’«»„“”"
+
+
+def words_of(sentence: str) -> list[str]:
+    """The words of a sentence without names in code and numbers."""
+    out = []
+    for w in sentence.split():
+        if w.isalpha():
+            out.append(w)
+            continue
+        w = w.strip(_PUNCTUATION)
+        if w.isalpha():
+            out.append(w)
+        elif w:
+            out += _NO_LETTER.sub(" ", _NAME_IN_CODE.sub(" ", w)).split()
+    return out
 
 
-def sentences(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, plain words) of each sentence of `text`; the words are in lower case."""
+def sentences(text: str) -> list[tuple[int, int, list[str]]]:
+    """(start, end, words) of each sentence of `text`; the words are in lower case."""
 
     def blank(m: re.Match) -> str:
         return " " * (m.end() - m.start())
 
-    clean = _CODE_LINE.sub(blank, _FENCE.sub(lambda m: "\n" * (m.end() - m.start()), text))
-    clean = _NAME_IN_CODE.sub(blank, _MARKUP.sub(blank, clean))
+    clean = _FENCE.sub(lambda m: "\n" * (m.end() - m.start()), text) if "```" in text else text
+    clean = _MARKUP.sub(blank, _CODE_LINE.sub(blank, clean))
+    low = clean.lower()
+    if len(low) != len(clean):  # a few letters change their length in lower case
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in clean)
     out = []
-    for m in _SENTENCE.finditer(clean):
-        words = _NO_LETTER.sub(" ", m.group()).strip().lower()
-        if words:
+    for m in _SENTENCE.finditer(low):
+        if words := words_of(m.group()):
             out.append((m.start(), m.end(), words))
     return out
 
 
-def _letters(words: str) -> int:
+def _letters(words: list[str]) -> int:
     # A letter of a script without blanks says as much as three others.
-    return sum(3 if c > "⺀" else 1 for c in words if c.isalpha())
+    return sum(len(w) if w.isascii() or w[0] < "⺀" else 3 * len(w) for w in words)
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bucket, count) of the n-grams of each text, sorted by row."""
-    joined = "\0".join(f" {t} " for t in texts) + "\0"
-    codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of the n-grams of each word in a row, and how many each word has."""
+    joined = "\0".join(f" {w} " for w in words) + "\0"
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
     row = np.cumsum(codes == 0) - (codes == 0)
-    live = codes != 0
-    rows, buckets = [], []
-    h = np.zeros(len(codes), dtype=np.int64)
-    for n in range(1, 4):
-        m = len(codes) - n + 1
-        h = (h[:m] * 1_000_003 + codes[n - 1 :][:m] * 7919 + n) & 0x7FFFFFFFFFFF
-        inside = live[:m].copy()
-        for j in range(1, n):
-            inside &= live[j : j + m]
-        rows.append(row[:m][inside])
-        buckets.append(((h[inside] * 2_654_435_761) >> 12) % BUCKETS)
-    key, count = np.unique(np.concatenate(rows) * BUCKETS + np.concatenate(buckets), return_counts=True)
-    return key // BUCKETS, key % BUCKETS, count
+    rows, hashes = [], []
+
+    def add(inside: np.ndarray, h: np.ndarray) -> None:
+        rows.append(row[: len(inside)][inside])
+        hashes.append(h[inside])
+
+    live, dense = codes != 0, codes >= 0x2E80
+    add(live[:-2] & live[1:-1] & live[2:], (codes[:-2] * 1_000_003 + codes[1:-1]) * 1_000_003 + codes[2:])
+    add(live[:-1] & live[1:], codes[:-1] * 1_000_033 + codes[1:] * 31 + 2)
+    add(dense, codes * 7919 + 1)
+    row, h = np.concatenate(rows), np.concatenate(hashes)
+    order = np.argsort(row, kind="stable")
+    h = (h[order] * 0x9E3779B1 & 0x7FFFFFFFFFFFFFFF) >> 20
+    return (h % BUCKETS).astype(np.int32), np.bincount(row, minlength=len(words))
+
+
+class Memory:
+    """The n-grams of words, kept by word, and for each word the sum of a table's rows at its n-grams."""
+
+    def __init__(self, table: np.ndarray | None = None) -> None:
+        self.table = table
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.buckets, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.sums = None if self.table is None else np.zeros((0, self.table.shape[1]), np.float32)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        if len(self.number) > MEMO_WORDS or len(self.buckets) > MEMO_GRAMS:
+            self.clear()
+        number = self.number
+        new = [w for w in dict.fromkeys(words) if w not in number]
+        if new:
+            buckets, sizes = grams(new)
+            for i, w in enumerate(new, len(number)):
+                number[w] = i
+            self.buckets, self.sizes = np.concatenate([self.buckets, buckets]), np.concatenate([self.sizes, sizes])
+            if self.table is not None:  # every word has a trigram, so no slice is empty
+                sums = np.add.reduceat(self.table[buckets], np.cumsum(sizes) - sizes, axis=0)
+                self.sums = np.concatenate([self.sums, sums.astype(np.float32)])
+            self.starts = np.cumsum(self.sizes) - self.sizes
+        return np.fromiter((number[w] for w in words), dtype=np.int64, count=len(words))
+
+    def counts(self, numbers: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, bucket, count) of the n-grams of rows of words, sorted by row."""
+        size = self.sizes[numbers]
+        at = np.arange(int(size.sum())) + np.repeat(self.starts[numbers] - (np.cumsum(size) - size), size)
+        key = np.repeat(row, size) * BUCKETS + self.buckets[at]
+        if len(row) and row[-1] < (1 << 31) // BUCKETS - 1:
+            key = key.astype(np.int32)
+        key, count = np.unique(key, return_counts=True)
+        return key // BUCKETS, key % BUCKETS, count
 
 
 class Model:
     """Centroids of each language with their rejection distances."""
 
-    def __init__(self, idf: np.ndarray, centroids: np.ndarray, owner: np.ndarray, floor: np.ndarray, codes: list[str]):
-        self.idf, self.centroids, self.owner, self.floor, self.codes = idf, centroids, owner, floor, codes
+    def __init__(self, idf: np.ndarray, centroids: np.ndarray, owner: np.ndarray, floor: np.ndarray, usual: np.ndarray, codes: list[str]):
+        self.idf, self.centroids, self.owner, self.floor, self.usual, self.codes = idf, centroids, owner, floor, usual, codes
+        self.memory: Memory | None = None
 
-    def weights(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        row, bucket, count = features(texts)
-        w = (1 + np.log(count)) * self.idf[bucket]
-        norm = np.sqrt(np.bincount(row, w * w, minlength=len(texts)))
-        return row, bucket, (w / np.maximum(norm[row], 1e-9)).astype(np.float32)
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"memory": None}
 
-    def cosines(self, texts: list[str]) -> np.ndarray:
-        """Cosine of each text to each centroid."""
+    def cosines(self, texts: list[list[str]]) -> np.ndarray:
+        """Cosine of each text, given as its words, to each centroid."""
+        if self.memory is None:
+            self.memory = Memory((self.idf[:, None] * self.centroids).astype(np.float32))
         out = np.zeros((len(texts), self.centroids.shape[1]), dtype=np.float32)
-        for at in range(0, len(texts), CHUNK):
-            part = texts[at : at + CHUNK]
-            row, bucket, w = self.weights(part)
-            if len(row):
-                start = np.flatnonzero(np.diff(row, prepend=-1))
-                out[at + row[start]] = np.add.reduceat(self.centroids[bucket] * w[:, None], start, axis=0)
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        full = np.flatnonzero(sizes)
+        if len(full):
+            numbers = self.memory.numbers([w for t in texts for w in t])
+            row = np.repeat(np.arange(len(full)), sizes[full])
+            r, bucket, count = self.memory.counts(numbers, row)
+            norm = np.sqrt(np.bincount(r, (count * self.idf[bucket]) ** 2, minlength=len(full)))
+            sums = np.add.reduceat(self.memory.sums[numbers], np.cumsum(sizes[full]) - sizes[full], axis=0)
+            out[full] = sums / np.maximum(norm, 1e-9)[:, None]
         return out
 
     def classify(self, texts: list[str]) -> list[tuple[str | None, float, bool]]:
-        """(language, confidence, accepted) of each text. Equal texts are worked out once."""
-        if not self.codes:
-            return [(None, 0.0, False)] * len(texts)
-        memo = self.__dict__.setdefault("_memo", {})
-        if len(memo) > MEMO:
-            memo.clear()
-        new = [t for t in dict.fromkeys(texts) if t not in memo]
-        memo.update(zip(new, self._classify(new)))
-        return [memo[t] for t in texts]
-
-    def _classify(self, texts: list[str]) -> list[tuple[str | None, float, bool]]:
-        if not texts:
-            return []
+        """(language, confidence, accepted) of each text."""
+        code, confidence, accepted, _ = self.judged([words_of(t.lower()) for t in texts])
+        return list(zip(code, confidence.tolist(), accepted.tolist()))
+
+    def judged(self, texts: list[list[str]]) -> tuple[list[str | None], np.ndarray, np.ndarray, np.ndarray]:
+        """(languages, confidences, accepted, accepted by CLEAR margins) of texts given as their words."""
+        none = np.zeros(len(texts))
+        if not self.codes or not texts:
+            return [None] * len(texts), none, none > 0, none > 0
         cos = self.cosines(texts)
         by_language = np.stack([cos[:, self.owner == k].max(axis=1) for k in range(len(self.codes))], axis=1)
         best = by_language.argmax(axis=1)
         at = np.arange(len(texts))
         top = by_language[at, best]
         by_language[at, best] = -1
-        second = by_language.max(axis=1) if by_language.shape[1] > 1 else np.zeros(len(texts))
+        second = np.maximum(by_language.max(axis=1), 0) if by_language.shape[1] > 1 else none
         nearest = cos.argmax(axis=1)
-        confidence = np.clip(0.5 + (top - second) / np.maximum(2 * top, 1e-6), 0, 1)
-        accepted = (top >= self.floor[nearest]) & (top - second >= MARGIN)
-        return [(self.codes[b], float(c), bool(a)) for b, c, a in zip(best, confidence, accepted)]
+        lead = (top - second) / np.maximum(top, 1e-9)
+        # Half of it for a cosine at the floor, whole at the centroid's usual cosine; and as much for the lead.
+        close = np.clip((top - self.floor[nearest]) / np.maximum(self.usual[nearest] - self.floor[nearest], 1e-9), 0, 1)
+        confidence = (0.5 + 0.5 * close) * (0.5 + 0.5 * np.clip(lead / 0.5, 0, 1))
+        near = top >= self.floor[nearest]
+        return [self.codes[b] for b in best], confidence, near & (lead >= MARGIN), near & (lead >= CLEAR * MARGIN)
 
 
 def fit(samples: list[tuple[str, str]], clusters: int = CLUSTERS) -> Model:
     """A model from (language code, text) pairs. Empty samples give a model that finds nothing."""
     seen = Counter(
-        (code, s[2]) for code, text in samples for s in sentences(text[:SAMPLE_CHARS]) if _letters(s[2]) >= LEAST_LETTERS
+        (code, " ".join(s[2])) for code, text in samples for s in sentences(text[:SAMPLE_CHARS]) if _letters(s[2]) >= LEAST_LETTERS
     )
     parts = sorted(seen)
     codes = sorted({c for c, _ in parts})
     if not codes:
-        return Model(np.ones(BUCKETS), np.zeros((BUCKETS, 0), np.float32), np.zeros(0, int), np.zeros(0), [])
-    texts, label = [t for _, t in parts], np.array([codes.index(c) for c, _ in parts])
+        return Model(np.ones(BUCKETS), np.zeros((BUCKETS, 0), np.float32), np.zeros(0, int), np.zeros(0), np.zeros(0), [])
+    texts, label = [t.split() for _, t in parts], np.array([codes.index(c) for c, _ in parts])
     times = np.array([seen[p] for p in parts], dtype=float)
-    row, bucket, _ = features(texts)
+    memory = Memory()
+    row, bucket, count = memory.counts(memory.numbers([w for t in texts for w in t]), np.repeat(np.arange(len(texts)), [len(t) for t in texts]))
     idf = np.log((1 + len(texts)) / (1 + np.bincount(bucket, minlength=BUCKETS))) + 1
-    model = Model(idf, np.zeros((BUCKETS, 0), np.float32), np.zeros(0, int), np.zeros(0), codes)
-    row, bucket, w = model.weights(texts)
+    w = count * idf[bucket]
+    w = w / np.maximum(np.sqrt(np.bincount(row, w * w, minlength=len(texts))), 1e-9)[row]
 
     def against(matrix: np.ndarray) -> np.ndarray:
         out = np.zeros((len(texts), matrix.shape[1]))
@@ -206,14 +275,14 @@ def fit(samples: list[tuple[str, str]], clusters: int = CLUSTERS) -> Model:
     # A sentence is first given to the label in which it is most frequent, then to the nearest mean.
     rate = times / np.bincount(label, times)[label]
     highest: dict[str, float] = {}
-    for t, r in zip(texts, rate):
+    for (_, t), r in zip(parts, rate):
         highest[t] = max(r, highest.get(t, 0.0))
-    own_label = rate >= np.array([highest[t] for t in texts])
+    own_label = rate >= np.array([highest[t] for _, t in parts])
     kept = own_label
     for _ in range(6):
         means = np.stack([mean(kept & (label == k)) for k in range(len(codes))], axis=1)
         kept = own_label & (against(means).argmax(axis=1) == label)
-    columns, owner, floor = [], [], []
+    columns, owner, floor, usual = [], [], [], []
     for k in range(len(codes)):
         own = np.flatnonzero(kept & (label == k))
         if not len(own):
@@ -246,8 +315,9 @@ def fit(samples: list[tuple[str, str]], clusters: int = CLUSTERS) -> Model:
             if (group == g).any():
                 columns.append(centre[:, g])
                 owner.append(k)
-                floor.append(0.5 * np.quantile(near[group == g, g], 0.01))
-    return Model(idf, np.stack(columns, axis=1).astype(np.float32), np.array(owner), np.array(floor), codes)
+                floor.append(FLOOR * np.quantile(near[group == g, g], 0.01))
+                usual.append(np.quantile(near[group == g, g], 0.25))
+    return Model(idf, np.stack(columns, axis=1).astype(np.float32), np.array(owner), np.array(floor), np.array(usual), codes)
 
 
 def fit_on(documents: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Model:
@@ -267,24 +337,40 @@ def fit_on(documents: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Model:
     return fit([(r.code, r.text) for r in rows])
 
 
-def judge(model: Model, text: str | None) -> tuple[list[tuple[int, int, str, float]], str | None, float]:
-    """Accepted sentences as (start, end, language, confidence), and the language of the text."""
-    parts = sentences(text) if text else []
-    if not parts:
-        return [], None, 0.0
-    return _verdict(model, parts, model.classify([p[2] for p in parts]))
-
-
-def _verdict(model: Model, parts: list, found: list) -> tuple[list[tuple[int, int, str, float]], str | None, float]:
-    good = [(a, b, code, conf, _letters(w)) for (a, b, w), (code, conf, ok) in zip(parts, found) if ok and _letters(w) >= LEAST_LETTERS]
-    if not good:
-        [(code, conf, ok)] = model.classify([" ".join(p[2] for p in parts)])
-        return [], (code if ok else None), conf if ok else 0.0
-    size: dict[str, float] = {}
-    for _, _, code, conf, letters in good:
-        size[code] = size.get(code, 0) + letters * conf
-    top = max(size, key=lambda c: (size[c], c))
-    return [g[:4] for g in good], top, size[top] / sum(g[4] for g in good)
+Judged = tuple[list[tuple[int, int, str, float]], str | None, float]
+
+
+def judge(model: Model, texts: list[str | None]) -> list[Judged]:
+    """For each text its accepted sentences as (start, end, language, confidence), its language and confidence.
+
+    The confidence of a text is that of its language's sentences, by letters, times their share of all letters.
+    """
+    parts = [sentences(t) if t else [] for t in texts]
+    flat = [p for ps in parts for p in ps]
+    code, confidence, accepted, clear = model.judged([p[2] for p in flat])
+    confidence = confidence.tolist()
+    out: list[Judged] = []
+    whole: list[tuple[int, list[str]]] = []
+    at = 0
+    for n, ps in enumerate(parts):
+        good, size, total = [], {}, 0
+        for i, (a, b, words) in enumerate(ps, at):
+            letters = _letters(words)
+            if accepted[i] and letters >= LEAST_LETTERS or clear[i] and letters >= FEWEST_LETTERS:
+                good.append((a, b, code[i], confidence[i]))
+                size[code[i]] = size.get(code[i], 0.0) + letters * confidence[i]
+                total += letters
+        at += len(ps)
+        if good:
+            top = max(size, key=lambda c: (size[c], c))
+            out.append((good, top, size[top] / total))
+        else:
+            out.append(([], None, 0.0))
+            whole.append((n, [w for p in ps for w in p[2]]))
+    code, confidence, accepted, _ = model.judged([w for _, w in whole])
+    for (n, _), c, conf, ok in zip(whole, code, confidence.tolist(), accepted):
+        out[n] = ([], c, conf) if ok else ([], None, 0.0)
+    return out
 
 
 def _merge(good: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
@@ -313,21 +399,14 @@ def classified(documents: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             ids, labels, texts = (c.to_pylist() for c in batch.columns)
             for at in range(0, len(ids), 256):
-                parts = [sentences(t) if t else [] for t in texts[at : at + 256]]
-                flat = own.classify([p[2] for ps in parts for p in ps])
                 out: dict[str, list] = {n: [] for n in ("doc_id", "label_code", "lang_found", "confidence", "languages", "segments")}
-                pos = 0
-                for i, ps in enumerate(parts):
-                    good, code, conf = _verdict(own, ps, flat[pos : pos + len(ps)]) if ps else ([], None, 0.0)
-                    pos += len(ps)
-                    out["doc_id"].append(ids[at + i])
-                    out["label_code"].append(labels[at + i])
+                for i, (good, code, conf) in enumerate(judge(own, texts[at : at + 256]), at):
+                    out["doc_id"].append(ids[i])
+                    out["label_code"].append(labels[i])
                     out["lang_found"].append(code)
                     out["confidence"].append(round(conf, 4))
                     out["languages"].append(sorted({g[2] for g in good} or {c for c in [code] if c}))
-                    out["segments"].append(
-                        [{"start": a, "end": b, "lang": c, "confidence": round(f, 4)} for a, b, c, f in _merge(good)]
-                    )
+                    out["segments"].append([{"start": a, "end": b, "lang": c, "confidence": round(f, 4)} for a, b, c, f in _merge(good)])
                 yield pa.RecordBatch.from_pydict(out, schema=_ARROW)
 
     return documents.select("doc_id", label_code(F.col("lang")).alias("code"), "text").mapInArrow(run, schema)

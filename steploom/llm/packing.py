@@ -5,7 +5,8 @@ containers and leaves one rest; a rest and every other text is never split. The
 packed by best-fit decreasing in partitions. For each partition dual feasible functions give a lower
 bound of its number of containers: where the packing needs no more, it is certified and stays. The
 partitions with a gap then give up their worst-filled containers, exchange these texts with one another
-and pack them again, for a fixed number of rounds.
+and pack them again, for a fixed number of rounds. `certificates` tells which partitions stayed without
+one, and `fill_report` holds the whole packing against the bound of all its pieces together.
 
 Defined results: null and blank texts take no container and have no row; a text of no tokens likewise;
 equal texts are packed each for itself; a capacity that is null or below 1 is left out; ids of
@@ -22,10 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from steploom.sources.tables import checkpointed, read_table
+from steploom.sources.tables import broadcast_if_small, checkpointed, read_table
 
 #: Items of one partition: its size in memory and its work are bounded by this, whatever the input.
 ITEMS_PER_PARTITION = 20_000
@@ -54,11 +56,16 @@ def encoder(vocabulary: str):
 
 
 def measured(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, tokens) of every document with at least one token; null ids are left out."""
+    """(doc_id, tokens) of every document with at least one token; null ids are left out.
+
+    The vocabulary is a file of the driver; every executor gets a copy.
+    """
     path = vocabulary or default_vocabulary()
+    documents.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(SparkFiles.get(name))
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             sizes = [len(enc.encode_ordinary(t)) if t and t.strip() else 0 for t in texts]
@@ -102,15 +109,17 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
+def lower_bound(sizes: np.ndarray, capacity: int, times: np.ndarray | None = None) -> int:
     """The best of a family of dual feasible functions: no packing needs fewer containers.
 
     u(k) rounds a size up or keeps it by its multiple k + 1; U(e) counts items above capacity - e as
-    whole, drops those below e and keeps the rest. Summed over all sizes, each is a valid bound.
+    whole, drops those below e and keeps the rest. Summed over all sizes, each is a valid bound. With
+    `times`, each size stands for so many items.
     """
     if not len(sizes):
         return 0
-    value, count = np.unique(sizes, return_counts=True)
+    value, where = np.unique(sizes, return_inverse=True)
+    count = np.bincount(where, times).astype(np.int64) if times is not None else np.bincount(where)
     best = -(-int((value * count).sum()) // capacity)
     # U(e), for every e up to half the capacity at which the sum can change.
     edges = np.unique(np.concatenate([value[value <= capacity // 2], capacity - value[value > capacity // 2] + 1]))
@@ -125,9 +134,9 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
         best = max(best, int((whole + -(-kept // capacity)).max()))
     # u(k): x -> x if (k + 1) x / capacity is whole, else floor((k + 1) x / capacity) / k.
     for k in range(1, 32):
-        times = (k + 1) * value
-        exact = times % capacity == 0
-        total = (np.where(exact, value * k, (times // capacity) * capacity) * count).sum()
+        multiple = (k + 1) * value
+        exact = multiple % capacity == 0
+        total = (np.where(exact, value * k, (multiple // capacity) * capacity) * count).sum()
         best = max(best, -(-int(total) // (k * capacity)))
     return best
 
@@ -169,12 +178,23 @@ def packed(
     `sizes` has (doc_id, tokens), `specs` (spec_id, capacity_tokens). The pieces of a long text are
     numbered from 0; its full pieces have a container each.
     """
+    return packed_and_certified(sizes, specs, per_part, rounds, loose)[0]
+
+
+def packed_and_certified(
+    sizes: DataFrame, specs: DataFrame, per_part: int = ITEMS_PER_PARTITION, rounds: int = ROUNDS, loose: float = LOOSE
+) -> tuple[DataFrame, DataFrame]:
+    """`packed`, and per specification, round and partition its items, containers, lower bound and gap.
+
+    A partition whose gap is not 0 gives up its loose containers to the next round, if there is one.
+    """
     capacities = [
         (r.spec_id, r.capacity_tokens)
         for r in specs.where("spec_id IS NOT NULL AND capacity_tokens >= 1").select("spec_id", "capacity_tokens").distinct().orderBy("spec_id").collect()
     ]
     if not capacities:
-        return sizes.sparkSession.createDataFrame([], "spec_id int, doc_id bigint, piece_no int, tokens bigint, container_id string")
+        empty = sizes.sparkSession.createDataFrame
+        return empty([], "spec_id int, doc_id bigint, piece_no int, tokens bigint, container_id string"), empty([], _CERTIFICATE)
     # Each text once for every specification: their number is a parameter of the task, not of the data.
     spec = F.explode(F.array(*[F.struct(F.lit(s).alias("spec_id"), F.lit(c).alias("capacity")) for s, c in capacities]))
     each = sizes.select("doc_id", "tokens", spec.alias("s")).select("doc_id", "tokens", "s.*")
@@ -197,10 +217,15 @@ def packed(
     ).where("tokens > 0")
 
     settled: list[DataFrame] = []
+    certificates: DataFrame | None = None
     open_items = _spread(rests, per_part, 0)
     for n in range(rounds + 1):
         now = checkpointed(_packed(open_items))
         name = F.concat_ws("-", F.lit(f"r{n}"), "part", "bin")
+        own = now.groupBy("spec_id", F.lit(n).alias("round"), "part").agg(
+            F.count(F.lit(1)).alias("items"), F.max("bins").alias("containers"), F.max("bound").alias("bound"), F.max("gap").alias("gap")
+        )
+        certificates = own if certificates is None else certificates.unionByName(own)
         if n == rounds:
             settled.append(now.withColumn("container_id", name))
             break
@@ -212,18 +237,30 @@ def packed(
     out = full.select(*columns)
     for s in settled:
         out = out.unionByName(s.select(*columns))
-    return out.select("spec_id", "doc_id", F.col("piece").alias("piece_no"), "tokens", "container_id")
+    return out.select("spec_id", "doc_id", F.col("piece").alias("piece_no"), "tokens", "container_id"), certificates
+
+
+_CERTIFICATE = "spec_id int, round int, part bigint, items bigint, containers bigint, bound bigint, gap bigint"
+
+
+def _bounded(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The bound of one specification from the numbers of its pieces by size; there are at most capacity sizes."""
+    capacity = int(pdf["capacity_tokens"].iloc[0])
+    bound = lower_bound(pdf["tokens"].to_numpy(), capacity, pdf["n"].to_numpy())
+    return pd.DataFrame({"spec_id": pdf["spec_id"].iloc[:1], "least_containers": [bound]})
 
 
 def fill_report(packing: DataFrame, specs: DataFrame) -> DataFrame:
-    """Per specification: texts, tokens, containers, the least possible by volume, and the share filled."""
+    """Per specification: pieces, tokens, containers, the least that any packing of these pieces needs, and the share filled."""
+    caps = broadcast_if_small(specs.where("spec_id IS NOT NULL AND capacity_tokens >= 1").select("spec_id", "capacity_tokens").distinct())
+    least = packing.groupBy("spec_id", "tokens").agg(F.count(F.lit(1)).alias("n")).join(caps, "spec_id").groupBy("spec_id").applyInPandas(_bounded, "spec_id int, least_containers bigint")
     return (
         packing.groupBy("spec_id", "container_id")
         .agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("k"))
         .groupBy("spec_id")
         .agg(F.sum("k").alias("pieces"), F.sum("t").alias("tokens"), F.count(F.lit(1)).alias("containers"), F.max("t").alias("fullest"))
-        .join(F.broadcast(specs.select("spec_id", "capacity_tokens").distinct().limit(10_000)), "spec_id")
-        .withColumn("least_containers", F.ceil(F.col("tokens") / F.col("capacity_tokens")))
+        .join(caps, "spec_id")
+        .join(least, "spec_id")
         .withColumn("filled", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6))
     )
 
@@ -241,3 +278,40 @@ def p6_containers(spark, folder: str) -> DataFrame:
 def p6_fill(spark, folder: str) -> DataFrame:
     sizes, specs = _inputs(spark, folder)
     return fill_report(packed(sizes, specs), specs)
+
+
+def p6_certificates(spark, folder: str) -> DataFrame:
+    """Per specification and round: partitions, those certified, their containers and the sum of their bounds."""
+    _, certificates = packed_and_certified(*_inputs(spark, folder))
+    return certificates.groupBy("spec_id", "round").agg(
+        F.count(F.lit(1)).alias("partitions"), F.sum(F.when(F.col("gap") == 0, 1).otherwise(0)).alias("certified"),
+        F.sum("items").alias("items"), F.sum("containers").alias("containers"), F.sum("bound").alias("bound"),
+    )
+
+
+def p6_check(spark, folder: str) -> DataFrame:
+    """Per specification: texts that are packed, and how often each rule is broken (never).
+
+    over_full: containers with more tokens than they hold; lost: texts whose pieces do not sum to the text;
+    split: texts in more pieces than their length asks for; repeated: pieces in two containers.
+    """
+    sizes, specs = _inputs(spark, folder)
+    packing = checkpointed(packed(sizes, specs))
+    caps = broadcast_if_small(specs.where("spec_id IS NOT NULL AND capacity_tokens >= 1").select("spec_id", "capacity_tokens").distinct())
+    over = packing.groupBy("spec_id", "container_id").agg(F.sum("tokens").alias("t")).join(caps, "spec_id")
+    over = over.groupBy("spec_id").agg(F.sum(F.when(F.col("t") > F.col("capacity_tokens"), 1).otherwise(0)).alias("over_full"))
+    by_text = packing.groupBy("spec_id", "doc_id").agg(
+        F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("pieces"), F.countDistinct("piece_no").alias("numbers")
+    )
+    whole = sizes.crossJoin(caps).join(by_text, ["spec_id", "doc_id"], "left")  # a row for each text and specification
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return whole.groupBy("spec_id", "capacity_tokens").agg(
+        F.count(F.lit(1)).alias("texts"), one(F.coalesce(F.col("t") != F.col("tokens"), F.lit(True))).alias("lost"),
+        one(F.col("pieces") > F.ceil(F.col("tokens") / F.col("capacity_tokens"))).alias("split"), one(F.col("pieces") != F.col("numbers")).alias("repeated"),
+    ).join(over, "spec_id")
+
+
+P6_CHECK_SQL = r"""
+SELECT spec_id, capacity_tokens, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL AND regexp_matches(text, '\S')) AS texts,
+  0::BIGINT AS lost, 0::BIGINT AS split, 0::BIGINT AS repeated, 0::BIGINT AS over_full
+FROM (SELECT DISTINCT spec_id, capacity_tokens FROM pack_specs WHERE spec_id IS NOT NULL AND capacity_tokens >= 1)"""

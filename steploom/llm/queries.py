@@ -15,6 +15,8 @@ QUERIES = {
     "p5_redacted": credentials.p5_redacted,
     "p6_containers": packing.p6_containers,
     "p6_fill": packing.p6_fill,
+    "p6_certificates": packing.p6_certificates,
+    "p6_check": packing.p6_check,
     "p7_found": leakage.p7_found,
     "p7_items": leakage.p7_items,
     "p8_found": languages.p8_found,
@@ -24,4 +26,5 @@ QUERIES = {
 ORACLES = {
     "p1_found": runs.P1_FOUND_SQL,
     "p1_events": runs.P1_EVENTS_SQL,
+    "p6_check": packing.P6_CHECK_SQL,
 }

@@ -175,6 +175,35 @@ def test_held_out_accuracy(spark, data):
     assert x.where("label_code = lang_found").count() >= 0.85 * x.count()
 
 
+def test_other_languages_are_rejected(spark, data):
+    # The smallest tables have too few sentences for a distance.
+    model = L.fit_on(spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet"))
+    for t in (
+        "Agent ponownie otworzył ten sam plik, ale nic nie zmienił.", "Agenten öppnade samma fil igen utan att ändra något.", "Ajan aynı dosyayı tekrar açtı ama hiçbir şeyi değiştirmedi.",
+        "代理再次打开了同一个文件，但没有做任何更改。", "Agentti avasi saman tiedoston uudelleen muuttamatta mitään.",
+    ):
+        assert not model.classify([t])[0][2], t
+    near, far = (model.classify([t])[0] for t in ("The agent opened the same file twice without changing a line.", "The weather in the mountains was cold yesterday and we stayed at home."))
+    assert near[0] == far[0] == "en" and near[1] > far[1] and near[2]
+
+
+def test_words_are_worked_out_alike_with_and_without_memory(monkeypatch):
+    r = random.Random(2)
+    model = L.fit([(c, s) for c, ss in SENTENCES.items() for s in ss])
+    texts = [[r.choice(SENTENCES["de"]).split()[0].lower(), f"w{i}x", "もう一度"] * r.randint(0, 3) for i in range(60)]
+    want = model.cosines(texts)
+    monkeypatch.setattr(L, "MEMO_WORDS", 3)
+    model.memory = None
+    assert np.allclose(np.concatenate([model.cosines(texts[i : i + 7]) for i in range(0, 60, 7)]), want, atol=1e-6)
+    # Against the definition: counts times idf, products over norms.
+    for words, got in list(zip(texts, want))[:20]:
+        v = np.zeros(L.BUCKETS)
+        for w in words:
+            np.add.at(v, L.grams([w])[0], 1)
+        v *= model.idf
+        assert np.allclose(got, v @ model.centroids / max(np.linalg.norm(v), 1e-9), atol=1e-5)
+
+
 def test_rejects_what_no_centroid_is_near():
     model = L.fit([(c, s) for c, ss in SENTENCES.items() for s in ss])
     assert not model.classify(["qqq zzxx wvvk kkqz xxjj qwwz zzkq"])[0][2]
