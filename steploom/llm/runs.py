@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from steploom.operators.ranking import BLOCK, block_of, running_total
-from steploom.sources.tables import read_table
+from steploom.sources.tables import broadcast_if_small, checkpointed, read_table
+
+#: A first word is a slip of another one with the same letters that is so many times as frequent.
+SLIP = 8
 
 # What may stand around an action without changing it. Java and RE2 syntax.
 QUOTES = "[`'\"‘’“”]"
@@ -21,7 +24,7 @@ REMARK = r"\s*(#.*|\((attempt|try|retry|take)\b[^)]*\)|\[[0-9a-f]{4,}\])$"
 HEX_WORD = r"\b(0x[0-9a-f]+|[0-9a-f]*\d[0-9a-f]*[a-f][0-9a-f]*\d[0-9a-f]*)\b"
 NUMBER = r"<num>|<hex>|\b\d+(p?)\b"
 PREFIX_OF_PATH = r"(^|\s)(/(workspace|work|repo|home|app|testbed|tmp)/[^/\s]+/|\./)"
-FILE_IN_TEXT = r"([a-z0-9_.-]+(?:/[a-z0-9_.-]+)+\.[a-z]{1,5})\b"
+FILE_IN_TEXT = r"((?:[a-z0-9_.-]+/)+[a-z0-9_.-]+\.[a-z]{1,5}|[a-z0-9_-][a-z0-9_.-]*\.(?:py|go|ts|js|tsx|jsx|json|ya?ml|toml|ini|cfg|md|txt|csv|sh|sql|java|rs|cpp|c|h))\b"
 
 
 def plain_path(c: Column) -> Column:
@@ -31,10 +34,7 @@ def plain_path(c: Column) -> Column:
 
 
 def plain_action(c: Column) -> Column:
-    """The action text without case, quotes, numbers, times, ids, lead-ins and output handling.
-
-    Letters of the first word are sorted, so swapped letters make no difference to it.
-    """
+    """The action text without case, quotes, numbers, times, ids, lead-ins and output handling."""
     t = F.lower(c)
     t = F.trim(F.regexp_replace(t, SPACES, " "))
     t = F.regexp_replace(t, QUOTES, "")
@@ -45,20 +45,33 @@ def plain_action(c: Column) -> Column:
     t = F.regexp_replace(F.regexp_replace(t, r"[\s.;,!]+$", ""), REMARK, "")
     t = F.regexp_replace(t, PREFIX_OF_PATH, "$1")
     t = F.regexp_replace(F.regexp_replace(t, HEX_WORD, "#"), NUMBER, "#$1")
-    t = F.regexp_replace(t, r"[\s.;,!]+$", "")
-    first = F.regexp_extract(t, r"^[a-z]+", 0)
-    letters = F.array_join(F.array_sort(F.split(first, "")), "")
-    return F.concat(letters, F.substring(t, F.length(first) + 1, F.length(t)))
+    return F.regexp_replace(t, r"[\s.;,!]+$", "")
 
 
-def action_key(action: Column, tool: Column, file: Column) -> Column:
-    """A 64-bit key of tool, file and request; null for a null or blank action."""
+def spelled(steps: DataFrame, word: str) -> DataFrame:
+    """`steps` with each `word` whose inner letters change places in a far more frequent word replaced by that one.
+
+    Two words are compared if they begin alike and have the same letters; the more frequent one counts
+    from SLIP times the occurrences on. `steps` is read twice. Distinct words are few against the steps.
+    """
+    letters = F.concat(F.substring(word, 1, 1), F.array_join(F.array_sort(F.split(F.expr(f"substring({word}, 2)"), "")), ""))
+    n = steps.where(F.col(word) != "").groupBy(word).agg(F.count(F.lit(1)).alias("_n")).withColumn("_letters", letters)
+    most = Window.partitionBy("_letters")  # arrangements of the same letters
+    top = F.max(F.struct("_n", F.col(word).alias("_word"))).over(most)
+    slips = n.withColumn("_top", top).where(F.col("_top._n") >= SLIP * F.col("_n")).select(word, F.col("_top._word").alias("_right"))
+    return steps.join(broadcast_if_small(slips), word, "left").withColumn(word, F.coalesce("_right", word)).drop("_right")
+
+
+def action_parts(action: Column, plain: Column, tool: Column, file: Column) -> tuple[Column, Column]:
+    """The first word of an action, given also in its plain form, and a 64-bit key of tool, file and the rest of the request; null for a null or blank action."""
     tool_key = F.coalesce(F.regexp_replace(F.lower(F.trim(tool)), r"[\s_-]+", "_"), F.lit(""))
     named = F.regexp_extract(F.regexp_replace(F.lower(action), r"\\+", "/"), FILE_IN_TEXT, 1)
     own = F.nullif(plain_path(file), F.lit(""))
     file_key = F.coalesce(own, F.regexp_replace(named, r"^((workspace|work|repo|home|app|testbed|tmp)/[^/]+/|\./)", ""))
     blank = F.regexp_replace(action, SPACES, "") == ""
-    return F.when(action.isNotNull() & ~blank, F.xxhash64(plain_action(action), tool_key, file_key))
+    there = action.isNotNull() & ~blank
+    rest = F.xxhash64(F.regexp_replace(plain, "^[a-z]+", ""), tool_key, file_key)
+    return F.when(there, F.regexp_extract(plain, "^[a-z]+", 0)), F.when(there, rest)
 
 
 def runs(
@@ -107,10 +120,20 @@ def runs(
 
 
 def keyed_steps(steps: DataFrame) -> DataFrame:
-    return steps.select(
-        "trajectory_id", "step_index", "recorded_at",
-        action_key(F.col("normalized_action_text"), F.col("tool_name"), F.col("file_path")).alias("_key"),
-    )
+    """trajectory_id, step_index, recorded_at and _key of each step once: equal keys are the same action, null none."""
+    first, rest = action_parts(F.col("normalized_action_text"), F.col("_plain"), F.col("tool_name"), F.col("file_path"))
+    rows = steps.where(F.col("trajectory_id").isNotNull() & F.col("step_index").isNotNull())
+    # A column of its own, so that it is worked out once for both parts.
+    rows = rows.withColumn("_plain", plain_action(F.col("normalized_action_text")))
+    rows = rows.select("trajectory_id", "step_index", "recorded_at", first.alias("_first"), rest.alias("_rest"))
+    # Written once, as the words are counted before they are compared; the texts stay behind.
+    once = checkpointed(
+        rows.groupBy("trajectory_id", "step_index")
+        .agg(F.min(F.when(F.col("_rest").isNotNull(), F.struct("_first", "_rest"))).alias("_a"), F.min("recorded_at").alias("recorded_at"))
+        .select("trajectory_id", "step_index", "recorded_at", "_a._first", "_a._rest")
+    )
+    s = spelled(once, "_first")
+    return s.select("trajectory_id", "step_index", "recorded_at", F.when(F.col("_rest").isNotNull(), F.xxhash64("_first", "_rest")).alias("_key"))
 
 
 def collapsed(steps: DataFrame) -> DataFrame:
@@ -152,12 +175,15 @@ c AS (
       '[\s.;,!]+$', ''), '@REMARK', ''), '@PREFIX', '\1', 'g'), '@HEX', '#', 'g'), '@NUM', '#\1', 'g'),
       '[\s.;,!]+$', '') AS v
   FROM b),
-d AS (
-  SELECT trajectory_id, step_index, recorded_at,
-    CASE WHEN trim(t) <> '' THEN concat_ws('|', list_aggregate(list_sort(string_split(regexp_extract(v, '^[a-z]+'), '')), 'string_agg', ''),
-      substr(v, length(regexp_extract(v, '^[a-z]+')) + 1), regexp_replace(trim(coalesce(tool, '')), '[\s_-]+', '_', 'g'),
-      coalesce(own, regexp_replace(named, '^((workspace|work|repo|home|app|testbed|tmp)/[^/]+/|\./)', ''), '')) END AS k
+g AS (
+  SELECT trajectory_id, step_index, recorded_at, CASE WHEN trim(t) <> '' THEN regexp_extract(v, '^[a-z]+') END AS w,
+    CASE WHEN trim(t) <> '' THEN concat_ws('|', substr(v, length(regexp_extract(v, '^[a-z]+')) + 1), regexp_replace(trim(coalesce(tool, '')), '[\s_-]+', '_', 'g'),
+      coalesce(own, regexp_replace(named, '^((workspace|work|repo|home|app|testbed|tmp)/[^/]+/|\./)', ''))) END AS rest
   FROM c),
+n AS (SELECT w, w[1] || coalesce(list_aggregate(list_sort(string_split(substr(w, 2), '')), 'string_agg', ''), '') AS letters, count(DISTINCT (trajectory_id, step_index)) AS n
+  FROM g WHERE w <> '' GROUP BY 1),
+slip AS (SELECT a.w, arg_max(b.w, (b.n, b.w)) AS better FROM n a JOIN n b USING (letters) GROUP BY a.w, a.n HAVING max(b.n) >= @SLIP * a.n),
+d AS (SELECT trajectory_id, step_index, recorded_at, coalesce(better, g.w) || '|' || rest AS k FROM g LEFT JOIN slip ON slip.w = g.w),
 e AS (SELECT trajectory_id, step_index, min(k) AS k, min(recorded_at) AS recorded_at FROM d GROUP BY 1, 2),
 f AS (
   SELECT *, row_number() OVER (PARTITION BY trajectory_id ORDER BY step_index)
@@ -165,7 +191,7 @@ f AS (
 """
 for _name, _value in (
     ("STAMP", STAMP), ("LEAD", LEAD_IN), ("OUT", OUTPUT_HANDLING), ("FILE", FILE_IN_TEXT),
-    ("REMARK", REMARK), ("PREFIX", PREFIX_OF_PATH), ("HEX", HEX_WORD), ("NUM", NUMBER),
+    ("REMARK", REMARK), ("PREFIX", PREFIX_OF_PATH), ("HEX", HEX_WORD), ("NUM", NUMBER), ("SLIP", str(SLIP)),
 ):
     _ACTION_SQL = _ACTION_SQL.replace(f"@{_name}", _value.replace("'", "''"))
 

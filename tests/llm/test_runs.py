@@ -33,11 +33,23 @@ def test_arguments_tools_files_blanks_and_gaps(spark):
     rows = [
         step(0, "view src/a.py", path="src/a.py"), step(5, "view src/a.py", path=None), step(6, "view src/b.py", path=None),
         step(7, " "), step(8, None), step(9, "rerun", path="x/a.py"), step(10, "rerun", path="x/b.py"), step(11, "rerun", path="x\\b.py"),
-        step(12, "rerun", path=None), step(13, "ls", "a-b"), step(14, "ls", "A_b"), step(None, "ls") if False else step(15, "ls", "c"),
+        step(12, "rerun", path=None), step(13, "ls", "a-b"), step(14, "ls", "A_b"), step(15, "ls", "c"),
     ]
     assert {x[:4] for x in found(spark, rows)} == {("t", 0, 5, 2), ("t", 10, 11, 2), ("t", 13, 14, 2)}
 
 
+def test_pairs_of_actions(spark):
+    many = [step(1000 + 2 * i, w, t=f"m{i}") for i in range(20) for w in ("cat a.py", "tar x", "form y", "from y", "view b")]
+    same = [("view setup.py", None, "view setup.py", "setup.py"), ("viwe b", None, "view b", None), ("pytest tests/a.py::t", "tests/a.py", "pytest tests/a.py::t", None)]
+    other = [
+        ("act a.py", None, "cat a.py", None), ("rat x", None, "tar x", None), ("form y", None, "from y", None), ("view setup.py", None, "view conf.py", None),
+        ("ls a", None, "ls b", None), ("grep -n x a", None, "grep -n y a", None), ("pytest a.py::t", "a.py", "pytest a.py::u", "a.py"),
+    ]
+    rows = [s for n, (a, p, b, q) in enumerate(same + other) for s in (step(1, a, path=p, t=str(n)), step(2, b, path=q, t=str(n)))]
+    got = {x[0] for x in found(spark, rows + many)}
+    assert {t for t in got if not t.startswith("m")} == {str(n) for n in range(len(same))}
+
+
 def test_resent_null_and_empty(spark):
     rows = [step(1, "ls"), step(1, "ls"), ("t", None, "ls", "bash", None, None), (None, 1, "ls", None, None, None), (None, 2, "ls", None, None, None), step(2, "pwd")]
     assert found(spark, rows) == set()
