@@ -108,6 +108,12 @@ def unpack(data: np.ndarray) -> np.ndarray:
     return np.add.reduceat((data & 127).astype(np.int64) << (7 * k), start)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order, by sorting."""
+    v = np.sort(values)
+    return v[np.concatenate([[True], v[1:] != v[:-1]])] if len(v) else v
+
+
 def _bytes_of(column: pa.ChunkedArray) -> np.ndarray:
     """All bytes of a binary column in a row."""
     parts = []
@@ -244,6 +250,8 @@ def questions(index: DataFrame, bodies: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the intersection
 
 PAIRS = "doc_id bigint, item bigint, shifts array<int>"
+#: Pairs, of about 40 bytes, that may be in memory beside the documents.
+MOST_PAIRS = 1_000_000
 #: Width of a ruler: two rulers half a width apart hold any two places that are at most LOST apart.
 WIDTH = 2 * LOST
 
@@ -272,10 +280,10 @@ def _met(table: pa.Table) -> pa.Table:
     need = WANTED - LOST
     found = []
     for lead in (0, LOST):
-        key = np.unique((place * bands + (shift - low + lead) // WIDTH) * long + at)
+        key = distinct((place * bands + (shift - low + lead) // WIDTH) * long + at)
         group, where = key // long, key % long
         near = (group[need - 1 :] == group[: len(group) - need + 1]) & (where[need - 1 :] - where[: len(where) - need + 1] < LEAST)
-        good = np.unique(group[: len(group) - need + 1][near])
+        good = distinct(group[: len(group) - need + 1][near])
         found.append(np.stack([good // bands, (good % bands * WIDTH - lead + low) // WIDTH * WIDTH], axis=1))
     pairs = np.unique(np.concatenate(found), axis=0)
     if not len(pairs):
@@ -308,22 +316,25 @@ SPREAD = range(-LOST, 2 * WIDTH + LOST - 1)
 
 
 def promising(docs: list[np.ndarray], items: list[np.ndarray], shifts: list[int]) -> np.ndarray:
-    """Whether some LEAST words in a row of the item have LEAST - LOST words near the place `shift` of the document."""
+    """Whether some LEAST words in a row of the item have LEAST - LOST words near the place `shift` of the document.
+
+    Words are their numbers, of which half the bits do: more pairs may pass, never fewer.
+    """
     guard = max(map(len, items)) + 64
     sizes = np.array([len(d) for d in docs])
     begin = np.cumsum(sizes + guard) - sizes
-    text = np.full(int((sizes + guard).sum()) + guard, -1, dtype=np.int64)
+    text = np.full(int((sizes + guard).sum()) + guard, -1, dtype=np.int32)
     for b, d in zip(begin, docs):
         text[b : b + len(d)] = d
     long = np.array([len(i) for i in items])
     start = np.cumsum(long) - long
     item = np.concatenate(items)
     # Places before and behind a document lie in the guards.
-    base = begin + np.clip(np.array(shifts), -(guard - 32), sizes)
+    base = begin + np.minimum(np.maximum(np.array(shifts), -(guard - 32)), sizes)
     at = np.arange(len(item)) + np.repeat(base - start, long)
     hit = np.zeros(len(item), dtype=bool)
     for d in SPREAD:
-        hit |= text[np.clip(at + d, 0, len(text) - 1)] == item
+        hit |= text[at + d] == item
     total = np.concatenate([[0], np.cumsum(hit)])
     in_a_row = total[LEAST:] - total[:-LEAST]
     good = np.zeros(len(item) + 1, dtype=np.int64)
@@ -399,7 +410,7 @@ TOGETHER = 2_000_000
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     numbers, items = Terms(), {}
-    text, doc = None, np.zeros(0, np.int64)
+    text, doc = None, np.zeros(0, np.int32)
     kept: list[tuple] = []
     size = 0
 
@@ -407,10 +418,15 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         if kept:
             good = promising([k[2] for k in kept], [k[3] for k in kept], [k[4] for k in kept])
+            done: tuple = ()
             for k in (k for k, g in zip(kept, good) if g):
+                # The next ruler sees the passage that was found from this one.
+                if done and done[:2] == k[:2] and done[2] is k[2] and k[4] - done[4] <= WIDTH:
+                    continue
                 words, errors = passage(k[3].tolist(), k[2].tolist(), k[4])
                 if words >= LEAST:
                     out.append((k[0], k[1], words, errors))
+                    done = k
         columns = list(zip(*out)) or [(), (), (), ()]
         types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "item_id", "words", "errors"])
@@ -418,11 +434,11 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for doc_id, own, item_id, body, shifts in zip(*[c.to_pylist() for c in batch.columns]):
             if own != text:  # the candidates of a document follow one another
-                text, doc = own, np.array([numbers[w] for w in words_of(own)], dtype=np.int64)
+                text, doc = own, np.array([numbers[w] for w in words_of(own)], dtype=np.int64).astype(np.int32)
             if body not in items:
                 if len(items) > 2_000:
                     items.clear()
-                items[body] = np.array([numbers[w] for w in words_of(body)], dtype=np.int64)
+                items[body] = np.array([numbers[w] for w in words_of(body)], dtype=np.int64).astype(np.int32)
             for shift in shifts:
                 kept.append((doc_id, item_id, doc, items[body], shift))
                 size += len(doc) + len(items[body])
@@ -441,7 +457,7 @@ def leaks(documents: DataFrame, items: DataFrame, index: DataFrame | None = None
     bodies = checkpointed(item_bodies(items))
     pairs = checkpointed(candidates(index, questions(index, bodies)))
     # The pairs are few against the documents: in memory if they are, else both sides are shuffled.
-    texts = documents.select("doc_id", "text").join(broadcast_if_small(pairs), "doc_id")
+    texts = documents.select("doc_id", "text").join(broadcast_if_small(pairs, MOST_PAIRS), "doc_id")
     full = texts.join(bodies.withColumnRenamed("text", "body"), "item").select("doc_id", "text", "item_id", "body", "shifts")
     return full.mapInArrow(_measured, "doc_id bigint, item_id bigint, words int, errors int")
 

@@ -39,7 +39,7 @@ def test_arguments_tools_files_blanks_and_gaps(spark):
 
 
 def test_pairs_of_actions(spark):
-    many = [step(1000 + 2 * i, w, t=f"m{i}") for i in range(20) for w in ("cat a.py", "tar x", "form y", "from y", "view b")]
+    many = [step(1000 + 2 * k, w, t=f"m{i}") for i in range(20) for k, w in enumerate(("cat a.py", "tar x", "form y", "from y", "view b"))]
     same = [("view setup.py", None, "view setup.py", "setup.py"), ("viwe b", None, "view b", None), ("pytest tests/a.py::t", "tests/a.py", "pytest tests/a.py::t", None)]
     other = [
         ("act a.py", None, "cat a.py", None), ("rat x", None, "tar x", None), ("form y", None, "from y", None), ("view setup.py", None, "view conf.py", None),
