@@ -14,8 +14,10 @@ STEP_TYPES = {
 }
 SHELL_TOOLS = ("bash", "run", "shell", "terminal")
 COMMAND_STARTS = ("pytest", "python", "pip", "git", "ls", "grep", "find", "rg", "sed", "cat")
-FILE_ENDINGS = "py|js|tsx|ts|jsx|json|yaml|yml|toml|ini|cfg|md|txt|csv|sh|sql|java|go|rs|cpp|c|hpp|h"
-FILE_NAME = rf"([A-Za-z0-9_.-]+/)*[A-Za-z0-9_-][A-Za-z0-9_.-]*\.({FILE_ENDINGS})\b"
+FILE_ENDINGS = "py|js|ts|tsx|jsx|json|yaml|yml|toml|ini|cfg|md|txt|csv|sh|sql|java|go|rs|cpp|c|h|hpp"
+#: Under a folder any ending; alone one of the list. The first ending of the list that fits is taken.
+FILE_NAME = rf"(?i)((?:/|\\)?(?:[A-Za-z0-9_.-]+(?:/|\\))+[A-Za-z0-9_.@%+=:,~-]+\.[A-Za-z0-9_]+|[A-Za-z0-9_.-]+\.(?:{FILE_ENDINGS}))"
+FILE_EDGES = "`'\"()[]{}.,;:"
 ERROR_NAME = r"\b[A-Za-z_][A-Za-z0-9_]*(Error|Exception)\b(:\s*[^\n\r]+)?"
 ERROR_LINES = (ERROR_NAME, r"\bFAILED\b[^\n\r]*", r"(?i)\berrors?:[^\n\r]*", r"(?i)\btraceback \(most recent call last\)")
 ERROR_WORDS = r"(?i)error|failed|exception|traceback"
@@ -53,9 +55,11 @@ def short_hash(c: Column) -> Column:
     return F.when(F.trim(c) != "", F.substring(F.sha1(c), 1, 16)).otherwise("")
 
 
-def file_names(c: Column) -> Column:
-    """Distinct file names in a text in the order they appear."""
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(FILE_NAME), 0))
+def file_names(*texts: Column) -> Column:
+    """Distinct file names in texts in the order they appear, without brackets, quotes and marks around them."""
+    found = [F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(FILE_NAME), 0) for c in texts]
+    names = F.concat(*found) if len(found) > 1 else found[0]
+    return F.array_distinct(F.filter(F.transform(names, lambda x: F.btrim(x, F.lit(FILE_EDGES))), lambda x: x != ""))
 
 
 def error_signature(*texts: Column) -> Column:

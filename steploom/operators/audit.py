@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from steploom.functions.parse import SPAN_LABELS, STEP_LABELS
+from steploom.functions.parse import SPAN_LABELS, STEP_LABELS, bool_known, json_score
 from steploom.operators import sequence as seq
 from steploom.operators.intervals import periods_and_gaps
-from steploom.operators.ranking import running_total
+from steploom.operators.ranking import range_totals, running_total
 from steploom.operators.sequence import KEYS, ONCE_SQL, PREPARED_SQL, SPANS_SQL
 from steploom.sources.tables import checkpointed, read_table
 
 PREVIEW = 20
 LONGEST_SHARE = 0.9
-#: Spans longer than this are left out of projected densities.
+#: Spans whose bounds lie further apart are left out of projected densities.
 LONGEST_SPAN = 10_000
 
 
@@ -111,30 +111,65 @@ SELECT dataset, CASE WHEN steps >= lim THEN 'longest' ELSE 'rest' END AS length_
   avg((uc_spans > 0 OR uc_steps > 0)::INT) AS uc_prevalence, avg(steps) AS mean_length FROM fl JOIN l USING (dataset) GROUP BY 1, 2"""
 
 
+EVERY = "all"
+#: Fixed value: the pool that robustness checks leave out.
+OUTSIDE_POOL = "OpenHandsExternal330"
+
+
+def _scopes(df: DataFrame) -> DataFrame:
+    """Every row under its pool, under all pools, and, unless it is of the outside pool, under all without that."""
+    names = F.array(F.col("dataset"), F.lit(EVERY), F.when(F.col("dataset") != OUTSIDE_POOL, F.lit(f"{EVERY}_without_{OUTSIDE_POOL}")))
+    return df.withColumn("scope", F.explode(names)).where("scope IS NOT NULL")
+
+
+_SCOPES_SQL = f"""(SELECT *, dataset AS scope FROM fl UNION ALL SELECT *, '{EVERY}' FROM fl
+  UNION ALL SELECT *, '{EVERY}_without_{OUTSIDE_POOL}' FROM fl WHERE dataset <> '{OUTSIDE_POOL}')"""
+
+
 def length_correlation(spark, folder: str) -> DataFrame:
-    """Spearman's rank correlation of trajectory length with the share of UC steps, per pool.
+    """Spearman's rank correlation of trajectory length with the share of UC steps, per pool, over all, and without the outside pool.
 
-    Ranks are averages over ties. They come from counts per distinct value, so a window holds distinct
-    values, not trajectories.
+    Ranks are averages over ties, from counts per distinct value, added up over ranges of the values.
     """
     f = trajectory_flags(spark, folder).select("dataset", F.col("steps").cast("double").alias("x"), (F.col("uc_steps") / F.col("steps")).alias("y"))
-    f = checkpointed(f)
+    f = checkpointed(_scopes(f))
 
     def ranks(c: str) -> DataFrame:
-        n = f.groupBy("dataset", c).agg(F.count(F.lit(1)).alias("n"))
-        upto = F.sum("n").over(Window.partitionBy("dataset").orderBy(c))
-        return n.select("dataset", c, (upto - (F.col("n") - 1) / 2.0).alias(f"r_{c}"))
+        n = f.groupBy("scope", c).agg(F.count(F.lit(1)).alias("n"))
+        return range_totals(n, ["scope"], [c], "n", "upto").select("scope", c, (F.col("upto") - (F.col("n") - 1) / 2.0).alias(f"r_{c}"))
 
-    return f.join(ranks("x"), ["dataset", "x"]).join(ranks("y"), ["dataset", "y"]).groupBy("dataset").agg(
+    return f.join(ranks("x"), ["scope", "x"]).join(ranks("y"), ["scope", "y"]).groupBy("scope").agg(
         F.count(F.lit(1)).alias("trajectories"), F.round(F.corr("r_x", "r_y"), 9).alias("spearman")
     )
 
 
-LENGTH_CORRELATION_SQL = TRAJECTORY_FLAGS_CTE + """,
-v AS (SELECT dataset, steps::DOUBLE AS x, uc_steps / steps AS y FROM fl),
-r AS (SELECT dataset, rank() OVER (PARTITION BY dataset ORDER BY x) + (count(*) OVER (PARTITION BY dataset, x) - 1) / 2.0 AS rx,
-  rank() OVER (PARTITION BY dataset ORDER BY y) + (count(*) OVER (PARTITION BY dataset, y) - 1) / 2.0 AS ry FROM v)
-SELECT dataset, count(*) AS trajectories, CASE WHEN isnan(corr(rx, ry)) THEN NULL ELSE round(corr(rx, ry), 9) END AS spearman FROM r GROUP BY 1"""
+LENGTH_CORRELATION_SQL = TRAJECTORY_FLAGS_CTE + f""",
+v AS (SELECT scope, steps::DOUBLE AS x, uc_steps / steps AS y FROM {_SCOPES_SQL}),
+r AS (SELECT scope, rank() OVER (PARTITION BY scope ORDER BY x) + (count(*) OVER (PARTITION BY scope, x) - 1) / 2.0 AS rx,
+  rank() OVER (PARTITION BY scope ORDER BY y) + (count(*) OVER (PARTITION BY scope, y) - 1) / 2.0 AS ry FROM v)
+SELECT scope, count(*) AS trajectories, CASE WHEN isnan(corr(rx, ry)) THEN NULL ELSE round(corr(rx, ry), 9) END AS spearman FROM r GROUP BY 1"""
+
+
+def length_groups(spark, folder: str) -> DataFrame:
+    """Longest tenth against the rest, by the 90th percentile of each scope: lengths, UC and HN prevalence, UC density."""
+    has = lambda k: (F.col(f"{k}_spans") > 0) | (F.col(f"{k}_steps") > 0)
+    f = trajectory_flags(spark, folder).select("dataset", "steps", has("uc").alias("uc"), has("hn").alias("hn"), (F.col("uc_steps") / F.col("steps")).alias("density"))
+    f = checkpointed(_scopes(f))
+    limit = f.groupBy("scope").agg(F.percentile("steps", LONGEST_SHARE).alias("limit"))  # a row for each scope
+    x = f.join(F.broadcast(limit), "scope").withColumn("length_group", F.when(F.col("steps") >= F.col("limit"), "longest").otherwise("rest"))
+    return x.groupBy("scope", "length_group").agg(
+        F.count(F.lit(1)).alias("trajectories"), F.avg("steps").alias("mean_length"), F.percentile("steps", 0.5).alias("median_length"), F.round(F.percentile("steps", 0.9), 6).alias("p90_length"),
+        one(F.col("uc")).alias("with_uc"), F.avg(F.col("uc").cast("int")).alias("uc_prevalence"), one(F.col("hn")).alias("with_hn"),
+        F.avg(F.col("hn").cast("int")).alias("hn_prevalence"), F.round(F.avg("density"), 9).alias("mean_uc_density"),
+    )
+
+
+LENGTH_GROUPS_SQL = TRAJECTORY_FLAGS_CTE + f""",
+v AS (SELECT scope, steps, (uc_spans > 0 OR uc_steps > 0)::INT AS uc, (hn_spans > 0 OR hn_steps > 0)::INT AS hn, uc_steps / steps AS density FROM {_SCOPES_SQL}),
+l AS (SELECT scope, quantile_cont(steps, 0.9) AS lim FROM v GROUP BY 1)
+SELECT scope, CASE WHEN steps >= lim THEN 'longest' ELSE 'rest' END AS length_group, count(*) AS trajectories, avg(steps) AS mean_length, quantile_cont(steps, 0.5) AS median_length,
+  round(quantile_cont(steps, 0.9), 6) AS p90_length, sum(uc)::BIGINT AS with_uc, avg(uc) AS uc_prevalence, sum(hn)::BIGINT AS with_hn, avg(hn) AS hn_prevalence, round(avg(density), 9) AS mean_uc_density
+FROM v JOIN l USING (scope) GROUP BY 1, 2"""
 
 
 def duplicate_keys(spark, folder: str) -> DataFrame:
@@ -261,46 +296,66 @@ FIELD_AVAILABILITY_SQL = f"WITH {ONCE_SQL} " + " UNION ALL ".join(
 )
 
 
+#: Fixed value: the scores that signals carry.
+SCORES = ["progress", "recurrence", "novelty", "error_persistence", "budget_pressure"]
+
+
 def signal_regions(spark, folder: str) -> DataFrame:
-    """Progress and novelty scores by region; of several regions uncertain beats HN beats UC beats PI."""
-    s = seq.prepared(spark, folder)
-    region = F.when(F.col("in_uncertain"), "uncertain").when(F.col("in_hn"), "HN").when(F.col("in_uc"), "UC").when(F.col("in_pi"), "PI").otherwise("other")
-    return s.groupBy("dataset", region.alias("region")).agg(
-        F.count(F.lit(1)).alias("steps"), F.avg("p_score").alias("progress_mean"), F.percentile("p_score", 0.5).alias("progress_median"),
-        F.avg("n_score").alias("novelty_mean"), F.percentile("n_score", 0.5).alias("novelty_median"),
-    )
+    """Five signal scores by region of the step's own flags; of several flags uncertain beats HN beats UC beats PI.
 
+    with_scores counts steps with any of the first four scores, which older records have.
+    """
+    flags = {"uncertain_flag": "uncertain_or_unresolved", "hard_negative": "HN", "unproductive_cycle_flag": "UC", "productive_iteration_flag": "PI_non_HN"}
+    s = _steps(spark, folder, "signal_fields", *flags)
+    region = F.lit("other")
+    for flag, name in reversed(flags.items()):
+        region = F.when(bool_known(F.col(flag)), name).otherwise(region)
+    s = s.select("dataset", region.alias("region"), *[json_score(F.col("signal_fields"), n).alias(n) for n in SCORES])
+    any_ = F.coalesce(*SCORES[:4]).isNotNull()
+    measures = [m for n in SCORES for m in (F.round(F.avg(n), 9).alias(f"{n}_mean"), F.percentile(n, 0.5).alias(f"{n}_median"))]
+    return s.groupBy("dataset", "region").agg(
+        F.count(F.lit(1)).alias("steps"), one(any_).alias("with_scores"), F.avg(any_.cast("int")).alias("coverage"), *measures
+    )
 
-SIGNAL_REGIONS_SQL = PREPARED_SQL + """
-SELECT dataset, CASE WHEN in_uncertain THEN 'uncertain' WHEN in_hn THEN 'HN' WHEN in_uc THEN 'UC' WHEN in_pi THEN 'PI' ELSE 'other' END AS region, count(*) AS steps,
-  avg(p_score) AS progress_mean, quantile_cont(p_score, 0.5) AS progress_median, avg(n_score) AS novelty_mean, quantile_cont(n_score, 0.5) AS novelty_median
-FROM steps GROUP BY 1, 2"""
+
+SIGNAL_REGIONS_SQL = f"""WITH {ONCE_SQL}, x AS (SELECT dataset, CASE WHEN uncertain_flag THEN 'uncertain_or_unresolved' WHEN hard_negative THEN 'HN'
+  WHEN unproductive_cycle_flag THEN 'UC' WHEN productive_iteration_flag THEN 'PI_non_HN' ELSE 'other' END AS region,
+  {', '.join(f"{seq.score_sql(n)} AS {n}" for n in SCORES)} FROM s0)
+SELECT dataset, region, count(*) AS steps, count(*) FILTER (coalesce({', '.join(SCORES[:4])}) IS NOT NULL) AS with_scores,
+  avg((coalesce({', '.join(SCORES[:4])}) IS NOT NULL)::INT) AS coverage,
+  {', '.join(f"round(avg({n}), 9) AS {n}_mean, quantile_cont({n}, 0.5) AS {n}_median" for n in SCORES)} FROM x GROUP BY 1, 2"""
 
 
 def projected_density(spark, folder: str) -> DataFrame:
-    """Per pool: mean, median and maximum share of indexes that UC and PI spans cover.
+    """Per pool: mean, median and maximum share of indexes that PI, HN and UC spans cover, by label or by flag.
 
-    Covered indexes need not have a step row, so a share may exceed 1. Overlaps count once; spans
-    longer than 10,000 are left out.
+    Covered indexes need not have a step row, so a share may exceed 1. Overlaps count once; spans whose
+    end lies more than 10,000 behind their start are left out.
     """
-    spans = _spans(spark, folder).where(F.col("label").isin("unproductive_cycle", "productive_iteration") & (F.col("end") - F.col("start") < LONGEST_SPAN))
-    merged = periods_and_gaps(spans, [*KEYS, "label"], "start", "end").where("kind = 'period'")
+    s = _spans(spark, folder).where(F.col("end") - F.col("start") <= LONGEST_SPAN)
+    kinds = F.array(
+        F.when((F.col("label") == "productive_iteration") | F.col("productive_iteration_flag"), "pi"), F.when(F.col("hard_negative"), "hn"),
+        F.when((F.col("label") == "unproductive_cycle") | F.col("unproductive_cycle_flag"), "uc"),
+    )
+    marked = s.select(*KEYS, "start", "end", F.explode(kinds).alias("kind_")).where("kind_ IS NOT NULL")
+    merged = periods_and_gaps(marked, [*KEYS, "kind_"], "start", "end").where("kind = 'period'")
     size = F.col("end") - F.col("start") + 1
-    n = merged.groupBy(*KEYS).agg(F.sum(F.when(F.col("label") == "unproductive_cycle", size).otherwise(0)).alias("uc"), F.sum(F.when(F.col("label") == "productive_iteration", size).otherwise(0)).alias("pi"))
+    n = merged.groupBy(*KEYS).agg(*[F.sum(F.when(F.col("kind_") == k, size).otherwise(0)).alias(k) for k in ("pi", "hn", "uc")])
     steps = _steps(spark, folder).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
-    d = steps.join(n, KEYS, "left").na.fill(0, ["uc", "pi"]).select("dataset", (F.col("uc") / F.col("n")).alias("u"), (F.col("pi") / F.col("n")).alias("p"))
+    d = steps.join(n, KEYS, "left").na.fill(0, ["pi", "hn", "uc"]).select("dataset", *[(F.col(k) / F.col("n")).alias(k) for k in ("pi", "hn", "uc")])
     return d.groupBy("dataset").agg(
-        F.round(F.avg("u"), 9).alias("uc_mean"), F.percentile("u", 0.5).alias("uc_median"), F.max("u").alias("uc_max"),
-        F.round(F.avg("p"), 9).alias("pi_mean"), F.percentile("p", 0.5).alias("pi_median"), F.max("p").alias("pi_max"),
-    )
+        *[m for k in ("pi", "hn", "uc") for m in (F.round(F.avg(k), 9).alias(f"{k}_mean"), F.percentile(k, 0.5).alias(f"{k}_median"), F.max(k).alias(f"{k}_max"))]
+    )
 
 
+_KIND_CONDITIONS = {"pi": "label = 'productive_iteration' OR pi", "hn": "hn", "uc": "label = 'unproductive_cycle' OR uc"}
 PROJECTED_DENSITY_SQL = f"""
 WITH {ONCE_SQL}, {SPANS_SQL},
-c AS (SELECT DISTINCT dataset, trajectory_id, label, unnest(range(a, b + 1)) AS i FROM sp WHERE label IN ('unproductive_cycle', 'productive_iteration') AND b - a < {LONGEST_SPAN}),
-k AS (SELECT dataset, trajectory_id, count(*) FILTER (label = 'unproductive_cycle') AS uc, count(*) FILTER (label = 'productive_iteration') AS pi FROM c GROUP BY 1, 2),
-d AS (SELECT s.dataset, coalesce(uc, 0) / n AS u, coalesce(pi, 0) / n AS p FROM (SELECT dataset, trajectory_id, count(*) AS n FROM s0 GROUP BY 1, 2) s LEFT JOIN k USING (dataset, trajectory_id))
-SELECT dataset, round(avg(u), 9) AS uc_mean, quantile_cont(u, 0.5) AS uc_median, max(u) AS uc_max, round(avg(p), 9) AS pi_mean, quantile_cont(p, 0.5) AS pi_median, max(p) AS pi_max FROM d GROUP BY 1"""
+c AS ({' UNION '.join(f"SELECT dataset, trajectory_id, '{k}' AS k, unnest(range(a, b + 1)) AS i FROM sp WHERE b - a <= {LONGEST_SPAN} AND ({x})" for k, x in _KIND_CONDITIONS.items())}),
+n AS (SELECT dataset, trajectory_id, {', '.join(f"count(*) FILTER (k = '{k}') AS {k}" for k in _KIND_CONDITIONS)} FROM c GROUP BY 1, 2),
+d AS (SELECT s.dataset, {', '.join(f"coalesce({k}, 0) / m AS {k}" for k in _KIND_CONDITIONS)}
+  FROM (SELECT dataset, trajectory_id, count(*) AS m FROM s0 GROUP BY 1, 2) s LEFT JOIN n USING (dataset, trajectory_id))
+SELECT dataset, {', '.join(f"round(avg({k}), 9) AS {k}_mean, quantile_cont({k}, 0.5) AS {k}_median, max({k}) AS {k}_max" for k in _KIND_CONDITIONS)} FROM d GROUP BY 1"""
 
 
 def derived_spans(spark, folder: str) -> DataFrame:
@@ -363,13 +418,8 @@ def public_ids(spark, folder: str) -> DataFrame:
     Ids are sorted by ranges over all partitions; ranks are counted inside and added up.
     """
     ids = _steps(spark, folder).select(*KEYS).distinct()
-    ranged = checkpointed(ids.repartitionByRange(*KEYS).withColumn("part", F.spark_partition_id().cast("long")))
-    inside = Window.partitionBy("dataset", "part").orderBy("trajectory_id")
-    before = ranged.groupBy("dataset", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = before.select("dataset", "part", F.coalesce(F.sum("n").over(Window.partitionBy("dataset").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("pre"))
-    ranked = ranged.withColumn("r", F.row_number().over(inside)).join(F.broadcast(before), ["dataset", "part"])
-    return ranked.select(
-        *KEYS, F.format_string("%06d", (F.col("r") + F.col("pre")).cast("long")).alias("public_number"), F.sha2(F.concat_ws("|", *KEYS), 256).alias("public_hash")
+    return range_totals(ids, ["dataset"], ["trajectory_id"], None, "r").select(
+        *KEYS, F.format_string("%06d", "r").alias("public_number"), F.sha2(F.concat_ws("|", *KEYS), 256).alias("public_hash")
     )
 
 
@@ -398,7 +448,7 @@ FINGERPRINTS_SQL = " UNION ALL ".join(
 )
 
 NAMES = [
-    "trajectory_flags", "prevalence", "length_summary", "longest_decile", "length_correlation", "duplicate_keys", "index_gaps", "missing_indexes",
+    "trajectory_flags", "prevalence", "length_summary", "longest_decile", "length_correlation", "length_groups", "duplicate_keys", "index_gaps", "missing_indexes",
     "label_distribution", "illegal_labels", "id_overlap", "uncertain_counts", "field_availability", "signal_regions", "projected_density",
     "derived_spans", "spans_by_id", "span_overlaps", "public_ids", "fingerprints",
 ]

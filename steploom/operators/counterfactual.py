@@ -7,20 +7,27 @@ from pyspark.sql import functions as F
 
 from steploom.operators import sequence as seq
 from steploom.operators.detectors import CONFIGS, FEATURES_SQL, config_table, location, triggered
-from steploom.operators.ranking import running_totals
+from steploom.operators.ranking import block_of, running_totals
 from steploom.operators.sequence import KEYS, PREPARED_SQL
-from steploom.sources.tables import checkpointed, read_table
+from steploom.sources.tables import read_table
 
 _KINDS = {"pi": "in_pi", "uc": "in_uc", "hn": "in_hn", "productive": "in_pi OR in_hn"}
 
 
+def by_blocks(rows: DataFrame, totals: DataFrame, order: str) -> DataFrame:
+    """`rows` with the totals of their trajectory: a copy of them for each block of `order`, so that a long trajectory is many groups."""
+    cut = rows.withColumn("_blk", block_of(F.col(order)))
+    blocks = cut.select(*KEYS, "_blk").distinct()
+    return cut.join(blocks.join(totals, KEYS), [*KEYS, "_blk"]).drop("_blk")
+
+
 def suffix_counts(t: DataFrame) -> DataFrame:
     """Adds remaining_steps and remaining_{pi,uc,hn,productive}: steps of the kind after this one."""
     marked = t.select("*", F.lit(1).alias("k_steps"), *[F.expr(f"CAST({e} AS INT)").alias(f"k_{k}") for k, e in _KINDS.items()])
     names = ["steps", *_KINDS]
     upto = running_totals(marked, KEYS, "position", {f"u_{k}": f"k_{k}" for k in names})
     total = marked.groupBy(*KEYS).agg(*[F.sum(f"k_{k}").alias(f"t_{k}") for k in names])
-    out = upto.join(total, KEYS)
+    out = by_blocks(upto, total, "position")
     return out.select(*t.columns, *[(F.col(f"t_{k}") - F.col(f"u_{k}")).alias(f"remaining_{k}") for k in names])
 
 
@@ -34,14 +41,14 @@ def spans_after(t: DataFrame, spans: DataFrame) -> DataFrame:
     summed = marks.groupBy(*KEYS, "pos").agg(F.sum("p").alias("p"), F.sum("u").alias("u"), F.max("s").alias("s"))
     upto = running_totals(summed, KEYS, "pos", {"pu": "p", "uu": "u"})
     total = summed.groupBy(*KEYS).agg(F.sum("p").alias("pt"), F.sum("u").alias("ut"))
-    return upto.where("s = 1").join(total, KEYS).select(
+    return by_blocks(upto.where("s = 1"), total, "pos").select(
         *KEYS, F.col("pos").cast("int").alias("step_index"), (F.col("pt") - F.col("pu")).alias("productive_spans_after"), (F.col("ut") - F.col("uu")).alias("uc_spans_after")
     )
 
 
 def first_stops(spark, folder: str) -> DataFrame:
     """First trigger of each configuration and trajectory with what comes after it."""
-    t = checkpointed(triggered(spark, folder))
+    t = triggered(spark, folder)
     first = t.select(*KEYS, "position", F.explode("fired").alias("cfg")).groupBy(*KEYS, "cfg").agg(F.min("position").alias("position"))
     spans = seq.ordered_spans(read_table(spark, folder, "normalized_spans"))
     wide = suffix_counts(t.drop("fired")).join(spans_after(t, spans), [*KEYS, "step_index"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from steploom.operators import sequence as seq
 from steploom.operators.sequence import KEYS, PREPARED_SQL, prepared
-from steploom.sources.tables import checkpointed, read_table
+from steploom.sources.tables import checkpointed, read_table, shared_table
 
 # The reference's configurations.
 STEP_CAPS = (25, 50, 75, 100, 150, 200)
@@ -55,7 +55,7 @@ def configurations() -> list[Config]:
     out += [Config("tool_sequence_repeat", f"window={w}", "tool_sequence_repeat", f"seq_tool_{w}", f"seq_tool_{w}") for w in (2, 3, 4)]
     out.append(Config("action_observation_repeat_exact", "exact_pair_k=2", "action_observation_repeat", "rep_action_obs_key_2", "rep_action_obs_key_2"))
     out += [
-        Config("action_observation_similarity", f"tfidf_adjacent>={t:.2f}", "action_observation_similarity", f"coalesce(similarity >= {t}, false)", f"coalesce(similarity >= {t}, false)")
+        Config("action_observation_similarity", f"tfidf_adjacent>={t}", "action_observation_similarity", f"coalesce(similarity >= {t}, false)", f"coalesce(similarity >= {t}, false)")
         for t in SIMILARITIES
     ]
     out += [Config("error_signature_repeat_k", f"k={k}", "error_signature_repeat_k", f"rep_error_key_{k}", f"rep_error_key_{k}") for k in (2, 3)]
@@ -97,19 +97,13 @@ def similarity(steps: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
         .select("term", (F.log((1.0 + F.col("n_rows")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     )
     weighed = counted.join(F.broadcast(words), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    # A vector holds no more entries than its text has terms.
-    vectors = weighed.groupBy(*KEYS, "position").agg(
-        F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
-    )
-    haloed = seq.with_halo(vectors)
-    w = seq.over_block()
-    paired = haloed.select(
-        *KEYS, "position", "own", "v", "norm", F.lag("v").over(w).alias("pv"), F.lag("norm").over(w).alias("pn"), F.lag("position").over(w).alias("pp")
-    ).where(F.col("own") & (F.col("pp") == F.col("position") - 1))
-    dot = F.aggregate(
-        F.map_entries("v"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.element_at(F.col("pv"), e["key"]), F.lit(0.0))
-    )
-    return paired.select(*KEYS, "position", (dot / (F.col("norm") * F.col("pn"))).alias("similarity"))
+    # Words of a step meet the same words of the step before by the key itself, so no step is compared term by term.
+    weighed = checkpointed(weighed.select(*KEYS, "position", F.xxhash64("term").alias("term"), "w"))
+    norms = weighed.groupBy(*KEYS, "position").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    after = lambda df, c: df.withColumn("position", F.col("position") + 1).withColumnRenamed(c, f"p{c}")
+    dots = weighed.join(after(weighed, "w"), [*KEYS, "position", "term"]).groupBy(*KEYS, "position").agg(F.sum(F.col("w") * F.col("pw")).alias("dot"))
+    pairs = norms.join(after(norms, "norm"), [*KEYS, "position"]).join(dots, [*KEYS, "position"], "left")
+    return pairs.select(*KEYS, "position", (F.coalesce("dot", F.lit(0.0)) / (F.col("norm") * F.col("pnorm"))).alias("similarity"))
 
 
 def features(steps: DataFrame) -> DataFrame:
@@ -146,8 +140,13 @@ _USED = [
 
 
 def triggered(spark, folder: str) -> DataFrame:
-    """The steps with the settings that fire. The prepared steps are read by several branches, so they are written once."""
-    return with_triggers(features(checkpointed(prepared(spark, folder).select(*_USED))))
+    """The steps with the settings that fire: a table made once for all queries, as long as its sources stay."""
+
+    def build() -> DataFrame:
+        # The prepared steps are read by several branches, so they are written once.
+        return with_triggers(features(checkpointed(prepared(spark, folder).select(*_USED))))
+
+    return shared_table(spark, folder, "triggers", ["enriched_steps", "normalized_spans"], build)
 
 
 def config_table(spark) -> DataFrame:
@@ -229,7 +228,7 @@ def metrics(spark, folder: str) -> DataFrame:
     A ratio with denominator 0 is null. Spans that hold no step count in the denominators. Latency is
     the distance in positions from a UC span's first present step to the first trigger inside.
     """
-    t = checkpointed(triggered(spark, folder))
+    t = triggered(spark, folder)
     n = len(CONFIGS)
     hit = lambda i: F.array_contains("fired", i)
     one = lambda c: F.sum(F.when(c, 1).otherwise(0))

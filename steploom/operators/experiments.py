@@ -12,8 +12,7 @@ from steploom.sources.tables import checkpointed, read_table
 
 NEUTRAL, WARN = "NEUTRAL_CONTINUE", "WARN_REPLAN"
 BASE_ARM = "NO_GUARD"
-#: Replicates of the registered SQL, and those of the reference's response and arm effects.
-REPLICATES = 200
+#: Replicates of response and arm effects.
 RESPONSE_REPLICATES, ARM_REPLICATES = 5000, 1000
 #: Cumulated Poisson(1) probabilities: the weight of a pair in a replicate is the number passed.
 POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
@@ -192,7 +191,7 @@ def bootstraps(pairs: DataFrame, unit: str, values: list[str], by: list[str], re
     return point.join(ends, [*by, "metric"])
 
 
-def bootstrap(pairs: DataFrame, unit: str, value: str, by: list[str], replicates: int = REPLICATES) -> DataFrame:
+def bootstrap(pairs: DataFrame, unit: str, value: str, by: list[str], replicates: int) -> DataFrame:
     """`bootstraps` of one value."""
     return bootstraps(pairs, unit, [value], by, replicates).drop("metric")
 
@@ -204,9 +203,9 @@ def response_effects(spark, folder: str) -> DataFrame:
     return bootstraps(d, "released_prefix_id", RATES, [], RESPONSE_REPLICATES)
 
 
-def _boot_sql(source: str, by: str) -> str:
+def _boot_sql(source: str, by: str, replicates: int) -> str:
     return f""",
-r AS (SELECT {by}, d, ('0x' || substr(md5(unit || '|' || rep::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u, rep FROM {source}, range({REPLICATES}) t(rep)),
+r AS (SELECT {by}, d, ('0x' || substr(md5(unit || '|' || rep::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u, rep FROM {source}, range({replicates}) t(rep)),
 q AS (SELECT {by}, rep, sum(({_WEIGHT_SQL}) * d) AS s, sum({_WEIGHT_SQL}) AS n FROM r GROUP BY {by}, rep),
 e AS (SELECT {by}, round(quantile_cont(s / n, 0.025), 9) AS low, round(quantile_cont(s / n, 0.975), 9) AS high FROM q WHERE n > 0 GROUP BY {by}),
 o AS (SELECT {by}, count(*) AS units, round(avg(d), 9) AS mean FROM {source} GROUP BY {by})
@@ -215,7 +214,7 @@ SELECT * FROM o JOIN e USING ({by})"""
 
 RESPONSE_EFFECTS_SQL = PAIRS_CTE + ", x AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS metric, released_prefix_id AS unit, (w.{c} - n.{c})::DOUBLE AS d FROM n JOIN w USING (released_prefix_id)" for c in RATES
-) + ")" + _boot_sql("x", "metric")
+) + ")" + _boot_sql("x", "metric", RESPONSE_REPLICATES)
 
 
 # ---------------------------------------------------------------- run log
@@ -284,7 +283,7 @@ def arm_effects(spark, folder: str) -> DataFrame:
 ARM_EFFECTS_SQL = LATEST_RUNS_CTE + ", d0 AS (" + " UNION ALL ".join(
     f"SELECT a.arm, '{c}' AS metric, a.released_task_id AS unit, a.{c}::DOUBLE - b.{c}::DOUBLE AS d FROM x a JOIN x b USING (released_task_id) WHERE b.arm = '{BASE_ARM}' AND a.arm <> '{BASE_ARM}'"
     for c in _RUN_METRICS
-) + "), dd AS (SELECT * FROM d0 WHERE d IS NOT NULL)" + _boot_sql("dd", "arm, metric")
+) + "), dd AS (SELECT * FROM d0 WHERE d IS NOT NULL)" + _boot_sql("dd", "arm, metric", ARM_REPLICATES)
 
 
 def bool_readings(spark, folder: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from steploom.functions import text as tx
 from steploom.operators import sequence as seq
 from steploom.operators.detectors import FEATURES_SQL, config_table, triggered
-from steploom.operators.ranking import running_total, running_totals
+from steploom.operators.ranking import running_totals
 from steploom.operators.sequence import KEYS, ONCE_SQL, PREPARED_SQL, norm_sql
 from steploom.sources.tables import checkpointed, read_table
 
@@ -72,8 +72,8 @@ def _steps(spark, folder: str) -> DataFrame:
     return seq.steps_once(read_table(spark, folder, "enriched_steps", *[c for c in seq.COLUMNS if c != "row_number"]))
 
 
-_FIRST_CTE = FEATURES_SQL + """, ft AS (SELECT dataset, trajectory_id, min(position) AS at, min(step_index) AS trigger_step FROM trig
-  WHERE config = 'window=5;repeats=3' GROUP BY 1, 2)"""
+# Every configuration has its first trigger; what came before it is read by index.
+_FIRST_CTE = FEATURES_SQL + """, ft AS (SELECT dataset, trajectory_id, detector, config, min(step_index) AS trigger_step FROM trig GROUP BY ALL)"""
 
 
 def recent_steps(spark, folder: str) -> DataFrame:
@@ -84,8 +84,8 @@ def recent_steps(spark, folder: str) -> DataFrame:
     return _per_config(r, ["step_index", "tool_key", "action_key"])
 
 
-RECENT_STEPS_SQL = _FIRST_CTE + f""" SELECT s.dataset, s.trajectory_id, trigger_step, step_index, tool_key, action_key FROM steps s
-JOIN ft ON ft.dataset = s.dataset AND ft.trajectory_id = s.trajectory_id WHERE step_index BETWEEN trigger_step - {RECENT - 1} AND trigger_step"""
+RECENT_STEPS_SQL = _FIRST_CTE + f""" SELECT s.dataset, s.trajectory_id, detector, config, trigger_step, step_index, tool_key, action_key FROM steps s
+JOIN ft ON ft.dataset = s.dataset AND ft.trajectory_id = s.trajectory_id WHERE step_index > trigger_step - {RECENT_INDEXES} AND step_index <= trigger_step"""
 
 
 def repeated_patterns(spark, folder: str) -> DataFrame:
@@ -105,11 +105,6 @@ def repeated_patterns(spark, folder: str) -> DataFrame:
     return _per_config(best.join(p.select(*KEYS, "trigger_step", "cfgs"), [*KEYS, "trigger_step"]), ["field", "value", "times"])
 
 
-REPEATED_PATTERNS_SQL = _FIRST_CTE + f""", n AS (SELECT s.dataset, s.trajectory_id, tool_key, count(*) AS times FROM steps s JOIN ft ON ft.dataset = s.dataset AND ft.trajectory_id = s.trajectory_id
-  WHERE position > at - {RECENT} AND position <= at AND tool_key <> '' GROUP BY 1, 2, 3)
-SELECT * FROM n WHERE times >= 2 QUALIFY row_number() OVER (PARTITION BY dataset, trajectory_id ORDER BY times DESC, tool_key DESC) = 1""".replace("position > at", "position > ft.at").replace("position <= at", "position <= ft.at")
-
-
 def next_actions(spark, folder: str) -> DataFrame:
     """The action at the very next index after the first trigger of each configuration; a lost step gives no row."""
     first = _prefixes(spark, folder).withColumn("step_index", F.col("trigger_step") + 1)
@@ -117,7 +112,7 @@ def next_actions(spark, folder: str) -> DataFrame:
     return _per_config(first.join(s, [*KEYS, "step_index"]), ["next_action"])
 
 
-NEXT_ACTIONS_SQL = _FIRST_CTE + """ SELECT s.dataset, s.trajectory_id, trigger_step, action_key AS next_action FROM steps s
+NEXT_ACTIONS_SQL = _FIRST_CTE + """ SELECT s.dataset, s.trajectory_id, detector, config, trigger_step, action_key AS next_action FROM steps s
 JOIN ft ON ft.dataset = s.dataset AND ft.trajectory_id = s.trajectory_id AND s.step_index = ft.trigger_step + 1"""
 
 
@@ -147,20 +142,17 @@ def repetition_counts(spark, folder: str) -> DataFrame:
     )
 
 
-REPETITION_COUNTS_SQL = PREPARED_SQL + """, t AS (SELECT dataset, trajectory_id, position, tool_key, coalesce(nullif(trim(coalesce(file_path, '')), ''), '') AS fp, files FROM steps),
-u AS (SELECT *, CASE WHEN len(files) = 0 THEN '' ELSE coalesce(nullif(fp, ''), '?') END AS has FROM t),
-lst AS (SELECT s.dataset, s.trajectory_id, s.position, s.tool_key, coalesce(list_extract(ordered, -1), '') AS target FROM steps s LEFT JOIN
-  (SELECT dataset, trajectory_id, position, list(f ORDER BY i) AS ordered FROM (
-     SELECT dataset, trajectory_id, position, f, min(i) AS i FROM (
-       SELECT dataset, trajectory_id, position, trim(unnest(l)) AS f, generate_subscripts(l, 1) AS i FROM (
-         SELECT dataset, trajectory_id, position, list_concat(coalesce(CASE WHEN trim(mentioned_files) LIKE '[%' THEN TRY_CAST(TRY_CAST(mentioned_files AS JSON) AS VARCHAR[]) END,
-           regexp_split_to_array(coalesce(mentioned_files, ''), '[;,|]')), [trim(coalesce(file_path, ''))]) AS l FROM steps)) WHERE f <> '' GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) o
-  ON o.dataset = s.dataset AND o.trajectory_id = s.trajectory_id AND o.position = s.position),
-m AS (SELECT *, list(target) OVER w AS lt, list(tool_key) OVER w AS lk FROM lst WINDOW w AS (PARTITION BY dataset, trajectory_id ORDER BY position ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))
-SELECT dataset, trajectory_id, count(*) AS steps, count(*) FILTER (target <> '' AND coalesce(list_contains(lt, target), false)) AS repeated_files,
-  count(*) FILTER (tool_key <> '' AND coalesce(list_contains(lk, tool_key), false)) AS repeated_tools,
-  count(*) FILTER (target <> '' AND coalesce(list_contains(lt, target), false)) / count(*) AS repeated_file_rate,
-  count(*) FILTER (tool_key <> '' AND coalesce(list_contains(lk, tool_key), false)) / count(*) AS repeated_tool_rate FROM m GROUP BY 1, 2"""
+# All targets of all steps in a row, whatever step they belong to; an action of 120 characters stands for a step without files.
+_TARGETS_SQL = """, tg AS (SELECT dataset, trajectory_id, step_index, position, tool_key, CASE WHEN len(files) > 0 THEN files
+  ELSE [CASE WHEN trim(action_key) <> '' THEN substr(action_key, 1, 120) ELSE '<empty-action>' END] END AS l FROM steps),
+fl AS (SELECT dataset, trajectory_id, step_index, position, unnest(l) AS target, generate_subscripts(l, 1) AS k FROM tg)"""
+REPETITION_COUNTS_SQL = PREPARED_SQL + _TARGETS_SQL + """,
+bf AS (SELECT dataset, trajectory_id, target, list(target) OVER (PARTITION BY dataset, trajectory_id ORDER BY position, k ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS before FROM fl),
+fi AS (SELECT dataset, trajectory_id, count(*) FILTER (coalesce(list_contains(before, target), false)) AS repeated_files FROM bf GROUP BY 1, 2),
+bt AS (SELECT dataset, trajectory_id, tool_key, list(tool_key) OVER (PARTITION BY dataset, trajectory_id ORDER BY position ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS before FROM tg),
+ti AS (SELECT dataset, trajectory_id, count(*) AS steps, count(*) FILTER (tool_key <> '' AND coalesce(list_contains(before, tool_key), false)) AS repeated_tools FROM bt GROUP BY 1, 2)
+SELECT dataset, trajectory_id, steps, repeated_files, repeated_tools, repeated_files / steps AS repeated_file_rate, repeated_tools / steps AS repeated_tool_rate
+FROM ti JOIN fi USING (dataset, trajectory_id)"""
 
 
 def text_forms(spark, folder: str) -> DataFrame:
@@ -168,12 +160,12 @@ def text_forms(spark, folder: str) -> DataFrame:
     cols = ["error_text", "output_text", "observation_text", "normalized_action_text", "tool_name"]
     s = seq.steps_once(read_table(spark, folder, "enriched_steps", "dataset", "trajectory_id", "step_index", *cols))
     return s.select(
-        *KEYS, "step_index", tx.error_signature(F.col("error_text"), F.col("output_text")).alias("signature"),
+        *KEYS, "step_index", tx.error_signature(F.col("error_text"), F.col("output_text"), F.col("observation_text")).alias("signature"),
         tx.step_type(F.col("normalized_action_text"), F.col("tool_name")).alias("kind"), tx.short_hash(tx.normal(F.col("observation_text"))).alias("observation_hash"),
     )
 
 
-_E = "coalesce(nullif(trim(error_text), ''), nullif(trim(output_text), ''), '')"
+_E = "coalesce(nullif(trim(error_text), ''), nullif(trim(output_text), ''), nullif(trim(observation_text), ''), '')"
 _HITS = ", ".join(f"nullif(regexp_extract({_E}, '{p}', 0), '')" for p in tx.ERROR_LINES)
 _FALL = rf"CASE WHEN regexp_matches({_E}, '{tx.ERROR_WORDS}') THEN substr(trim(regexp_replace({_E}, '\s+', ' ', 'g')), 1, 240) END"
 _KIND = r"lower(regexp_split_to_array(coalesce(nullif(trim(tool_name), ''), nullif(trim(normalized_action_text), '')), '\s+')[1])"
@@ -191,7 +183,9 @@ def file_mentions(spark, folder: str) -> DataFrame:
     return by.groupBy("file").agg(F.sum("n").alias("steps"), F.count(F.lit(1)).alias("trajectories"))
 
 
-FILE_MENTIONS_SQL = f"""WITH {ONCE_SQL}, e AS (SELECT dataset, trajectory_id, unnest(list_distinct(regexp_extract_all(coalesce(normalized_action_text, ''), '{tx.FILE_NAME}', 0))) AS file FROM s0)
+_NAME_SQL, _EDGES_SQL = tx.FILE_NAME.replace("'", "''"), tx.FILE_EDGES.replace("'", "''")
+FILE_MENTIONS_SQL = f"""WITH {ONCE_SQL}, e AS (SELECT dataset, trajectory_id, unnest(list_distinct(list_filter(list_transform(
+  regexp_extract_all(coalesce(normalized_action_text, ''), '{_NAME_SQL}', 0), lambda x: trim(x, '{_EDGES_SQL}')), lambda x: x <> ''))) AS file FROM s0)
 SELECT file, count(*) AS steps, count(DISTINCT (dataset, trajectory_id)) AS trajectories FROM e GROUP BY 1"""
 
 
@@ -201,40 +195,62 @@ def scrubbed_prefixes(spark, folder: str) -> DataFrame:
     return p.select("released_prefix_id", tx.scrubbed(F.col("recent_actions_summary")).alias("actions"), tx.scrubbed(F.col("recent_observations_summary")).alias("observations")).distinct()
 
 
+# RE2 has no look-around: the one character before a path, and the one behind a bare folder, is matched and put back.
+_FOR_RE2 = {
+    r"(?<!:)/[A-Za-z0-9_.-]+/([A-Za-z0-9_./-]+)": (r"(^|[^:])/[A-Za-z0-9_.-]+/([A-Za-z0-9_./-]+)", "\\1<PROJECT_PATH>/\\2"),
+    r"(?<!:)/[A-Za-z0-9_.-]+(?=[\s),;]|$)": (r"(^|[^:])/[A-Za-z0-9_.-]+([\s),;]|$)", "\\1<PROJECT_PATH>\\2"),
+}
+
+
 def _scrub_sql(x: str) -> str:
     t = f"coalesce({x}, '')"
-    for p, s in tx.SCRUB:
-        t = "regexp_replace({}, '{}', '{}', 'g')".format(t, p.replace("'", "''"), s.replace("'", "''"))
-    t = f"trim({t})"
-    return f"CASE WHEN length({t}) > 400 THEN rtrim(substr({t}, 1, 380)) || ' ... <truncated>' ELSE {t} END"
+    for pattern, sign in (*tx.SCRUB[:-1], *tx.SCRUB_PATHS, tx.SCRUB[-1]):
+        times = 2 if "(?=" in pattern else 1  # two bare folders that share a blank
+        pattern, sign = _FOR_RE2.get(pattern, (pattern, sign))
+        for _ in range(times):
+            t = "regexp_replace({}, '{}', '{}', 'g')".format(t, pattern.replace("'", "''"), sign.replace("'", "''"))
+    return f"trim({t})"
 
 
 SCRUBBED_PREFIXES_SQL = f"SELECT DISTINCT released_prefix_id, {_scrub_sql('recent_actions_summary')} AS actions, {_scrub_sql('recent_observations_summary')} AS observations FROM prefix_replan_sample"
 
 
 def guard_events(spark, folder: str) -> DataFrame:
-    """Batch twin of the streaming guard: steps at which a target fills three of the last five targets.
+    """Batch twin of the streaming guard: the event of each step that has one, with its target.
 
-    A step's targets are its files, or its action where it names none; the window counts targets.
+    All targets of a step are taken in, the last five of the run stay, and of the step's targets from the
+    last to the first the one counts that fills three of the five.
     """
-    s = seq.prepared(spark, folder).where("dataset IS NOT NULL").select(*KEYS, "step_index", "position", "files", "action_key")
-    targets = F.when(F.size("files") > 0, F.sort_array("files")).otherwise(F.array(F.when(F.trim("action_key") != "", F.substring("action_key", 1, 120)).otherwise("<empty-action>")))
-    upto = running_total(s.withColumn("targets", targets).withColumn("size", F.size("targets")), KEYS, "position", "size", "upto")
-    n = upto.select(*KEYS, "step_index", "size", "upto", F.posexplode("targets").alias("k", "target")).select(
-        *KEYS, "step_index", "target", (F.col("upto") - F.col("size") + F.col("k") + 1).alias("position")
-    )
-    h = seq.with_halo(n)
-    last = F.collect_list("target").over(seq.over_block().rowsBetween(-4, 0))
-    fired = h.select(*KEYS, "own", "step_index", F.size(F.filter(last, lambda x: x == F.col("target"))).alias("c")).where(F.col("own") & (F.col("c") >= 3))
-    return fired.groupBy(*KEYS, "step_index").agg(F.max("c").alias("times"))
-
-
-GUARD_EVENTS_SQL = PREPARED_SQL + """, t AS (SELECT dataset, trajectory_id, step_index, position, CASE WHEN len(files) > 0 THEN list_sort(files)
-  ELSE [CASE WHEN trim(action_key) <> '' THEN substr(action_key, 1, 120) ELSE '<empty-action>' END] END AS l FROM steps),
-f AS (SELECT dataset, trajectory_id, step_index, position, unnest(l) AS target, generate_subscripts(l, 1) AS k FROM t),
-w AS (SELECT *, list(target) OVER (PARTITION BY dataset, trajectory_id ORDER BY position, k ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS last FROM f),
-c AS (SELECT *, len(list_filter(last, lambda x: x = target)) AS c FROM w)
-SELECT dataset, trajectory_id, step_index, max(c)::INTEGER AS times FROM c WHERE c >= 3 GROUP BY 1, 2, 3"""
+    s = seq.prepared(spark, folder).where("dataset IS NOT NULL").select(*KEYS, "step_index", "position", _targets().alias("targets")).withColumn("size", F.size("targets"))
+    # The last five targets of the run end with this step's own.
+    mine = s.withColumn("tail", F.when(F.col("size") >= 5, F.slice("targets", -5, 5)).otherwise(F.col("targets")))
+    h = seq.with_halo(mine)
+    before = F.flatten(F.collect_list("tail").over(seq.over_block().rowsBetween(-4, 0)))  # every step has a target, so five steps are enough
+    last = F.slice(before, -F.least(F.size(before), F.lit(5)), 5)
+    hit = lambda c: F.filter(F.reverse("targets"), lambda t: F.size(F.filter(c, lambda x: x == t)) >= 3)
+    out = h.withColumn("last", last).where("own")
+    out = out.withColumn("target", F.get(hit(F.col("last")), F.lit(0))).where("target IS NOT NULL")
+    return out.select(*KEYS, "step_index", "target", F.size(F.filter("last", lambda x: x == F.col("target"))).alias("times"))
+
+
+# For each step the last five targets up to its last one; then its own targets, the last first.
+GUARD_EVENTS_SQL = PREPARED_SQL + _TARGETS_SQL + """,
+w AS (SELECT *, list(target) OVER (PARTITION BY dataset, trajectory_id ORDER BY position, k ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS last,
+  row_number() OVER (PARTITION BY dataset, trajectory_id, position ORDER BY k DESC) AS back FROM fl),
+e AS (SELECT dataset, trajectory_id, position, last FROM w WHERE back = 1),
+c AS (SELECT w.dataset, w.trajectory_id, w.step_index, w.target, w.back, len(list_filter(e.last, lambda x: x = w.target)) AS times
+  FROM w JOIN e ON e.dataset = w.dataset AND e.trajectory_id = w.trajectory_id AND e.position = w.position)
+SELECT dataset, trajectory_id, step_index, target, times::INTEGER AS times FROM c WHERE times >= 3
+QUALIFY row_number() OVER (PARTITION BY dataset, trajectory_id, step_index ORDER BY back) = 1"""
+
+_VALUES_SQL = " UNION ALL ".join(
+    f"SELECT dataset, trajectory_id, detector, config, trigger_step, '{c}' AS field, {_scrub_sql(c)} AS value FROM six" for c in PATTERN_FIELDS
+)
+REPEATED_PATTERNS_SQL = _FIRST_CTE + f""", six AS (SELECT s.*, detector, config, trigger_step FROM steps s JOIN ft ON ft.dataset = s.dataset AND ft.trajectory_id = s.trajectory_id
+  WHERE step_index > trigger_step - {RECENT_INDEXES} AND step_index <= trigger_step
+  QUALIFY row_number() OVER (PARTITION BY s.dataset, s.trajectory_id, detector, config ORDER BY step_index DESC) <= {RECENT}),
+vl AS ({_VALUES_SQL}), n AS (SELECT *, count(*) AS times FROM vl WHERE value <> '' GROUP BY ALL HAVING count(*) >= 2)
+SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY dataset, trajectory_id, detector, config, field ORDER BY times DESC, value DESC) = 1"""
 
 NAMES = [
     "stratified_sample", "recent_steps", "repeated_patterns", "next_actions", "repetition_counts", "text_forms", "file_mentions", "scrubbed_prefixes", "guard_events",

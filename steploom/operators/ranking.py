@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from steploom.sources.tables import checkpointed
+
 #: Width of a block in units of the order column.
 BLOCK = 4096
 
@@ -60,3 +62,18 @@ def running_total(
 ) -> DataFrame:
     """`running_totals` of one weight; of no weight: the row number."""
     return running_totals(df, keys, order, {out: weight}, block, width)
+
+
+def range_totals(df: DataFrame, keys: list[str], order: list[str], weight: str | None, out: str) -> DataFrame:
+    """Adds `out`: the total of `weight` (1 where None) up to and including the row, in the order of `order` inside `keys`.
+
+    For orders that are no integers: rows are cut into ranges of (keys, order) over all partitions, and what
+    the ranges before hold is added. The caller makes (keys, order) unique.
+    """
+    value = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+    ranged = checkpointed(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id().cast("long")))
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy(*keys, "_range").agg(F.sum(value).alias("_s")).select(*keys, "_range", F.coalesce(F.sum("_s").over(earlier), F.lit(0).cast("long")).alias("_before"))
+    totals = ranged.select("*", F.sum(value).over(inside).alias("_own")).join(F.broadcast(before), [*keys, "_range"])  # a row for each range and key
+    return totals.select(*df.columns, (F.col("_own") + F.col("_before")).alias(out))

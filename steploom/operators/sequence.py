@@ -230,6 +230,13 @@ SPANS_SQL = f"""sp AS (
     coalesce(productive_iteration_flag, false) AS pi, coalesce(unproductive_cycle_flag, false) AS uc, coalesce(uncertain_flag, false) AS un
   FROM normalized_spans WHERE trajectory_id IS NOT NULL AND start_step_index IS NOT NULL AND end_step_index IS NOT NULL)"""
 
+_NAMED_SQL = """list_filter(list_concat(list_transform(coalesce(
+        CASE WHEN trim(mentioned_files) LIKE '[%' THEN TRY_CAST(TRY_CAST(mentioned_files AS JSON) AS VARCHAR[]) END,
+        regexp_split_to_array(coalesce(mentioned_files, ''), '[;,|]')), lambda x: trim(x)), [trim(coalesce(file_path, ''))]),
+      lambda x: x IS NOT NULL AND x <> '')"""
+#: Each name once, in the order of its first mention.
+_FILES_SQL = f"list_filter({_NAMED_SQL}, lambda x, i: list_position({_NAMED_SQL}, x) = i)"
+
 PREPARED_SQL = rf"""
 WITH {ONCE_SQL}, {SPANS_SQL},
 held AS (
@@ -250,10 +257,7 @@ s1 AS (
     {norm_sql('tool_name')} AS tool_key,
     coalesce(CASE WHEN trim(observation_text) <> '' THEN observation_text END, output_text, '') AS obs_text,
     coalesce(CASE WHEN trim(error_signature) <> '' THEN error_signature END, nullif({norm_sql('error_text')}, ''), nullif({norm_sql('output_text')}, ''), '') AS error_key,
-    list_distinct(list_filter(list_concat(list_transform(coalesce(
-        CASE WHEN trim(mentioned_files) LIKE '[%' THEN TRY_CAST(TRY_CAST(mentioned_files AS JSON) AS VARCHAR[]) END,
-        regexp_split_to_array(coalesce(mentioned_files, ''), '[;,|]')), lambda x: trim(x)), [trim(coalesce(file_path, ''))]),
-      lambda x: x IS NOT NULL AND x <> '')) AS files,
+    {_FILES_SQL} AS files,
     {score_sql('progress')} AS p_score, {score_sql('novelty')} AS n_score, coalesce(nullif(trim(step_type), ''), '') AS kind_key
   FROM s0 LEFT JOIN held USING (dataset, trajectory_id, step_index)),
 s2 AS (SELECT *, CASE WHEN {norm_sql('obs_text')} <> '' THEN substr(sha1({norm_sql('obs_text')}), 1, 16) ELSE '' END AS obs_key FROM s1),

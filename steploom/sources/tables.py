@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,3 +59,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{_shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def table_version(spark: SparkSession, folder: str, *names: str) -> str:
+    """A digest of paths, sizes and times of the files of some tables; it changes when a table does."""
+    seen = []
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            seen.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()
+
+
+_SHARED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def shared_table(spark: SparkSession, folder: str, name: str, sources: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """What `build` makes of the tables `sources`, written once for all queries of this application.
+
+    It is made anew when a file of the sources has changed.
+    """
+    key = (spark.sparkContext.applicationId, name, table_version(spark, folder, *sources))
+    if key not in _SHARED:
+        _SHARED[key] = written(build(), name)
+    return _SHARED[key]

@@ -39,7 +39,7 @@ def test_kappa_of_perfect_and_constant_labels(spark):
 
 def test_bootstrap_interval_holds_the_mean(spark):
     df = spark.createDataFrame([(f"u{i}", float(i % 7), "m") for i in range(60)], "u string, v double, g string")
-    r = experiments.bootstrap(df, "u", "v", ["g"]).first()
+    r = experiments.bootstrap(df, "u", "v", ["g"], 200).first()
     assert r.low < r.mean < r.high and r.units == 60
 
 

@@ -1,4 +1,4 @@
-"""Queries whose registered SQL does less than the whole job, against counts made here."""
+"""Queries against counts made here, step by step."""
 
 import hashlib
 from collections import Counter, defaultdict
@@ -90,3 +90,20 @@ def test_prefixes_of_every_configuration(spark, data):
             following.append((*key, run[t.step_index + 1].action_key))
     for query, want in ((prefixes.recent_steps, recent), (prefixes.repeated_patterns, patterns), (prefixes.next_actions, following)):
         assert want and sorted(map(tuple, query(spark, data).collect())) == sorted(want)
+
+
+def test_guard_twin_agrees_with_the_stream_step_by_step(spark, data):
+    from steploom.streaming.guard import observe
+
+    runs = defaultdict(list)
+    for r in seq.prepared(spark, data).select("dataset", "trajectory_id", "step_index", "position", "files", "action_key").orderBy("position").collect():
+        runs[r.dataset, r.trajectory_id].append(r)
+    want = set()
+    for key, steps in runs.items():
+        recent = []
+        for r in steps:
+            targets = r.files or [r.action_key[:120] if r.action_key.strip(" ") else "<empty-action>"]
+            recent, _, _, event = observe(recent, False, False, "NO_GUARD", targets)
+            if event:
+                want.add((*key, r.step_index, event[0], event[1]))
+    assert want and {tuple(r) for r in prefixes.guard_events(spark, data).collect()} == want
