@@ -91,7 +91,12 @@ def suffix_totals(spark, folder: str) -> DataFrame:
 _AFTER = "OVER (PARTITION BY dataset, trajectory_id ORDER BY position ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
 _SUFFIX = f"""count(*) {_AFTER} AS remaining_steps, coalesce(sum(in_pi::INT) {_AFTER}, 0) AS remaining_pi, coalesce(sum(in_uc::INT) {_AFTER}, 0) AS remaining_uc,
   coalesce(sum(in_hn::INT) {_AFTER}, 0) AS remaining_hn, coalesce(sum((in_pi OR in_hn)::INT) {_AFTER}, 0) AS remaining_productive"""
-_STOPS = FEATURES_SQL + f""",
+STOP_COLUMNS_SQL = _SUFFIX
+
+
+def first_stops_cte(before: str) -> str:
+    """The first stops behind the named queries of `before`, which hold steps, spans and triggers."""
+    return before + f""",
 suf AS (SELECT dataset, trajectory_id, position, step_index, in_pi, in_uc, in_hn, in_uncertain, {_SUFFIX} FROM steps),
 fir AS (SELECT dataset, trajectory_id, cfg, min(position) AS position FROM trig GROUP BY 1, 2, 3),
 stops AS (SELECT f.cfg, s.*,
@@ -99,6 +104,7 @@ stops AS (SELECT f.cfg, s.*,
   (SELECT count(*) FROM sp WHERE sp.dataset = s.dataset AND sp.trajectory_id = s.trajectory_id AND sp.b > s.step_index AND (label = 'unproductive_cycle' OR uc)) AS ua,
   CASE WHEN in_uc THEN 'UC' WHEN in_hn THEN 'HN' WHEN in_pi THEN 'PI' WHEN in_uncertain THEN 'uncertain' ELSE 'other' END AS location
   FROM fir f JOIN suf s ON s.dataset = f.dataset AND s.trajectory_id = f.trajectory_id AND s.position = f.position)"""
+_STOPS = first_stops_cte(FEATURES_SQL)
 _AGG = """count(*) AS stops, sum(remaining_steps)::BIGINT AS steps_cut, avg(remaining_productive) AS productive_steps_cut_mean, avg(remaining_uc) AS uc_steps_saved_mean,
   avg(remaining_hn) AS hn_steps_cut_mean, avg(pa) AS productive_spans_after_mean, avg(ua) AS uc_spans_after_mean,
   avg((remaining_productive > 0)::INT) AS cuts_productive_rate, avg((remaining_uc > 0)::INT) AS saves_uc_rate"""

@@ -273,7 +273,7 @@ def near_f1_pairs(spark, folder: str) -> DataFrame:
     """
     order = config_table(spark).select("cfg", "detector", "config")
     m = checkpointed(metrics(spark, folder).join(F.broadcast(order), ["detector", "config"]).where("f1 IS NOT NULL"))
-    cols = ["cfg", "detector", "config", "f1", "piir", "hn_fpr"]
+    cols = ["cfg", "detector", "config", "f1", "piir", "hn_fpr", "burden"]
     a = m.select("dataset", *[F.col(c).alias(f"{c}_a") for c in cols])
     b = m.select("dataset", *[F.col(c).alias(f"{c}_b") for c in cols])
     diff = F.abs(F.col("f1_a") - F.col("f1_b"))
@@ -283,6 +283,7 @@ def near_f1_pairs(spark, folder: str) -> DataFrame:
         .select(
             "dataset", "detector_a", "config_a", "detector_b", "config_b", diff.alias("abs_f1_diff"), (diff <= 0.01).alias("within_0_01"),
             F.abs(F.col("piir_a") - F.col("piir_b")).alias("abs_piir_diff"), F.abs(F.col("hn_fpr_a") - F.col("hn_fpr_b")).alias("abs_hn_fpr_diff"),
+            F.abs(F.col("burden_a") - F.col("burden_b")).alias("abs_burden_diff"),
         )
     )
 
@@ -397,7 +398,8 @@ met AS (
 """
 METRICS_SQL = METRICS_CTE + "SELECT * EXCLUDE (cfg) FROM met"
 NEAR_F1_PAIRS_SQL = METRICS_CTE + """SELECT a.dataset, a.detector AS detector_a, a.config AS config_a, b.detector AS detector_b, b.config AS config_b,
-  abs(a.f1 - b.f1) AS abs_f1_diff, abs(a.f1 - b.f1) <= 0.01 AS within_0_01, abs(a.piir - b.piir) AS abs_piir_diff, abs(a.hn_fpr - b.hn_fpr) AS abs_hn_fpr_diff
+  abs(a.f1 - b.f1) AS abs_f1_diff, abs(a.f1 - b.f1) <= 0.01 AS within_0_01, abs(a.piir - b.piir) AS abs_piir_diff, abs(a.hn_fpr - b.hn_fpr) AS abs_hn_fpr_diff,
+  abs(a.burden - b.burden) AS abs_burden_diff
 FROM met a JOIN met b ON a.dataset = b.dataset AND a.cfg < b.cfg AND abs(a.f1 - b.f1) <= 0.02"""
 BEST_AND_WORST_SQL = METRICS_CTE + """,
 sc AS (SELECT dataset, round(coalesce(f1, 0) - 0.5 * coalesce(piir, 0) - 0.5 * coalesce(hn_fpr, 0), 9) AS score, detector || ' ' || config AS name FROM met)

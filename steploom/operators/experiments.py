@@ -164,7 +164,12 @@ def _passed(digest: Column) -> Column:
     return out
 
 
-_WEIGHT_SQL = " + ".join(f"(u >= {p})::INT" for p in POISSON)
+def poisson_weight_sql(u: str) -> str:
+    """The weight of a number from 0 to 1: how many of the cumulated probabilities it passes."""
+    return " + ".join(f"({u} >= {p})::INT" for p in POISSON)
+
+
+_WEIGHT_SQL = poisson_weight_sql("u")
 
 
 def bootstraps(pairs: DataFrame, unit: str, values: list[str], by: list[str], replicates: int) -> DataFrame:
