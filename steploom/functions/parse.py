@@ -88,3 +88,14 @@ def file_list(listed: Column, path: Column) -> Column:
     names = F.transform(F.coalesce(parsed, F.split(text, r"[;,|]")), lambda x: F.trim(x))
     both = F.concat(names, F.array(F.trim(F.coalesce(path, F.lit("")))))
     return F.array_distinct(F.filter(both, lambda x: x.isNotNull() & (x != "")))
+
+
+def recovered_json(c: Column) -> Column:
+    """(json, way) of the JSON object in a text: the whole, else a fenced block, else from the first to the last brace; json null and way none if none is valid."""
+    whole = F.trim(c)
+    fenced = F.regexp_extract(c, r"(?is)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    braces = F.regexp_extract(c, r"(?s)\{.*\}", 0)
+    good = lambda x: F.coalesce(F.schema_of_variant(F.try_parse_json(x)).startswith("OBJECT<"), F.lit(False))
+    way = F.when(good(whole), "whole").when(good(fenced), "fenced").when(good(braces), "braces").otherwise("none")
+    text = F.when(good(whole), whole).when(good(fenced), fenced).when(good(braces), braces)
+    return F.struct(text.alias("json"), way.alias("way"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from steploom.operators import agreement, audit, counterfactual, detectors, experiments, intervals, prefixes, risk
+from steploom.operators import agreement, audit, counterfactual, detectors, experiments, intervals, prefixes, release, risk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,6 @@ ORACLES: dict[str, str] = {
     "best_and_worst_detectors": detectors.BEST_AND_WORST_SQL,
     "detector_availability": detectors.AVAILABILITY_SQL,
 }
-for _module in (audit, counterfactual, experiments, agreement, prefixes, risk):
+for _module in (audit, counterfactual, experiments, agreement, prefixes, risk, release):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -35,6 +35,68 @@ def test_label_file_choice_and_tables(spark, tmp_path):
     assert readers.without_private_columns(df.withColumnRenamed("t", "local_path")).columns == ["n", "l"]
 
 
+def test_lines_are_numbered_and_broken_ones_kept(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"x": 1, "y": {"z": 2}}\n\n{broken\n[1]\n{"x": 3}\n')
+    path = str(tmp_path / "a.jsonl")
+    assert [(r.row_number, r.value) for r in readers.broken_lines(spark, path).orderBy("row_number").collect()] == [(3, "{broken"), (4, "[1]")]
+    assert [(r.row_number, r.x, r.y) for r in readers.json_records(spark, path, ["x", "y"]).orderBy("row_number").collect()] == [(1, "1", '{"z":2}'), (5, "3", None)]
+    (tmp_path / "b.txt").write_text("".join(f"line {i}\n" for i in range(1, 3001)))
+    rows = readers.numbered_lines(spark, str(tmp_path / "b.txt")).collect()
+    assert len(rows) == 3000 and all(r.value == f"line {r.row_number}" for r in rows)
+
+
+def test_spans_pools_and_cache(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("trajectory_id,span_id,start_step,end_step,span_label,hn,confidence\nt,1,2.0,5,UC,yes,0.5\nt,2,x,,,,\n")
+    rows = readers.normalised_spans(readers.read_csv(spark, str(tmp_path / "s.csv")), "p").orderBy("span_id").collect()
+    got = [(r.start_step_index, r.end_step_index, r.span_label_norm, r.hard_negative, r.unproductive_cycle_flag, r.confidence) for r in rows]
+    assert got == [(2, 5, "unproductive_cycle", True, True, 0.5), (None, None, None, None, False, None)]
+    for pool, name in (("a", "final_labels.csv"), ("b", "x/labels.csv"), ("c", "notes.txt")):
+        (tmp_path / pool / "x").mkdir(parents=True)
+        (tmp_path / pool / name).write_text(f"trajectory_id,step,label\n{pool},1,P\n")
+    found = [f.rsplit("/", 1)[1] for f in readers.discovered(spark, str(tmp_path), ["final*", "*.csv"])]
+    assert found[0] == "final_labels.csv" and sorted(found) == ["final_labels.csv", "labels.csv", "s.csv"]
+    pools = {p: ("role", str(tmp_path / p)) for p in "abc"}
+    build = lambda: readers.loaded_pools(spark, pools, ["final*", "*.csv"])
+    assert {(r.dataset, r.trajectory_id) for r in build().collect()} == {("a", "a"), ("b", "b")}
+    assert readers.loaded_pools(spark, {}, []).count() == 0
+    kept = readers.cached(spark, str(tmp_path / "kept.parquet"), build)
+    assert kept.count() == 2 and readers.cached(spark, str(tmp_path / "kept.parquet"), lambda: 1 / 0).count() == 2
+
+
+def test_review_records_fill_steps(spark):
+    review = spark.createDataFrame([("t", "1", "seen", None), ("t", "1", "seen", "n"), ("t", None, "x", None)], "pilot_id string, step_id string, evidence_note string, notes string")
+    records = readers.review_records(review, "p")
+    steps = spark.createDataFrame([("p", "t", 1, " "), ("p", "t", 2, "own")], "dataset string, trajectory_id string, step_index int, evidence_fields string")
+    got = {r.step_index: r for r in readers.enriched(steps, records).collect()}
+    assert '"evidence_note":"seen"' in got[1].evidence_fields and got[2].evidence_fields == "own" and got[1].signal_fields is None and len(got) == 2
+    assert readers.enriched(steps, records.limit(0)).count() == 2
+
+
+def test_reports_and_checks(spark, tmp_path):
+    import pytest
+
+    from steploom.functions.parse import recovered_json
+    from steploom.operators import release
+
+    df = spark.createDataFrame([("a_b", 0.12345, 3)], "name string, value double, n int")
+    tex = readers.latex_table(df, "All & more", "My table")
+    assert "a\\_b & 0.123 & 3 \\\\" in tex and "tab:my_table" in tex
+    readers.append_csv(df, str(tmp_path / "c"))
+    readers.append_csv(df, str(tmp_path / "c"))
+    assert readers.read_csv(spark, str(tmp_path / "c")).count() == 2
+    checked = {r.name: r.passed for r in release.within_tolerance(df, {"a_b": 0.124, "zz": 1.0}).collect()}
+    assert checked == {"a_b": True, "zz": False}
+    assert release.exactly_one(df, df.n == 3).name == "a_b"
+    with pytest.raises(ValueError):
+        release.exactly_one(df, df.n == 4)
+    with pytest.raises(ValueError):
+        release.one_to_one(df, df.union(df), ["name"])
+    cell = df.select(release.count_and_rate(df.n, df.value).alias("c"))
+    assert cell.select("c", release.count_of(cell.c), release.rate_of(cell.c)).first()[:] == ("3 (0.123)", 3, 0.123)
+    texts = spark.createDataFrame([(' {"a": 1} ',), ('so:\n```json\n{"a": 1}\n```',), ('it is {"a": {"b": 1}} now',), ("{a: 1}",), ("",), (None,)], "t string")
+    assert [r[0] for r in texts.select(recovered_json(texts.t)["way"]).collect()] == ["whole", "fenced", "braces", "none", "none", "none"]
+
+
 def test_guard_rules():
     recent, warned, stopped = [], False, False
     events = []
