@@ -59,6 +59,11 @@ def bool_permissive(c: Column) -> Column:
     return F.coalesce(bool_or_null(c), low != "", F.lit(False))
 
 
+def bool_reply(c: Column) -> Column:
+    """As replies spell it: true, 1, yes and y count as true."""
+    return F.coalesce(F.lower(F.trim(c.cast("string"))).isin("true", "1", "yes", "y"), F.lit(False))
+
+
 def bool_strict(c: Column) -> Column:
     """Only true, 1 and yes count as true."""
     return F.coalesce(F.lower(F.trim(c.cast("string"))).isin("true", "1", "yes"), F.lit(False))

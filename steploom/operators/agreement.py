@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,40 +80,49 @@ def one_vs_rest_kappa(spark, folder: str) -> DataFrame:
 ONE_VS_REST_KAPPA_SQL = _LABELS_CTE + ", x AS (" + " UNION ALL ".join(f"SELECT '{c}' AS label, a = '{c}' AS a, b = '{c}' AS b FROM l" for c in _CLASSES) + ")," + _kappa_sql("x", "label")
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Candidates of one component in order (-IoU, row of a, row of b); each span is used once."""
-    used_a: set = set()
-    used_b: set = set()
-    keep = []
-    for r in pdf.sort_values(["iou", "a_row", "b_row"], ascending=[False, True, True]).itertuples():
-        if r.a_row not in used_a and r.b_row not in used_b:
-            used_a.add(r.a_row)
-            used_b.add(r.b_row)
-            keep.append(r.Index)
-    return pdf.loc[keep, [c.split()[0] for c in MATCH_SCHEMA.split(", ")]]
+def candidates(a: DataFrame, b: DataFrame, least: float = LEAST_IOU) -> DataFrame:
+    """Pairs of spans of two coders with an IoU of at least `least`.
+
+    Such spans differ in length at most by the factor 1 / least, and their starts by (1 - least) / least of a
+    length. They meet in places of their length's power of two, so long spans are in as few places as short ones
+    and a trajectory of many spans is many groups.
+    """
+    levels, reach = math.ceil(math.log2(1 / least)), math.ceil((1 - least) / least)
+    level = lambda s: F.floor(F.log2((F.col(f"{s}_end") - F.col(f"{s}_start") + 1).cast("double"))).cast("int")
+    side = lambda df, s: df.select(*KEYS, *[F.col(c).alias(f"{s}_{c}") for c in ("row", "id", "start", "end", "label")])
+    place = lambda c, lv: F.floor(c / F.pow(F.lit(2.0), lv + 1)).cast("long")
+    x = side(a, "a").withColumn("lv", level("a")).withColumn("at", place(F.col("a_start"), F.col("lv")))
+    y = side(b, "b").withColumn("lv", F.explode(F.sequence(level("b") - levels, level("b") + levels)))
+    y = y.withColumn("at", F.explode(F.sequence(place(F.col("b_start"), F.col("lv")) - reach, place(F.col("b_start"), F.col("lv")) + reach)))
+    inter = F.least("a_end", "b_end") - F.greatest("a_start", "b_start") + 1
+    iou = inter / ((F.col("a_end") - F.col("a_start") + 1) + (F.col("b_end") - F.col("b_start") + 1) - inter)
+    return x.join(y, [*KEYS, "lv", "at"]).where(inter > 0).withColumn("iou", iou).where(F.col("iou") >= least).drop("lv", "at")
 
 
 def match_spans(a: DataFrame, b: DataFrame, least: float = LEAST_IOU) -> DataFrame:
     """Greedy one-to-one matching of the spans of two coders by IoU, without regard to labels.
 
-    a and b have KEYS, row, id, start, end, label. Spans can only compete where they overlap, so each
-    continuous period that the spans of both cover is matched by itself, never a whole trajectory.
+    a and b have KEYS, row, id, start, end, label; `row` names a span. Pairs are taken in the order of
+    (-IoU, row of a, row of b), each span once. A pair that comes first for both its spans is taken whatever
+    happens elsewhere, so each round takes all such pairs at once and drops what they rule out; the first
+    pair of all is always one, and pairs only depend on others through chains of overlaps, which are short.
     """
-    both = a.unionByName(b).select(*KEYS, "start", "end")
-    from steploom.operators.intervals import periods_and_gaps
-
-    period = checkpointed(periods_and_gaps(both, KEYS, "start", "end").where("kind = 'period'").select(*KEYS, F.col("start").alias("p0"), F.col("end").alias("p1")))
-    cut = period.select(*KEYS, "p0", "p1", F.explode(F.sequence(F.floor(F.col("p0") / 64), F.floor(F.col("p1") / 64))).alias("bk"))
-
-    def placed(df: DataFrame, side: str) -> DataFrame:
-        x = df.select(*KEYS, *[F.col(c).alias(f"{side}_{c}") for c in ("row", "id", "start", "end", "label")])
-        x = x.withColumn("bk", F.floor(F.col(f"{side}_start") / 64))
-        return x.join(cut, [*KEYS, "bk"]).where(F.col(f"{side}_start").between(F.col("p0"), F.col("p1"))).drop("bk", "p1")
-
-    inter = F.least("a_end", "b_end") - F.greatest("a_start", "b_start") + 1
-    iou = inter / ((F.col("a_end") - F.col("a_start") + 1) + (F.col("b_end") - F.col("b_start") + 1) - inter)
-    candidates = placed(a, "a").join(placed(b, "b"), [*KEYS, "p0"]).where(inter > 0).withColumn("iou", iou).where(F.col("iou") >= least)
-    return candidates.groupBy(*KEYS, "p0").applyInPandas(_greedy, MATCH_SCHEMA)
+    left = checkpointed(candidates(a, b, least))
+    columns = [c.split()[0] for c in MATCH_SCHEMA.split(", ")]
+    taken: list[DataFrame] = []
+    order = F.struct((-F.col("iou")).alias("o"), "a_row", "b_row")
+    while left.limit(1).count():
+        ordered = left.withColumn("o", order)
+        first = lambda s: ordered.groupBy(*KEYS, f"{s}_row").agg(F.min("o").alias(f"{s}_first"))  # noqa: E731, B023
+        both = ordered.join(first("a"), [*KEYS, "a_row"]).join(first("b"), [*KEYS, "b_row"]).where((F.col("o") == F.col("a_first")) & (F.col("o") == F.col("b_first")))
+        now = checkpointed(both.select(*KEYS, *[c for c in left.columns if c not in KEYS]))
+        taken.append(now.select(*columns))
+        left = left.join(now.select(*KEYS, "a_row"), [*KEYS, "a_row"], "left_anti").join(now.select(*KEYS, "b_row"), [*KEYS, "b_row"], "left_anti")
+        left = checkpointed(left)
+    out = left.select(*columns)
+    for part in taken:
+        out = out.unionByName(part)
+    return out
 
 
 def span_matches(spark, folder: str) -> DataFrame:
@@ -138,6 +148,21 @@ def unspanned_trajectories(spark, folder: str) -> DataFrame:
 UNSPANNED_TRAJECTORIES_SQL = f"""WITH {seq.ONCE_SQL}, {SPANS_SQL} SELECT DISTINCT dataset, trajectory_id FROM s0
 WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.dataset = s0.dataset AND sp.trajectory_id = s0.trajectory_id)"""
 
+# Pairs one after the other, in their order inside a trajectory, with the spans used so far.
+SPAN_MATCHES_SQL = f"""WITH RECURSIVE n AS (SELECT coalesce(dataset, '') AS dataset, trajectory_id, span_id AS id, coalesce(span_source = 'explicit_span_csv', false) AS explicit, span_source,
+  least(start_step_index, end_step_index) AS s, greatest(start_step_index, end_step_index) AS t, {seq.label_sql('span_label_norm')} AS label, row_number
+  FROM normalized_spans WHERE trajectory_id IS NOT NULL AND start_step_index IS NOT NULL AND end_step_index IS NOT NULL),
+o AS (SELECT dataset, trajectory_id, id, span_source, explicit, s, t, label, min(row_number) AS row FROM n GROUP BY ALL),
+p AS (SELECT a.dataset, a.trajectory_id, a.id AS a_id, b.id AS b_id, a.label AS a_label, b.label AS b_label, a.row AS a_row, b.row AS b_row,
+  (least(a.t, b.t) - greatest(a.s, b.s) + 1) / ((a.t - a.s + 1) + (b.t - b.s + 1) - (least(a.t, b.t) - greatest(a.s, b.s) + 1)) AS iou
+  FROM o a JOIN o b ON a.dataset = b.dataset AND a.trajectory_id = b.trajectory_id AND a.explicit AND NOT b.explicit AND least(a.t, b.t) >= greatest(a.s, b.s)),
+c AS (SELECT *, row_number() OVER (PARTITION BY dataset, trajectory_id ORDER BY iou DESC, a_row, b_row) AS rn FROM p WHERE iou >= {LEAST_IOU}),
+g AS (SELECT DISTINCT dataset, trajectory_id, 0::BIGINT AS rn, []::BIGINT[] AS ua, []::BIGINT[] AS ub, false AS pick FROM c
+  UNION ALL SELECT g.dataset, g.trajectory_id, c.rn, CASE WHEN list_contains(ua, a_row) OR list_contains(ub, b_row) THEN ua ELSE list_append(ua, a_row) END,
+    CASE WHEN list_contains(ua, a_row) OR list_contains(ub, b_row) THEN ub ELSE list_append(ub, b_row) END, NOT (list_contains(ua, a_row) OR list_contains(ub, b_row))
+  FROM g JOIN c ON c.dataset = g.dataset AND c.trajectory_id = g.trajectory_id AND c.rn = g.rn + 1)
+SELECT c.dataset, c.trajectory_id, a_id, b_id, a_label, b_label, iou FROM c JOIN g ON g.dataset = c.dataset AND g.trajectory_id = c.trajectory_id AND g.rn = c.rn WHERE pick"""
+
 NAMES = ["label_confusion", "label_kappa", "one_vs_rest_kappa", "span_matches", "unspanned_trajectories"]
 QUERIES = {n: globals()[n] for n in NAMES}
-ORACLES = {n: globals()[f"{n.upper()}_SQL"] for n in NAMES if n != "span_matches"}
+ORACLES = {n: globals()[f"{n.upper()}_SQL"] for n in NAMES}

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from steploom.functions.parse import bool_permissive, bool_strict
+from steploom.functions.parse import bool_known, bool_or_null, bool_permissive, bool_reply, bool_strict
 from steploom.sources.tables import checkpointed, read_table
 
 NEUTRAL, WARN = "NEUTRAL_CONTINUE", "WARN_REPLAN"
@@ -296,13 +296,17 @@ def bool_readings(spark, folder: str) -> DataFrame:
     t = read_table(spark, folder, "run_log", "guard_triggered")
     g = t.groupBy("guard_triggered").agg(F.count(F.lit(1)).alias("rows"))
     c = F.col("guard_triggered")
-    return g.select(F.coalesce(c, F.lit("(null)")).alias("spelling"), "rows", bool_strict(c).alias("strict"), bool_permissive(c).alias("permissive"))
+    return g.select(F.coalesce(c, F.lit("(null)")).alias("spelling"), "rows", bool_strict(c).alias("strict"), bool_permissive(c).alias("permissive"),
+                    bool_or_null(c).alias("or_null"), bool_known(c).alias("known"), bool_reply(c).alias("reply"))
 
 
 BOOL_READINGS_SQL = """SELECT coalesce(guard_triggered, '(null)') AS spelling, count(*) AS rows,
   coalesce(lower(trim(guard_triggered)) IN ('true', '1', 'yes'), false) AS strict,
   CASE WHEN lower(trim(guard_triggered)) IN ('true', '1', 'yes', 'y', 't') THEN true WHEN lower(trim(guard_triggered)) IN ('false', '0', 'no', 'n', 'f') THEN false
-    ELSE coalesce(trim(guard_triggered) <> '', false) END AS permissive FROM run_log GROUP BY guard_triggered"""
+    ELSE coalesce(trim(guard_triggered) <> '', false) END AS permissive,
+  CASE WHEN lower(trim(guard_triggered)) IN ('true', '1', 'yes', 'y', 't') THEN true WHEN lower(trim(guard_triggered)) IN ('false', '0', 'no', 'n', 'f') THEN false END AS or_null,
+  coalesce(lower(trim(guard_triggered)) IN ('true', '1', 'yes', 'y', 't'), false) AS known, coalesce(lower(trim(guard_triggered)) IN ('true', '1', 'yes', 'y'), false) AS reply
+  FROM run_log GROUP BY guard_triggered"""
 
 
 def pending_prompts(spark, folder: str) -> DataFrame:

@@ -156,12 +156,13 @@ FROM ti JOIN fi USING (dataset, trajectory_id)"""
 
 
 def text_forms(spark, folder: str) -> DataFrame:
-    """Error signature, step type and hashed observation of every step."""
-    cols = ["error_text", "output_text", "observation_text", "normalized_action_text", "tool_name"]
+    """Error signature, step type, command and hashed observation of every step."""
+    cols = ["error_text", "output_text", "observation_text", "normalized_action_text", "tool_name", "command_text"]
     s = seq.steps_once(read_table(spark, folder, "enriched_steps", "dataset", "trajectory_id", "step_index", *cols))
     return s.select(
         *KEYS, "step_index", tx.error_signature(F.col("error_text"), F.col("output_text"), F.col("observation_text")).alias("signature"),
-        tx.step_type(F.col("normalized_action_text"), F.col("tool_name")).alias("kind"), tx.short_hash(tx.normal(F.col("observation_text"))).alias("observation_hash"),
+        tx.step_type(F.col("normalized_action_text"), F.col("tool_name")).alias("kind"),
+        tx.command_text(F.col("normalized_action_text"), F.col("tool_name"), F.col("command_text")).alias("command"), tx.short_hash(tx.normal(F.col("observation_text"))).alias("observation_hash"),
     )
 
 
@@ -172,6 +173,8 @@ _KIND = r"lower(regexp_split_to_array(coalesce(nullif(trim(tool_name), ''), null
 _TYPES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in tx.STEP_TYPES.items())
 TEXT_FORMS_SQL = f"""WITH {ONCE_SQL}, x AS (SELECT *, coalesce({_HITS}, {_FALL}) AS sig, {_KIND} AS k0 FROM s0)
 SELECT dataset, trajectory_id, step_index, substr({norm_sql('sig')}, 1, 240) AS signature, coalesce(CASE k0 {_TYPES} END, k0, '') AS kind,
+  CASE WHEN {norm_sql('tool_name')} IN ({', '.join(f"'{x}'" for x in tx.SHELL_TOOLS)}) THEN coalesce(nullif(trim(command_text), ''), nullif(trim(normalized_action_text), ''), '')
+    WHEN regexp_matches({norm_sql('normalized_action_text')}, '^({'|'.join(tx.COMMAND_STARTS)}) ') THEN normalized_action_text ELSE '' END AS command,
   CASE WHEN {norm_sql('observation_text')} <> '' THEN substr(sha1({norm_sql('observation_text')}), 1, 16) ELSE '' END AS observation_hash FROM x"""
 
 
