@@ -100,7 +100,13 @@ def recovered_json(c: Column) -> Column:
     whole = F.trim(c)
     fenced = F.regexp_extract(c, r"(?is)```(?:json)?\s*(\{.*?\})\s*```", 1)
     braces = F.regexp_extract(c, r"(?s)\{.*\}", 0)
-    good = lambda x: F.coalesce(F.schema_of_variant(F.try_parse_json(x)).startswith("OBJECT<"), F.lit(False))
+
+    def good(x: Column) -> Column:
+        # The parser stops behind the first value, so that it has to be the only one of a list.
+        v = F.try_parse_json(F.concat(F.lit("["), x, F.lit("]")))
+        one = F.schema_of_variant(v).startswith("ARRAY<OBJECT<") & F.try_variant_get(v, "$[1]", "string").isNull()
+        return F.coalesce(one & x.startswith("{"), F.lit(False))
+
     way = F.when(good(whole), "whole").when(good(fenced), "fenced").when(good(braces), "braces").otherwise("none")
     text = F.when(good(whole), whole).when(good(fenced), fenced).when(good(braces), braces)
     return F.struct(text.alias("json"), way.alias("way"))

@@ -53,17 +53,12 @@ def periods_and_gaps(intervals: DataFrame, keys: list[str], start: str, end: str
     # Before the start of rank r + 1 there are r starts; up to the end of rank r there are r ends.
     starts = ranked.where("side = 0").select(*names, (F.col("rank") - F.col("n")).alias("rank"), F.col("pos").alias("next_start"))
     ends = ranked.where("side = 1").select(*names, "rank", F.col("pos").alias("last_end"))
-    total = ends.groupBy(*names).agg(F.max("rank").alias("total"))
-    cuts = (
-        starts.join(ends, [*names, "rank"], "full")
-        .join(total, names)
-        .where(
-            (F.col("rank") == 0)
-            | (F.col("rank") == F.col("total"))
-            | (F.col("next_start") > F.col("last_end") + 1)
-        )
-        .select(*names, "next_start", "last_end")
-    )
+    # A rank names few bounds, so an entity with many is many groups here; its first and last bound are one each.
+    gaps = starts.join(ends, [*names, "rank"]).where(F.col("next_start") > F.col("last_end") + 1).select(*names, "next_start", "last_end")
+    none = F.lit(None).cast("long")
+    first = starts.where("rank = 0").select(*names, "next_start", none.alias("last_end"))
+    last = ends.groupBy(*names).agg(F.max(F.struct("rank", "last_end")).alias("x")).select(*names, none.alias("next_start"), "x.last_end")
+    cuts = gaps.unionByName(first).unionByName(last)
     sided = cuts.select(
         *names,
         F.explode(

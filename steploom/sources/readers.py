@@ -14,7 +14,7 @@ from fnmatch import fnmatch
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steploom.functions.parse import bool_or_null, lenient_int, span_label, step_label
+from steploom.functions.parse import bool_or_null, lenient_int, recovered_json, span_label, step_label
 from steploom.operators.ranking import range_totals
 
 # Names that the columns have in the sources, in order of preference.
@@ -77,13 +77,12 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def broken_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, row_number and value of the lines that are neither blank nor a JSON object."""
-    kind = F.schema_of_variant(F.try_parse_json("value"))
-    return numbered_lines(spark, path).where((F.trim("value") != "") & ~F.coalesce(kind.startswith("OBJECT<"), F.lit(False)))
+    return numbered_lines(spark, path).where((F.trim("value") != "") & (recovered_json(F.col("value"))["way"] != "whole"))
 
 
 def json_records(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
     """file, row_number and `fields` as text of every JSON line that is an object."""
-    each = numbered_lines(spark, path).where(F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT<"), F.lit(False)))
+    each = numbered_lines(spark, path).where(recovered_json(F.col("value"))["way"] == "whole")
     return each.select("file", "row_number", *[F.get_json_object("value", f"$.{f}").alias(f) for f in fields])
 
 
