@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from steploom.operators import sequence as seq
 from steploom.operators.sequence import KEYS, PREPARED_SQL, prepared
-from steploom.sources.tables import checkpointed, read_table, shared_table
+from steploom.sources.tables import checkpointed, read_table, shared_table, written
 
 # The reference's configurations.
 STEP_CAPS = (25, 50, 75, 100, 150, 200)
@@ -83,27 +86,57 @@ def similarity(steps: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
     A step whose text or whose predecessor's text is empty has no row.
     """
     text = F.trim(F.concat_ws(" ", "action_key", seq.normal(F.col("obs_text"))))
-    rows = steps.select(*KEYS, "position", text.alias("text"))
-    terms = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
-    counted = rows.select(*KEYS, "position", F.explode(terms).alias("term")).groupBy(*KEYS, "position", "term").agg(F.count(F.lit(1)).alias("tf"))
-    total = rows.agg(F.count(F.lit(1)).alias("n_rows"))
-    # At most `vocabulary` rows, so every executor can hold them.
-    words = (
-        counted.groupBy("term")
-        .agg(F.sum("tf").alias("all_tf"), F.count(F.lit(1)).alias("df"))
-        .orderBy(F.desc("all_tf"), "term")
-        .limit(vocabulary)
-        .crossJoin(F.broadcast(total))
-        .select("term", (F.log((1.0 + F.col("n_rows")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    )
-    weighed = counted.join(F.broadcast(words), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    # Words of a step meet the same words of the step before by the key itself, so no step is compared term by term.
-    weighed = checkpointed(weighed.select(*KEYS, "position", F.xxhash64("term").alias("term"), "w"))
-    norms = weighed.groupBy(*KEYS, "position").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    after = lambda df, c: df.withColumn("position", F.col("position") + 1).withColumnRenamed(c, f"p{c}")
-    dots = weighed.join(after(weighed, "w"), [*KEYS, "position", "term"]).groupBy(*KEYS, "position").agg(F.sum(F.col("w") * F.col("pw")).alias("dot"))
-    pairs = norms.join(after(norms, "norm"), [*KEYS, "position"]).join(dots, [*KEYS, "position"], "left")
-    return pairs.select(*KEYS, "position", (F.coalesce("dot", F.lit(0.0)) / (F.col("norm") * F.col("pnorm"))).alias("similarity"))
+    terms = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
+    rows = written(steps.select(*KEYS, "position", terms.alias("terms")), "terms")
+    all_ = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("all_tf"))
+    held = rows.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = rows.count()
+    # At most `vocabulary` words, so every executor can hold them.
+    words = all_.join(held, "term").orderBy(F.desc("all_tf"), "term").limit(vocabulary).select("term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    idf = {r.term: r.idf for r in words.collect()}
+    vectors = rows.mapInArrow(_weighed(steps.sparkSession.sparkContext.broadcast(idf)), "dataset string, trajectory_id string, position bigint, ids array<int>, w array<double>")
+    w = seq.over_block()
+    before = [F.lag(c).over(w).alias(f"p_{c}") for c in ("position", "ids", "w")]
+    paired = seq.with_halo(vectors, halo=1).select(*KEYS, "position", "own", "ids", "w", *before)
+    near = paired.where(F.col("own") & (F.col("p_position") == F.col("position") - 1) & (F.size("ids") > 0) & (F.size("p_ids") > 0))
+    return near.select(*KEYS, "position", "ids", "w", "p_ids", "p_w").mapInArrow(_cosines, "dataset string, trajectory_id string, position bigint, similarity double")
+
+
+def _weighed(shared):
+    """The terms of a step as numbers in order, each once, with weights of length 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = shared.value
+        number = {t: i for i, t in enumerate(idf)}
+        weight = np.array([*idf.values(), 0.0])
+        for batch in batches:
+            lists = batch.column(3)
+            coded = lists.flatten().dictionary_encode()
+            ids = np.array([number.get(t, -1) for t in coded.dictionary.to_pylist()], dtype=np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            key, tf = np.unique((row * (len(idf) + 1) + ids)[ids >= 0], return_counts=True)
+            row, ids = np.divmod(key, len(idf) + 1)
+            w = tf * weight[ids]
+            w = w / np.sqrt(np.bincount(row, w * w, minlength=len(lists)))[row]
+            offsets = pa.array(np.searchsorted(row, np.arange(len(lists) + 1)).astype(np.int32))
+            arrays = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (ids.astype(np.int32), w)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *arrays], ["dataset", "trajectory_id", "position", "ids", "w"])
+
+    return run
+
+
+def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The product of each row's two vectors."""
+    for batch in batches:
+        sides = []
+        for ids, w in ((3, 4), (5, 6)):
+            row = np.repeat(np.arange(batch.num_rows), batch.column(ids).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            sides.append((row << 32 | batch.column(ids).flatten().to_numpy(zero_copy_only=False).astype(np.int64), batch.column(w).flatten().to_numpy(zero_copy_only=False)))
+        (a, wa), (b, wb) = sides
+        at = np.minimum(np.searchsorted(b, a), len(b) - 1) if len(b) else np.zeros(0, np.int64)
+        same = b[at] == a if len(b) else np.zeros(0, bool)
+        dot = np.bincount(a[same] >> 32, wa[same] * wb[at[same]], minlength=batch.num_rows)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(dot)], ["dataset", "trajectory_id", "position", "similarity"])
 
 
 def features(steps: DataFrame) -> DataFrame:
@@ -144,7 +177,7 @@ def triggered(spark, folder: str) -> DataFrame:
 
     def build() -> DataFrame:
         # The prepared steps are read by several branches, so they are written once.
-        return with_triggers(features(checkpointed(prepared(spark, folder).select(*_USED))))
+        return with_triggers(features(written(prepared(spark, folder).select(*_USED), "prepared")))
 
     return shared_table(spark, folder, "triggers", ["enriched_steps", "normalized_spans"], build)
 
