@@ -78,23 +78,28 @@ CONFIGS = configurations()
 _REPEATS = [("action_key", (2, 3, 4)), ("tool_key", (2, 3, 4)), ("action_obs_key", (2,)), ("error_key", (2, 3))]
 
 
-def similarity(steps: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
-    """(dataset, trajectory_id, position, similarity): TF-IDF cosine of a step's text with the step before.
+def terms_of(action: Column, observation: Column) -> Column:
+    """The terms of a step: runs of two or more letters, digits or _ of its action and its observation in normal form."""
+    text = F.trim(F.concat_ws(" ", action, seq.normal(observation)))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
 
-    Terms are runs of two or more letters, digits or _; idf = ln((1 + rows) / (1 + df)) + 1 over all
-    rows; the `vocabulary` most frequent terms count (ties by the term), vectors have length 1.
-    A step whose text or whose predecessor's text is empty has no row.
+
+def similarity(rows: DataFrame, positions: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
+    """(dataset, trajectory_id, position, similarity): TF-IDF cosine of a step's terms with the step before.
+
+    `rows` has KEYS, step_index and terms, `positions` KEYS, step_index and position. idf = ln((1 + rows) /
+    (1 + df)) + 1 over all rows; the `vocabulary` most frequent terms count (ties by the term), vectors have
+    length 1. A step without terms, or whose predecessor has none, has no row. `rows` is read several times.
     """
-    text = F.trim(F.concat_ws(" ", "action_key", seq.normal(F.col("obs_text"))))
-    terms = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
-    rows = written(steps.select(*KEYS, "position", terms.alias("terms")), "terms")
     all_ = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("all_tf"))
     held = rows.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = rows.count()
     # At most `vocabulary` words, so every executor can hold them.
     words = all_.join(held, "term").orderBy(F.desc("all_tf"), "term").limit(vocabulary).select("term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     idf = {r.term: r.idf for r in words.collect()}
-    vectors = rows.mapInArrow(_weighed(steps.sparkSession.sparkContext.broadcast(idf)), "dataset string, trajectory_id string, position bigint, ids array<int>, w array<double>")
+    vectors = rows.select(*KEYS, "step_index", "terms").mapInArrow(_weighed(rows.sparkSession.sparkContext.broadcast(idf)), "dataset string, trajectory_id string, step_index int, ids array<int>, w array<double>")
+    # Only the vectors are shuffled, never the texts.
+    vectors = vectors.join(positions.select(*KEYS, "step_index", "position"), [*KEYS, "step_index"])
     w = seq.over_block()
     before = [F.lag(c).over(w).alias(f"p_{c}") for c in ("position", "ids", "w")]
     paired = seq.with_halo(vectors, halo=1).select(*KEYS, "position", "own", "ids", "w", *before)
@@ -120,7 +125,7 @@ def _weighed(shared):
             w = w / np.sqrt(np.bincount(row, w * w, minlength=len(lists)))[row]
             offsets = pa.array(np.searchsorted(row, np.arange(len(lists) + 1)).astype(np.int32))
             arrays = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (ids.astype(np.int32), w)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *arrays], ["dataset", "trajectory_id", "position", "ids", "w"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *arrays], ["dataset", "trajectory_id", "step_index", "ids", "w"])
 
     return run
 
@@ -139,8 +144,8 @@ def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(dot)], ["dataset", "trajectory_id", "position", "similarity"])
 
 
-def features(steps: DataFrame) -> DataFrame:
-    """The prepared steps with all columns the configurations ask for."""
+def features(steps: DataFrame, terms: DataFrame) -> DataFrame:
+    """The prepared steps with all columns the configurations ask for. `terms`: KEYS, step_index, terms of each step."""
     haloed = seq.with_halo(steps)
     files = seq.file_features(haloed, (5, 10))
     prev = seq.earlier_filled(haloed, ["error_key", "obs_key", "kind_key"])
@@ -154,7 +159,7 @@ def features(steps: DataFrame) -> DataFrame:
         wide = wide.withColumn(new, F.coalesce(old, F.lit("")))
     return (
         wide.join(files, [*KEYS, "position"], "left")
-        .join(similarity(steps), [*KEYS, "position"], "left")
+        .join(similarity(terms, steps), [*KEYS, "position"], "left")
         .na.fill({"seen_5": 0, "seen_10": 0, "new_file": False})
     )
 
@@ -166,9 +171,10 @@ def with_triggers(feature: DataFrame) -> DataFrame:
     return feature.select(*KEYS, "step_index", "position", "in_pi", "in_uc", "in_hn", "in_uncertain", fired.alias("fired"))
 
 
-_USED = [
-    *KEYS, "step_index", "position", "in_pi", "in_uc", "in_hn", "in_uncertain", "action_key", "tool_key", "obs_text", "obs_key", "action_obs_key",
-    "error_key", "kind_key", "files", "p_score", "n_score",
+#: What flags are made of, and the keys the settings compare.
+_OWN = [
+    "span_label_norm", "hard_negative", "productive_iteration_flag", "unproductive_cycle_flag", "uncertain_flag", "unresolved_flag", "files", "p_score", "n_score", "kind_key",
+    "tool_key", "obs_key",
 ]
 
 
@@ -176,8 +182,15 @@ def triggered(spark, folder: str) -> DataFrame:
     """The steps with the settings that fire: a table made once for all queries, as long as its sources stay."""
 
     def build() -> DataFrame:
-        # The prepared steps are read by several branches, so they are written once.
-        return with_triggers(features(written(prepared(spark, folder).select(*_USED), "prepared")))
+        raw = read_table(spark, folder, "enriched_steps", *[c for c in seq.COLUMNS if c != "row_number"])
+        raw = raw.where(F.col("trajectory_id").isNotNull() & F.col("step_index").isNotNull()).withColumn("dataset", F.coalesce("dataset", F.lit("")))
+        # Texts become terms and hashes where they are read; they are shuffled once, to count re-sent steps once.
+        hashed = [seq.short_hash(F.col(c)).alias(c) for c in ("action_key", "action_obs_key", "error_key")]
+        k = seq.keyed(raw).select(*KEYS, "step_index", *_OWN, *hashed, terms_of(F.col("action_key"), F.col("obs_text")).alias("terms"))
+        base = written(k.dropDuplicates([*KEYS, "step_index"]), "keyed_steps")
+        steps = seq.flagged(seq.positioned(base.drop("terms")), read_table(spark, folder, "normalized_spans"))
+        drop = ["span_label_norm", "hard_negative", "productive_iteration_flag", "unproductive_cycle_flag", "uncertain_flag", "unresolved_flag"]
+        return with_triggers(features(written(steps.drop(*drop), "flagged_steps"), base))
 
     return shared_table(spark, folder, "triggers", ["enriched_steps", "normalized_spans"], build)
 
