@@ -78,10 +78,9 @@ CONFIGS = configurations()
 _REPEATS = [("action_key", (2, 3, 4)), ("tool_key", (2, 3, 4)), ("action_obs_key", (2,)), ("error_key", (2, 3))]
 
 
-def terms_of(action: Column, observation: Column) -> Column:
-    """The terms of a step: runs of two or more letters, digits or _ of its action and its observation in normal form."""
-    text = F.trim(F.concat_ws(" ", action, seq.normal(observation)))
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
+def terms_of(text: Column) -> Column:
+    """The terms of a step's text: runs of two or more letters, digits or _."""
+    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
 
 
 def similarity(rows: DataFrame, positions: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
@@ -186,8 +185,10 @@ def triggered(spark, folder: str) -> DataFrame:
         raw = raw.where(F.col("trajectory_id").isNotNull() & F.col("step_index").isNotNull()).withColumn("dataset", F.coalesce("dataset", F.lit("")))
         # Texts become terms and hashes where they are read; they are shuffled once, to count re-sent steps once.
         hashed = [seq.short_hash(F.col(c)).alias(c) for c in ("action_key", "action_obs_key", "error_key")]
-        k = seq.keyed(raw).select(*KEYS, "step_index", *_OWN, *hashed, terms_of(F.col("action_key"), F.col("obs_text")).alias("terms"))
-        base = written(k.dropDuplicates([*KEYS, "step_index"]), "keyed_steps")
+        text = F.lower(F.trim(F.concat_ws(" ", "action_key", seq.normal(F.col("obs_text")))))
+        k = seq.keyed(raw).select(*KEYS, "step_index", *_OWN, *hashed, text.alias("text"))
+        once = k.dropDuplicates([*KEYS, "step_index"])
+        base = written(once.withColumn("terms", terms_of(F.col("text"))).drop("text"), "keyed_steps")
         steps = seq.flagged(seq.positioned(base.drop("terms")), read_table(spark, folder, "normalized_spans"))
         drop = ["span_label_norm", "hard_negative", "productive_iteration_flag", "unproductive_cycle_flag", "uncertain_flag", "unresolved_flag"]
         return with_triggers(features(written(steps.drop(*drop), "flagged_steps"), base))
