@@ -58,8 +58,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{_shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    # What was shuffled for the table is needed no more; Spark deletes it once the driver has forgotten it.
-    df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
