@@ -94,7 +94,7 @@ def test_search_against_brute_force(spark):
     bodies = [[*_text(r, 14), *r.choice(clauses), *_text(r, 14), *r.choice(clauses), *_text(r, 10)] for _ in range(12)]
     items = [(i, head + "\n" + " ".join(w)) for i, w in enumerate(bodies)]
     docs = []
-    for d in range(150):
+    for d in range(90):
         words = [*_text(r, 15), *r.choice(clauses), *_text(r, 10)]
         if d % 3:
             n = r.choice([18, 19, 20, 21, 24, 28, 32, 36, 40, 48])
@@ -111,7 +111,7 @@ def test_search_against_brute_force(spark):
     E = spark.createDataFrame([*items, (50, None), (None, "x"), (60, "too short")], "item_id long, text string")
     got = {(x.doc_id, x.item_id) for x in K.leaks(D, E).collect()}
     want = {(d, i) for d, t in docs if d is not None and d < 205 and t for i, w in enumerate(bodies) if brute(K.words_of(t), w)}
-    assert got == want | {(205, 2)} and {(203, 1), (204, 1)} <= got and len(got) > 40
+    assert got == want | {(205, 2)} and {(203, 1), (204, 1)} <= got and len(got) > 25
     assert K.leaks(D.limit(0), E).count() == 0 and K.leaks(D, E.limit(0)).count() == 0
 
 
