@@ -53,9 +53,9 @@ GROUP_HITS = 4_000_000
 
 # What markup and line layout add between and inside words.
 _TAG = re.compile(r"<[^<>]{1,120}>|&(?:[a-z]{2,8}|#\d{1,5});")
-_BROKEN = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[ \t]*(?:(?://+|[*>#|;%]+|--)[ \t]*)?(?=[^\W\d_])")
+# The hyphen comes first in the pattern, so that only hyphens are looked at.
+_BROKEN = re.compile(r"-(?<=[^\W\d_]-)[ \t]*\r?\n[ \t]*(?:(?://+|[*>#|;%]+|--)[ \t]*)?(?=[^\W\d_])")
 _SOFT = "­​‌‍﻿'’`*_"
-_SOFTS = re.compile(f"[{_SOFT}]")
 _WORD = re.compile(r"[^\W_]+")
 _ASCII = {c: None if chr(c) in _SOFT else c if chr(c).isalnum() else " " for c in range(128)}
 
@@ -69,7 +69,9 @@ def words_of(text: str) -> list[str]:
         t = _BROKEN.sub("", t)
     if t.isascii():
         return t.translate(_ASCII).split()
-    return _WORD.findall(_SOFTS.sub("", t))
+    for c in _SOFT:
+        t = t.replace(c, "")
+    return _WORD.findall(t)
 
 
 class Terms(dict):
@@ -169,7 +171,7 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     terms: list[int] = []
     for batch in batches:
         for doc_id, text in zip(*[c.to_pylist() for c in batch.columns]):
-            own = [numbers[w] for w in words_of(text)]
+            own = list(map(numbers.__getitem__, words_of(text)))
             if not own:
                 continue
             if terms and len(terms) + len(own) > SEGMENT_WORDS:
@@ -434,7 +436,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for doc_id, own, item_id, body, shifts in zip(*[c.to_pylist() for c in batch.columns]):
             if own != text:  # the candidates of a document follow one another
-                text, doc = own, np.array([numbers[w] for w in words_of(own)], dtype=np.int64).astype(np.int32)
+                text, doc = own, np.array(list(map(numbers.__getitem__, words_of(own))), dtype=np.int64).astype(np.int32)
             if body not in items:
                 if len(items) > 2_000:
                     items.clear()
