@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A side of a join is kept in memory on every executor only up to this many rows.
 BROADCAST_LIMIT_ROWS = 200_000
@@ -56,32 +57,48 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     Unlike a checkpoint it can be read in part: by column, and by the statistics of its row groups.
     """
+    return df.sparkSession.read.schema(df.schema).parquet(_written_to(df, name))
+
+
+def _written_to(df: DataFrame, name: str) -> str:
     path = f"{_shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def _path(spark: SparkSession, text: str):
+    """A path and its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(text)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def table_version(spark: SparkSession, folder: str, *names: str) -> str:
     """A digest of paths, sizes and times of the files of some tables; it changes when a table does."""
     seen = []
     for name in names:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
-        files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+        path, files = _path(spark, f"{folder}/{name}.parquet")
+        files = files.listFiles(path, True)
         while files.hasNext():
             f = files.next()
             seen.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
     return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()
 
 
-_SHARED: dict[tuple[str, str, str], DataFrame] = {}
+_SHARED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 def shared_table(spark: SparkSession, folder: str, name: str, sources: list[str], build: Callable[[], DataFrame]) -> DataFrame:
     """What `build` makes of the tables `sources`, written once for all queries of this application.
 
-    It is made anew when a file of the sources has changed.
+    It is made anew when a file of the sources has changed, or the table is no longer there.
     """
     key = (spark.sparkContext.applicationId, name, table_version(spark, folder, *sources))
+    if key in _SHARED:
+        done, files = _path(spark, f"{_SHARED[key][0]}/_SUCCESS")
+        if not files.exists(done):
+            del _SHARED[key]
     if key not in _SHARED:
-        _SHARED[key] = written(build(), name)
-    return _SHARED[key]
+        df = build()
+        _SHARED[key] = (_written_to(df, name), df.schema)
+    path, schema = _SHARED[key]
+    return spark.read.schema(schema).parquet(path)
