@@ -15,6 +15,7 @@ each part. Key armor that is cut off before its end is masked to the last line o
 
 from __future__ import annotations
 
+import base64
 import re
 from collections.abc import Callable
 
@@ -60,7 +61,7 @@ PLACEHOLDER = re.compile(
     r"masked|hidden|secret|password|passwd|pwd|token|your[-_ ].*|my[-_ ]?(?:password|token|secret)|todo|tbd|n/a|empty|stdin|file"
 )
 #: A call, an attribute or an item of something: only outside quotes.
-LOOKUP = re.compile(r"(?i)(?:os\.|process\.|config|settings|env|self|request|ctx|args|options|vault|next|get)[\w.]*[\[(.].*|\$[A-Z_({].*|[{(\[].*")
+LOOKUP = re.compile(r"(?i)(?:os\.|process\.|config|settings|env|self|request|ctx|args|options|vault|next|get)[\w.]*[\[(.].*|[A-Z_][\w.]*\[.*|\$[A-Z_({].*|[{(\[].*")
 _LITERAL = r"""(?:"(?P<q2>(?:[^"\\\n]|\\.)*)"|'(?P<q1>(?:[^'\\\n]|\\.)*)'|`(?P<q0>[^`\n]*)`)"""
 _BARE = r"""(?P<bare>[^\s"'`;&,<>()\\\]}|]+)"""
 _NAME_END = r"""[\w-]*\\?["']?\]?\s{0,3}(?::=|=>|->|=|:|,(?=\s{0,2}["'`]))\s{0,3}\\?"""
@@ -119,10 +120,19 @@ def looks_like_password(v: str) -> bool:
     """At least 6 characters of two kinds and no plain word, path or call."""
     if len(v) < 6 or v.isdigit():
         return False
-    kinds = any(c.isdigit() for c in v) + any(not c.isalnum() and c not in "._-" for c in v)
+    kinds = any(c.isdigit() for c in v) + any(not c.isalnum() and c not in "._-/" for c in v)
     return kinds > 0 or (v.lower() != v and v.upper() != v and v[1:].lower() != v[1:])
 
 
+def is_basic(v: str) -> bool:
+    """The base64 text of user:password."""
+    try:
+        user, colon, password = base64.b64decode(v + "=" * (-len(v) % 4), validate=True).partition(b":")
+    except ValueError:
+        return False
+    return bool(colon and password) and all(32 <= c < 127 for c in user)
+
+
 def _value(m: re.Match) -> tuple[int, int] | None:
     for g in ("q2", "q1", "q0", "bare"):
         if g in m.re.groupindex and m.group(g) is not None:
@@ -141,7 +151,10 @@ def _spans_of(text: str, m: re.Match, kind: str, good: Callable[[str], bool]) ->
         return []
     parts = [at]
     value = text[at[0] : at[1]]
-    if not value or PLACEHOLDER.fullmatch(value) or not _in_literal(m) and LOOKUP.match(value):
+    if not value or PLACEHOLDER.fullmatch(value):
+        return []
+    # Outside quotes a call or an item of something is no value.
+    if not _in_literal(m) and (LOOKUP.match(value) or text.startswith(("(", "["), at[1])):
         return []
     if _in_literal(m):
         end = m.end()
@@ -244,7 +257,7 @@ def automaton() -> ahocorasick.Automaton:
         "-----begin ": _armor,
         "://": _userinfo,
         "bearer ": _rule(RE_BEARER, "api_token", looks_like_token),
-        "basic ": _rule(RE_BASIC, "password", lambda v: len(v) >= 8 and v.lower() != v),
+        "basic ": _rule(RE_BASIC, "password", is_basic),
         "/hooks/": _rule(RE_HOOK, "api_token", looks_like_token),
     }
     for word, rule in more.items():

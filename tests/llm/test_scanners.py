@@ -63,7 +63,8 @@ def test_values_of_any_length_and_first_character():
         ("token='aB3dE6gH9jK2'", "aB3dE6gH9jK2", "api_token"),
     ]:
         assert (v, k) in secrets(t), (t[:60], secrets(t))
-    for t in ("PWD=%DB_PASS%", "password={{ x }}", "password=$PASS", "DB_PASSWORD='<your password>'", "token=[REDACTED]", "password=%(db_password)s", "password={password}", "-" * 20_000, "token = tokenizer"):
+    for t in ("PWD=%DB_PASS%", "password={{ x }}", "password=$PASS", "DB_PASSWORD='<your password>'", "token=[REDACTED]", "password=%(db_password)s", "password={password}", "-" * 20_000, "token = tokenizer",
+              "password=parts['password']", "credentials = standard_b64encode(x)", "for basic Easytrieve constructs", "HTTP Basic Authentication", '"kadmin/passwd", "kadmin/server"'):
         assert not find_secret(t), t
 
 
